@@ -785,9 +785,9 @@ def t56_sql(k=2, stat="sum", pm="pm25", positions=FOUR):
 # threshold -> semi-join -> share of population
 # ---------------------------------------------------------------------------
 
-def _pop_share(t, stat, pm, ut, values):
+def _pop_share(t, stat, pm, ut, values, cond=None):
     s = _states(t, ut).select("state", "population")
-    g = _state_stat(t, stat, pm)
+    g = _state_stat(t, stat, pm, cond)
     spark = g.sparkSession
     vals = spark.createDataFrame([(float(v),) for v in values], "threshold double")
     # States above each threshold; the threshold list is a literal of len(values) rows.
@@ -799,13 +799,13 @@ def _pop_share(t, stat, pm, ut, values):
     return out.select("threshold", rnd(pct, 9).alias("value"))
 
 
-def _sql_pop_share(stat, pm, ut, values):
+def _sql_pop_share(stat, pm, ut, values, where="true"):
     vals = ", ".join(f"({float(v)})" for v in values)
     st = _sql_states(ut)
     return (f"select v.threshold, round({sql_pdiv('coalesce(h.hot, 0) * 100.0', f'(select sum(population) from {st} s0)')}, 9) as value "
             f"from (select cast(col0 as double) as threshold from (values {vals}) x(col0)) v "
             f"left join (select th.threshold, sum(s.population) as hot from "
-            f"({_sql_state_stat(stat, pm)}) g join (select cast(col0 as double) as threshold "
+            f"({_sql_state_stat(stat, pm, where)}) g join (select cast(col0 as double) as threshold "
             f"from (values {vals}) y(col0)) th on g.pmv > th.threshold join {st} s "
             f"on g.state = s.state group by th.threshold) h on v.threshold = h.threshold")
 
