@@ -70,3 +70,39 @@ def with_views(body: str, *names: str) -> str:
         return body.strip()
     ctes = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in names)
     return f"with {ctes}\n{body.strip()}"
+
+# Captured run logs of the samples (derived from events, like ``samples``):
+# exit code, timeout flag, combined stdout/stderr text and the gold answer.
+RUNS = """
+select cast(floor(event_id / 5) as bigint) as question_id,
+       event_id % 5 as sample_idx,
+       case when event_type <> 'error' and value >= 20 then 0
+            when event_type = 'error' and user_id % 4 = 3 then null
+            else 1 end as exit_code,
+       event_type = 'error' and user_id % 4 = 3 as timed_out,
+       case when event_type <> 'error' and value >= 20 and user_id % 10 = 9
+                 then cast(cast(round(value * 100) as bigint) as varchar)
+            when event_type <> 'error' and value >= 20
+                 then 'EXEC_OK: ' || cast(cast(round(value * 100) as bigint) as varchar)
+            when event_type <> 'error'
+                 then 'EXEC_OK: ' || cast(cast(round(value * 100) as bigint) as varchar) || chr(10)
+                      || 'Traceback (most recent call last):' || chr(10)
+                      || '  File "<string>", line 9, in <module>' || chr(10) || 'AssertionError'
+            when user_id % 4 = 0
+                 then 'Traceback (most recent call last):' || chr(10)
+                      || '  File "<string>", line 4, in get_response' || chr(10)
+                      || 'KeyError: ''PM25'''
+            when user_id % 4 = 1
+                 then '  File "<string>", line 2' || chr(10) || 'SyntaxError: invalid syntax'
+            when user_id % 4 = 2 and value < 5 then ''
+            when user_id % 4 = 2
+                 then 'Traceback (most recent call last):' || chr(10)
+                      || 'NameError: name ''pd'' is not defined'
+            else '' end as log,
+       case when event_id % 3 = 0 then cast(cast(round(value * 100) as bigint) as varchar)
+            when event_id % 3 = 1 then cast(cast(round(value * 100) as bigint) as varchar) || '.0000001'
+            else 'NATION_' || cast(user_id % 25 as varchar) end as answer
+from events
+"""
+
+VIEWS["runs"] = RUNS

@@ -90,6 +90,10 @@ class Tables:
     def samples(self) -> DataFrame:
         return build_samples(self)
 
+    @property
+    def runs(self) -> DataFrame:
+        return build_runs(self)
+
     def _materialised(self, name: str, builder, partition_by: str | None = None) -> DataFrame:
         if name in self._frames:
             return self._frames[name]
@@ -225,3 +229,41 @@ def build_samples(t: Tables) -> DataFrame:
          .when(u == 2, "NameError")
          .otherwise("TimeoutError").alias("error_type"),
     )
+
+
+def build_runs(t: Tables) -> DataFrame:
+    """Captured run logs of the samples: exit code, timeout flag, output text
+    and the gold answer (shapes: pass, pass without marker, assertion after
+    output, KeyError, SyntaxError, NameError, empty log, timeout)."""
+    qid = F.floor(F.col("event_id") / 5).cast("bigint")
+    ok = F.col("event_type") != "error"
+    passed = ok & (F.col("value") >= 20)
+    u = F.col("user_id") % 4
+    v100 = F.round(F.col("value") * 100).cast("bigint").cast("string")
+    nl = "\n"
+    log = (F.when(passed & (F.col("user_id") % 10 == 9), v100)
+           .when(passed, F.concat(F.lit("EXEC_OK: "), v100))
+           .when(ok, F.concat(F.lit("EXEC_OK: "), v100, F.lit(
+               nl + "Traceback (most recent call last):" + nl
+               + '  File "<string>", line 9, in <module>' + nl + "AssertionError")))
+           .when(u == 0, F.lit("Traceback (most recent call last):" + nl
+                               + '  File "<string>", line 4, in get_response' + nl
+                               + "KeyError: 'PM25'"))
+           .when(u == 1, F.lit('  File "<string>", line 2' + nl + "SyntaxError: invalid syntax"))
+           .when((u == 2) & (F.col("value") < 5), F.lit(""))
+           .when(u == 2, F.lit("Traceback (most recent call last):" + nl
+                               + "NameError: name 'pd' is not defined"))
+           .otherwise(F.lit("")))
+    e3 = F.col("event_id") % 3
+    answer = (F.when(e3 == 0, v100)
+              .when(e3 == 1, F.concat(v100, F.lit(".0000001")))
+              .otherwise(F.concat(F.lit("NATION_"), (F.col("user_id") % 25).cast("string"))))
+    return t.events.select(
+        qid.alias("question_id"),
+        (F.col("event_id") % 5).alias("sample_idx"),
+        F.when(passed, 0).when(~ok & (u == 3), F.lit(None)).otherwise(1)
+         .cast("int").alias("exit_code"),
+        (~ok & (u == 3)).alias("timed_out"),
+        log.alias("log"),
+        answer.alias("answer"),
+    )
