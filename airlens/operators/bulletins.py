@@ -1,2 +1,472 @@
+"""Bulletin ETL (B1-B19): daily bulletin tables -> clean city-day table.
+
+Input: ``cells`` -- one row per extracted page table:
+``(date string 'yyyy-MM-dd', page int, cells array<array<string>>)``; row 0 of
+``cells`` is the header. Plan:
+
+1. B1 route each table by its header signature (``to_json(cells[0])``) with a
+   join to a small header dimension (broadcast, a literal of 19 rows);
+2. B2-B7 parse every row of a table with array higher-order functions, the
+   look-ahead to the next row included -- all row-local, no shuffle;
+3. B9 a table with any bad row is dropped whole (quarantined with a reason);
+4. B8 + B12 + B16 one aggregation per (date, raw city) keeps the last row of a
+   table, then one per (date, canonical city) keeps the first by (page,
+   position) -- two small shuffles on the date-city key;
+5. B13/B14 drop the ambiguous city; city -> state lookup is a join against a
+   dimension table, unmatched cities are quarantined instead of failing;
+6. B17 densify: per city, the spine of bulletin dates (bounded by calendar
+   days) is exploded and left-joined to the observations.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from airlens.plans.registry import Entry
+
+# ---------------------------------------------------------------------------
+# Fixed values (must equal the reference's): header rows of each layout,
+# legend headers, the city alias map and the excluded ambiguous city.
+# ---------------------------------------------------------------------------
+LAYOUT_1_HEADERS = [
+    ["City", "Air Quality", None, None, "Index Value", "Prominent\nPollutant"],
+]
+LAYOUT_2_HEADERS = [
+    ["City", "Air Quality", None, None, "Index Value", "Prominent\nPollutant",
+     "Based on number of\nmonitoring stations"],
+    ["City", "Air Quality", None, None, "Index Value", None, None, "Prominent\nPollutant",
+     "Based on\nnumber of\nstations"],
+    ["City", "Air Quality", None, None, "Index Value", "Prominent\nPollutant",
+     "Based on\nnumber of\nmonitoring\nstations"],
+    ["City", "Air Quality", None, None, None, None, "Index Value", None, None,
+     "Prominent\nPollutant", "Based on number of\nstations"],
+    ["City", "Air Quality", None, None, None, None, "Index Value", "Prominent\nPollutant",
+     "Based on\nnumber of\nmonitoring\nstations"],
+    ["City", "Air Quality", None, None, "Index\nValue", "Prominent\nPollutant",
+     "Based on number of\nmonitoring stations"],
+    ["City", "Air Quality", None, None, None, None, "Index Value", "Prominent\nPollutant",
+     "Based on\nnumber of\nstations"],
+]
+LAYOUT_3_HEADERS = [
+    ["City", "Air Quality", "Index Value", "Prominent\nPollutant",
+     "Based on number of\nmonitoring stations"],
+]
+LAYOUT_4_HEADERS = [
+    ["S.No", "City", "Air Quality", "Index Value", "Prominent Polluta\nnt",
+     "Based on number\nof monitoring\nstations"],
+    ["S.No", "City", "Air Quality", "Index Value", "Prominent Pollutant",
+     "Based on Number\nof Monitoring\nStations"],
+    ["S.No", "City", "Air Quality", "Index\nValue", "Prominent Pollutant",
+     "No. of Stations\nParticipated/\nTotal Stations"],
+]
+LEGEND_HEADERS = [
+    ["Good", "Minimal impact"],
+    ["Good", "Minimal Impact"],
+    ["AQI", "Category", "Color Code", "Possible Health Impacts"],
+]
+CITY_ALIASES = {
+    "Amaravati": "Amravati",
+    "Asanol": "Asansol",
+    "Greater Noida": "Greater_Noida",
+    "GandhiNagar": "Gandhinagar",
+    "Gurgaon": "Gurugram",
+    "Coimbatore": "Coimbtore",
+    "Kalaburagi": "Kalaburgi",
+    "Kurukshetra": "Kurushketra",
+    "Loni_Dehat": "Loni_Ghaziabad",
+    "Madikeri": "Medikeri",
+    "Manglore": "Mangalore",
+    "Pimpri Chinchwad": "Pimpri-Chinchwad",
+    "Tumakuru": "Tumidih",
+    "Tirumala": "Tirupati",
+    "Tiruppur": "Tirupur",
+    "Yamuna Nagar": "Yamunanagar",
+    "vellore": "Vellore",
+}
+EXCLUDED_CITIES = ("Aurangabad",)
+
+CELLS_SCHEMA = "date string, page int, cells array<array<string>>"
+
+
+# ---------------------------------------------------------------------------
+# B1: layout router
+# ---------------------------------------------------------------------------
+
+def header_dimension(spark) -> DataFrame:
+    """Header signature -> layout (0 = legend table, skipped)."""
+    rows = []
+    for layout, headers in ((1, LAYOUT_1_HEADERS), (2, LAYOUT_2_HEADERS),
+                            (3, LAYOUT_3_HEADERS), (4, LAYOUT_4_HEADERS), (0, LEGEND_HEADERS)):
+        rows += [(h, layout) for h in headers]
+    df = spark.createDataFrame(rows, "header array<string>, layout int")
+    return df.select(F.to_json("header").alias("signature"), "layout").dropDuplicates(["signature"])
+
+
+def route(cells: DataFrame) -> DataFrame:
+    """Attach ``layout`` (NULL for an unknown header)."""
+    dim = header_dimension(cells.sparkSession)
+    sig = cells.withColumn("signature", F.to_json(F.get(F.col("cells"), 0)))
+    return sig.join(F.broadcast(dim), "signature", "left").drop("signature")
+
+
+# ---------------------------------------------------------------------------
+# Per-layout row parsing (row-local array code)
+# ---------------------------------------------------------------------------
+
+def _valid(x: Column) -> Column:
+    """A cell is valid when not NULL and not ''."""
+    return x.isNotNull() & (x != "")
+
+
+_INT = r"^\s*[+-]?\d+\s*$"
+
+
+def _as_int(x: Column) -> Column:
+    return F.when(x.rlike(_INT), F.trim(x).cast("int"))
+
+
+def _cell(row: Column, k: int) -> Column:
+    return F.get(row, k)
+
+
+def _parse_rows(body: Column, layout: Column) -> Column:
+    """Array of per-row records; non-first rows (B7) have ``first = false``.
+
+    Record: (first, ok, suspect, key, aqi, pollutant, quality, stations, pos).
+    ``ok`` = false marks a row the reference would fail on (bad AQI, short
+    row, missing look-ahead row), which fails the whole table (B9).
+    """
+    n = F.size(body)
+
+    def rec(i):
+        row = F.get(body, i)
+        nxt = F.get(body, i + 1)
+        has_next = (i + 1) < n
+        nxt_cont = has_next & ~_valid(F.get(nxt, 0))
+        # look-ahead quality: next row's cell 2 when it continues this city;
+        # when the next row starts another city the reference stores a dict
+        # there -- we keep NULL and flag the row (deviation D6).
+        la_quality = F.when(nxt_cont, F.get(nxt, 2))
+        la_ok = has_next & (~nxt_cont | (F.size(nxt) > 2))
+        la_suspect = has_next & ~nxt_cont
+        c0, c1 = _cell(row, 0), _cell(row, 1)
+        first = _valid(c0)
+
+        def build(key, aqi_txt, pollutant, quality, stations, min_len, need_la):
+            aqi = _as_int(aqi_txt)
+            ok = (F.size(row) >= min_len) & aqi.isNotNull() & key.isNotNull()
+            ok = ok & F.when(need_la, la_ok).otherwise(F.lit(True))
+            q = F.when(need_la, la_quality).otherwise(quality)
+            return F.struct(first.alias("first"), F.when(first, ok).otherwise(F.lit(True)).alias("ok"),
+                            (need_la & la_suspect).alias("suspect"), key.alias("key"),
+                            aqi.alias("aqi"), pollutant.alias("pollutant"), q.alias("quality"),
+                            stations.alias("stations"), i.alias("pos"))
+
+        null_s = F.lit(None).cast("string")
+        l1 = build(c0, _cell(row, 4), _cell(row, 5), null_s, null_s, 6, F.lit(True))
+        l2 = build(c0, _cell(row, 4), _cell(row, 5), c1, _cell(row, 6), 7, ~_valid(c1))
+        l3 = build(c0, _cell(row, 2), _cell(row, 3), c1, _cell(row, 4), 5, ~_valid(c1))
+        l4 = build(c1, F.split_part(_cell(row, 3), F.lit("\n"), F.lit(1)), _cell(row, 4),
+                   _cell(row, 2), _cell(row, 5), 6, F.lit(False))
+        return (F.when(layout == 1, l1).when(layout == 2, l2).when(layout == 3, l3)
+                .otherwise(l4))
+
+    idx = F.sequence(F.lit(0), n - 1)
+    return F.when(n > 0, F.transform(idx, rec)).otherwise(F.array())
+
+
+def parse_tables(cells: DataFrame) -> DataFrame:
+    """Route and parse each table; one row per table with its records
+    (first lines only), ``status`` = ok / legend / unknown_header / bad_row."""
+    r = route(cells)
+    body = F.when(F.size("cells") > 1, F.slice("cells", 2, F.size("cells") - 1)) \
+        .otherwise(F.array().cast("array<array<string>>"))
+    # ``body`` and ``recs`` are projected as columns of their own so the
+    # optimizer does not inline the array expressions into every lambda use.
+    r = r.select("date", "page", "layout", body.alias("body"))
+    parsed = F.when(F.col("layout") >= 1, _parse_rows(F.col("body"), F.col("layout")))
+    r = r.select("date", "page", "layout", parsed.alias("recs"))
+    status = (F.when(F.col("layout").isNull(), "unknown_header")
+              .when(F.col("layout") == 0, "legend")
+              .when(F.forall("recs", lambda x: x["ok"]), "ok")
+              .otherwise("bad_row"))
+    return r.select("date", "page", "layout", status.alias("status"),
+                    F.filter("recs", lambda x: x["first"]).alias("records"))
+
+
+def quarantine(cells: DataFrame) -> DataFrame:
+    """Tables dropped whole, with the reason."""
+    p = parse_tables(cells)
+    return p.where(F.col("status").isin("unknown_header", "bad_row")).select(
+        "date", "page", "layout", "status")
+
+
+def records(cells: DataFrame) -> DataFrame:
+    """Records of the good tables, one row each, with their date, page
+    and position (the order the reference concatenates them in)."""
+    p = parse_tables(cells).where(F.col("status") == "ok")
+    e = p.select("date", "page", "layout", F.explode("records").alias("r"))
+    return e.select("date", "page", "layout", F.col("r.pos").alias("pos"),
+                    F.col("r.key").alias("city_raw"), F.col("r.aqi").alias("aqi"),
+                    F.col("r.pollutant").alias("pollutant"), F.col("r.quality").alias("quality"),
+                    F.col("r.stations").alias("stations"), F.col("r.suspect").alias("suspect"))
+
+
+def last_per_table(recs: DataFrame) -> DataFrame:
+    """Per (date, page, raw city) the last row wins, kept at the position
+    of the city's first appearance (dict ``update`` semantics)."""
+    g = recs.groupBy("date", "page", "layout", "city_raw").agg(
+        F.min("pos").alias("pos"), F.max_by(F.struct("aqi", "pollutant", "quality", "stations",
+                                                     "suspect"), F.col("pos")).alias("v"))
+    return g.select("date", "page", "layout", "pos", "city_raw", "v.*")
+
+
+# ---------------------------------------------------------------------------
+# Canonicalisation, lookup, dedup, densify
+# ---------------------------------------------------------------------------
+
+def alias_table(spark) -> DataFrame:
+    return spark.createDataFrame(list(CITY_ALIASES.items()), "raw string, canonical string")
+
+
+def canonical_city(raw: Column, aliases: DataFrame | None = None) -> Column:
+    """B12 (string part): strip surrounding whitespace and drop newlines."""
+    return F.replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), F.lit("\n"), F.lit(""))
+
+
+def parse_stations(x: Column) -> Column:
+    """The integer before '/', '#' or a newline ("12/15" -> 12)."""
+    m = F.regexp_extract(x, r"^\s*([+-]?\d+)\s*(?:[/#\n][\s\S]*)?$", 1)
+    return F.when(m != "", m.cast("int"))
+
+
+def city_day(cells: DataFrame, city_states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The clean city-day table and the unmatched-city quarantine.
+
+    ``city_states``: (city, state) lookup, a dimension table.
+    """
+    spark = cells.sparkSession
+    recs = last_per_table(records(cells))
+    stripped = recs.withColumn("city0", canonical_city(F.col("city_raw")))
+    al = alias_table(spark)
+    c = (stripped.join(F.broadcast(al), stripped.city0 == al.raw, "left")
+         .withColumn("city", F.coalesce("canonical", "city0")).drop("raw", "canonical", "city0"))
+    c = c.where(~F.col("city").isin(*EXCLUDED_CITIES))                      # B13
+    c = c.withColumn("date", F.to_date("date"))                              # B15
+    first = c.groupBy("date", "city").agg(                                   # B16
+        F.min_by(F.struct("aqi", "pollutant", "quality", "stations", "suspect"),
+                 F.struct("page", "pos")).alias("v"))
+    first = first.select("date", "city", "v.*")
+    j = first.join(city_states.select("city", "state"), "city", "left")     # B14
+    good = j.where(F.col("state").isNotNull()).select(
+        "date", "city", "state", "aqi", "pollutant", "quality",
+        parse_stations(F.col("stations")).alias("n_stations"), "suspect")
+    bad = j.where(F.col("state").isNull()).select("date", "city")
+    return good, bad
+
+
+def densify(cd: DataFrame) -> DataFrame:
+    """Full (bulletin date x city) grid, missing observations NULL.
+
+    The date spine holds the distinct bulletin dates (bounded by calendar
+    days in the span, not by data volume); each city row explodes it.
+    """
+    spine = cd.select(F.array_sort(F.collect_set("date")).alias("dates")).scalar()
+    cities = cd.select("city").distinct()
+    grid = cities.select("city", F.explode(spine).alias("date"))
+    return grid.join(cd, ["date", "city"], "left")
+
+
+def date_spine(start: str, end: str, spark) -> DataFrame:
+    """One row per day in [start, end]."""
+    return spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)),
+                                                      F.expr("interval 1 day"))).alias("date"))
+
+
+def pending_dates(spine: DataFrame, done: DataFrame) -> DataFrame:
+    """Spine dates without output (anti-join)."""
+    return spine.join(done.select("date").distinct(), "date", "left_anti")
+
+
+# ---------------------------------------------------------------------------
+# Bulletins derived from the readings (the registered end-to-end inputs)
+# ---------------------------------------------------------------------------
+
+PAGE_ROWS = 20
+EPOCH = "1995-01-01"
+
+
+def source_city_days(t) -> DataFrame:
+    """City-day aggregates the bulletins report (from readings)."""
+    r = t.readings
+    g = r.groupBy(F.to_date("ts").alias("d"), "city").agg(
+        F.max("state").alias("state"), F.avg("pm25").alias("a25"), F.avg("pm10").alias("a10"),
+        F.count_distinct("station").alias("n_st"))
+    aqi = F.round(F.greatest(F.coalesce(F.col("a25") * 4, F.lit(0.0)),
+                             F.coalesce(F.col("a10"), F.lit(0.0)))).cast("int")
+    w = Window.partitionBy("d").orderBy("city")   # one bulletin: the cities of one day
+    g = g.select("d", "city", "state", "n_st", aqi.alias("aqi"),
+                 F.when(F.col("a25") * 2 >= F.col("a10"), "PM2.5").otherwise("PM10").alias("pollutant"),
+                 F.datediff("d", F.lit(EPOCH)).alias("dn"),
+                 (F.row_number().over(w) - 1).alias("r"))
+    q = F.col("aqi")
+    quality = (F.when(q <= 50, "Good").when(q <= 100, "Satisfactory").when(q <= 200, "Moderate")
+               .when(q <= 300, "Poor").when(q <= 400, "Very Poor").otherwise("Severe"))
+    return g.withColumn("quality", quality).withColumn(
+        "layout", (F.col("dn") % 4 + 1).cast("int")).withColumn(
+        "page", (F.floor(F.col("r") / PAGE_ROWS) + 1).cast("int")).withColumn(
+        "bad", (F.col("dn") % 13 == 0) & (F.col("r") == 0))
+
+
+def derived_cells(t) -> DataFrame:
+    """Bulletin page tables in the four layouts (plus a legend page per day)
+    generated from ``source_city_days``: continuation rows, blank quality
+    cells, padded city names and station fractions included; on every 13th
+    day the first row of page 1 carries a non-integer AQI."""
+    s = source_city_days(t)
+    nl = "\n"
+    city = F.when(F.col("r") % 5 == 0, F.concat(F.lit(" "), F.col("city"), F.lit(nl))) \
+        .otherwise(F.col("city"))
+    aqi = F.when(F.col("bad"), F.lit("NA")).otherwise(F.col("aqi").cast("string"))
+    st = F.col("n_st").cast("string")
+    N = F.lit(None).cast("string")
+    E = F.lit("")
+
+    def arr(*xs):
+        return F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+
+    odd = F.col("r") % 2 == 1
+    rows = (
+        F.when(F.col("layout") == 1, F.array(arr(city, E, N, N, aqi, F.col("pollutant")),
+                                              arr(N, N, F.col("quality"), N, N, N)))
+        .when((F.col("layout") == 2) & odd, F.array(arr(city, E, N, N, aqi, F.col("pollutant"), st),
+                                                    arr(N, N, F.col("quality"), N, N, N, N)))
+        .when(F.col("layout") == 2, F.array(arr(city, F.col("quality"), N, N, aqi,
+                                                F.col("pollutant"), st)))
+        .when(F.col("layout") == 3, F.array(arr(city, F.col("quality"), aqi, F.col("pollutant"), st)))
+        .otherwise(F.array(arr((F.col("r") + 1).cast("string"), city, F.col("quality"),
+                               F.concat(aqi, F.lit(nl + "(PM)")), F.col("pollutant"),
+                               F.concat(st, F.lit("/"), (F.col("n_st") + 1).cast("string"))),
+                           arr(N, N, E, N, N, N))))
+    per_row = s.select(F.col("d").cast("string").alias("date"), "page", "layout", "r",
+                       rows.alias("rows"))
+    # one page = at most PAGE_ROWS cities: the collected group is bounded
+    pages = per_row.groupBy("date", "page", "layout").agg(
+        F.array_sort(F.collect_list(F.struct("r", "rows"))).alias("rr"))
+    headers = F.array(*[F.array(*[F.lit(h).cast("string") for h in hdr]) for hdr in (
+        LAYOUT_1_HEADERS[0], LAYOUT_2_HEADERS[0], LAYOUT_3_HEADERS[0], LAYOUT_4_HEADERS[1])])
+    header = F.get(headers, F.col("layout") - 1)
+    tables = pages.select("date", "page", F.concat(F.array(header), F.flatten(
+        F.transform("rr", lambda x: x["rows"]))).alias("cells"))
+    legend = s.select(F.col("d").cast("string").alias("date")).distinct().select(
+        "date", F.lit(0).alias("page"),
+        F.array(F.array(*[F.lit(h) for h in LEGEND_HEADERS[2]]),
+                F.array(F.lit("0-50"), F.lit("Good"), F.lit("green"), F.lit("Minimal Impact"))
+                ).alias("cells"))
+    return tables.unionByName(legend)
+
+
+def _city_states(t) -> DataFrame:
+    return t.readings.select("city", "state").distinct()
+
+
+def b1(t):
+    """B1: tables routed to each layout (0 = legend)."""
+    return route(derived_cells(t)).groupBy("layout").agg(F.count(F.lit(1)).alias("n_tables"))
+
+
+def b9(t):
+    """Tables dropped whole and why."""
+    return quarantine(derived_cells(t))
+
+
+def b10(t):
+    """The clean city-day table."""
+    good, _ = city_day(derived_cells(t), _city_states(t))
+    return good.select("date", "city", "state", "aqi", "pollutant", "quality", "n_stations")
+
+
+def b11(t):
+    """Days of the calendar span with no usable bulletin rows."""
+    good, _ = city_day(derived_cells(t), _city_states(t))
+    r = t.readings
+    bounds = r.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"))
+    spine = bounds.select(F.explode(F.sequence("a", "b")).alias("date"))
+    return pending_dates(spine, good)
+
+
+def b14(t):
+    """Cities without a state in the lookup (quarantine)."""
+    lookup = _city_states(t).where(~F.col("city").endswith("/MACHINERY"))
+    _, bad = city_day(derived_cells(t), lookup)
+    return bad.groupBy("city").agg(F.count(F.lit(1)).alias("n_days"))
+
+
+def b17(t):
+    """Densified grid size and filled cells per city."""
+    good, _ = city_day(derived_cells(t), _city_states(t))
+    d = densify(good.select("date", "city", "aqi"))
+    return d.groupBy("city").agg(F.count(F.lit(1)).alias("n_dates"),
+                                 F.count("aqi").alias("n_observed"))
+
+
+def b19(t):
+    """Rows per state of the city-day table."""
+    good, _ = city_day(derived_cells(t), _city_states(t))
+    return good.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- oracle SQL: the expected ETL output computed directly from readings ----
+
+SQL_SOURCE = f"""
+select d, city, state, n_st, aqi, pollutant, dn, r,
+       case when aqi <= 50 then 'Good' when aqi <= 100 then 'Satisfactory'
+            when aqi <= 200 then 'Moderate' when aqi <= 300 then 'Poor'
+            when aqi <= 400 then 'Very Poor' else 'Severe' end as quality,
+       cast(dn % 4 + 1 as integer) as layout,
+       cast(floor(r / {PAGE_ROWS}) + 1 as integer) as page,
+       (dn % 13 = 0 and r = 0) as bad
+from (select d, city, state, n_st,
+             cast(round(greatest(coalesce(a25 * 4, 0.0), coalesce(a10, 0.0))) as integer) as aqi,
+             case when a25 * 2 >= a10 then 'PM2.5' else 'PM10' end as pollutant,
+             date_diff('day', date '{EPOCH}', d) as dn,
+             row_number() over (partition by d order by city) - 1 as r
+      from (select cast(ts as date) as d, city, max(state) as state, avg(pm25) as a25,
+                   avg(pm10) as a10, count(distinct station) as n_st
+            from readings group by cast(ts as date), city) g) s
+"""
+
+SQL_GOOD = (f"select d as date, city, state, aqi, pollutant, quality, case when layout = 1 then "
+            f"null else cast(n_st as integer) end as n_stations from ({SQL_SOURCE}) s where (d, page) not in "
+            f"(select d, page from ({SQL_SOURCE}) b where bad)")
+
+B1_SQL = (f"select layout, count(*) as n_tables from (select distinct d, page, layout from "
+          f"({SQL_SOURCE}) s union all select distinct d, 0 as page, 0 as layout from "
+          f"({SQL_SOURCE}) s2) t group by layout")
+B9_SQL = (f"select cast(d as varchar) as date, page, layout, 'bad_row' as status from "
+          f"({SQL_SOURCE}) s where bad")
+B10_SQL = SQL_GOOD
+B11_SQL = (f"select cast(x.date as date) as date from (select unnest(generate_series("
+           f"(select min(cast(ts as date)) from readings), (select max(cast(ts as date)) from readings), "
+           f"interval 1 day)) as date) x where cast(x.date as date) not in (select date from ({SQL_GOOD}) g)")
+B14_SQL = (f"select city, count(*) as n_days from ({SQL_GOOD}) g where city like '%/MACHINERY' "
+           f"group by city")
+B17_SQL = (f"select c.city, count(*) as n_dates, count(g.aqi) as n_observed from "
+           f"(select distinct city from ({SQL_GOOD}) a) c cross join (select distinct date from "
+           f"({SQL_GOOD}) b) dd left join ({SQL_GOOD}) g on g.city = c.city and g.date = dd.date "
+           f"group by c.city")
+B19_SQL = f"select state, count(*) as n from ({SQL_GOOD}) g group by state"
+
+
 def registry():
-    return {}
+    rv = ("readings",)
+    return {
+        "B1": Entry(b1, B1_SQL, rv),
+        "B9": Entry(b9, B9_SQL, rv),
+        "B10": Entry(b10, B10_SQL, rv),
+        "B11": Entry(b11, B11_SQL, rv),
+        "B14": Entry(b14, B14_SQL, rv),
+        "B17": Entry(b17, B17_SQL, rv),
+        "B19": Entry(b19, B19_SQL, rv),
+    }
