@@ -1,2 +1,305 @@
+"""File scans and sinks.
+
+The reference keeps its data in CSV, pickle and JSON files. Here every file
+format is exercised on data Spark derives from the given tables: the job
+writes the file layout the reference uses into the shared store folder, then
+the scan under test reads it back with an explicit schema. Sinks write
+partitioned output (``partitionBy``) so later reads prune directories.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from airlens.plans.registry import Entry
+from airlens.session import store_root
+from airlens.sources.tables import _fingerprint
+
+# The reference's column names of the readings file.
+READINGS_CSV_COLUMNS = ("Timestamp", "station", "PM2.5", "PM10", "city", "state")
+SPLIT_PATH_REGEX = r"default/(?:partial-)?(train)/.+parquet$"
+
+
+def _path(t, name: str) -> str:
+    return f"{store_root(t.spark)}/{_fingerprint(t.spark, t.sf_dir)}/files/{name}"
+
+
+# --- A1: readings from CSV ------------------------------------------------------
+
+READINGS_CSV_SCHEMA = ("`Timestamp` string, station string, `PM2.5` double, `PM10` double, "
+                       "city string, state string")
+
+
+def write_readings_csv(t) -> str:
+    path = _path(t, "readings_csv")
+    r = t.readings.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"),
+                          "station", F.col("pm25").alias("PM2.5"), F.col("pm10").alias("PM10"),
+                          "city", "state")
+    r.write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def read_readings_csv(spark, path: str) -> DataFrame:
+    """A1: CSV with the reference's header -> canonical readings; the
+    timestamp is parsed, NaN readings become NULL."""
+    df = spark.read.schema(READINGS_CSV_SCHEMA).option("header", True).csv(path)
+    out = df.select(F.to_timestamp_ntz(F.col("Timestamp")).alias("ts"), "station", "city", "state",
+                    F.col("`PM2.5`").alias("pm25"), F.col("PM10").alias("pm10"))
+    for c in ("pm25", "pm10"):
+        out = out.withColumn(c, F.when(F.isnan(c), None).otherwise(F.col(c)))
+    return out
+
+
+def a1(t):
+    return read_readings_csv(t.spark, write_readings_csv(t))
+
+
+A1_SQL = "select ts, station, city, state, pm25, pm10 from readings"
+
+
+# --- A2: three-table columnar scan ---------------------------------------------------
+
+def a2(t):
+    """A2: readings, states and funding from parquet; one profile row."""
+    r, s, f = t.readings, t.states, t.funding
+    return r.agg(F.count(F.lit(1)).alias("n_readings")).select(
+        "n_readings", s.agg(F.count(F.lit(1))).scalar().alias("n_states"),
+        f.agg(F.count(F.lit(1))).scalar().alias("n_funding"))
+
+
+A2_SQL = ("select (select count(*) from readings) as n_readings, (select count(*) from states) "
+          "as n_states, (select count(*) from funding) as n_funding")
+
+
+# --- A3: questions CSV (multi-line quoted fields) ------------------------------------------
+
+def a3(t):
+    """A3: questions written as CSV with multi-line quoted text, read back."""
+    path = _path(t, "questions_csv")
+    q = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("category"),
+                           F.col("text").alias("question"))
+    q.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    back = (t.spark.read.schema("id bigint, category string, question string")
+            .option("header", True).option("multiLine", True).option("escape", '"').csv(path))
+    return back.select("id", "category", F.length("question").alias("n_chars"))
+
+
+A3_SQL = "select doc_id as id, lang as category, length(text) as n_chars from documents"
+
+
+# --- A4: template JSON with dynamic keys ------------------------------------------------------
+
+def _json_text(x) -> "F.Column":
+    """JSON text of a string column (``to_json`` accepts only containers)."""
+    return F.regexp_replace(F.to_json(F.array(x)), r"^\[(.*)\]$", "$1")
+
+
+def write_templates(t) -> str:
+    """One template JSON document per region: variable lists are the region's
+    nations and the years present; keys are dynamic (one per variable)."""
+    path = _path(t, "templates_json")
+    n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    per_region = n.groupBy("r_regionkey", "r_name").agg(
+        F.sort_array(F.collect_list("n_name")).alias("states"))
+    years = t.readings.select(F.array_sort(F.collect_set(F.col("year").cast("string")))).scalar()
+    fields = [
+        ("category", _json_text(F.lit("spatial_aggregation"))),
+        ("question", _json_text(F.concat(F.lit("Which {state} of "), F.col("r_name"),
+                                         F.lit(" was worst in {year}?")))),
+        ("code", _json_text(F.lit("state == '{code_state}' and year == {code_year}"))),
+        ("ques_vars", F.to_json(F.array(F.lit("state"), F.lit("year")))),
+        ("code_vars", F.to_json(F.array(F.lit("code_state"), F.lit("code_year")))),
+        ("state", F.to_json("states")), ("code_state", F.to_json("states")),
+        ("year", F.to_json(years)), ("code_year", F.to_json(years)),
+    ]
+    parts = []
+    for k, (name, value) in enumerate(fields):
+        parts += [F.lit(("{" if k == 0 else ",") + f'"{name}":'), value]
+    text = F.concat(*parts, F.lit("}"))
+    per_region.select(F.col("r_regionkey").alias("template_id"), text.alias("value")) \
+        .write.mode("overwrite").partitionBy("template_id").text(path)
+    return path
+
+
+def template_values(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """A4: whole-file JSON scan; dynamic keys read as ``map<string,string>``
+    (values kept as JSON text), variable lists zipped by index (C1 input)."""
+    raw = spark.read.option("wholetext", True).text(path)
+    m = raw.select(F.col("template_id"), F.from_json("value", "map<string,string>").alias("m"))
+    # string values come back unquoted, list values as their JSON text
+    templates = m.select("template_id", F.col("m")["question"].alias("question"),
+                         F.col("m")["code"].alias("code"))
+    qv = F.from_json(F.col("m")["ques_vars"], "array<string>")
+    cv = F.from_json(F.col("m")["code_vars"], "array<string>")
+    pairs = m.select("template_id", "m", F.posexplode(F.arrays_zip(qv.alias("q"), cv.alias("c")))
+                     .alias("j", "v"))
+    vals = pairs.select("template_id", F.col("v.q").alias("var"), F.posexplode(F.arrays_zip(
+        F.from_json(F.col("m")[F.col("v.q")], "array<string>").alias("qv"),
+        F.from_json(F.col("m")[F.col("v.c")], "array<string>").alias("cv"))).alias("idx", "z"))
+    vals = vals.select("template_id", "var", "idx", F.col("z.qv").alias("q_value"),
+                       F.col("z.cv").alias("c_value"))
+    return templates, vals
+
+
+def a4(t):
+    _, vals = template_values(t.spark, write_templates(t))
+    return vals.groupBy("template_id", "var").agg(F.count(F.lit(1)).alias("n_values"))
+
+
+A4_SQL = ("select cast(n_regionkey as integer) as template_id, 'state' as var, count(*) as n_values "
+          "from nation group by n_regionkey union all select r_regionkey, 'year', "
+          "(select count(distinct year(ts)) from readings) from region")
+
+
+# --- A5 / A11: nested response files with path columns ------------------------------------------
+
+def a5(t):
+    """A11 sink: per-question response records written as JSON, partitioned
+    by model and category; A5 scan: recursive read, path columns recovered
+    from ``_metadata.file_path``."""
+    path = _path(t, "responses")
+    s = t.samples
+    resp = s.groupBy("model", "category", "question_id").agg(
+        F.count(F.lit(1)).alias("n_samples"))
+    resp.write.mode("overwrite").partitionBy("model", "category").json(path)
+    back = (t.spark.read.schema("question_id bigint, n_samples bigint")
+            .option("recursiveFileLookup", True).json(path)
+            .select("*", F.col("_metadata.file_path").alias("fp")))
+    return back.select(F.regexp_extract("fp", r"model=([^/]+)/", 1).alias("model"),
+                       F.regexp_extract("fp", r"category=([^/]+)/", 1).alias("category"),
+                       "question_id", "n_samples")
+
+
+A5_SQL = ("select model, category, question_id, count(*) as n_samples from samples "
+          "group by model, category, question_id")
+
+
+# --- A6: JSON array-of-objects records --------------------------------------------------------------
+
+def a6(t, chunk=100):
+    """Result chunks stored as one JSON array per file (as the evaluator
+    writes them) and read back with ``multiLine``. A chunk is ``chunk``
+    questions, so each collected array is bounded."""
+    path = _path(t, "result_chunks")
+    s = t.samples.withColumn("chunk", F.floor(F.col("question_id") / chunk))
+    recs = s.groupBy("chunk").agg(F.concat(F.lit("["), F.array_join(F.collect_list(
+        F.to_json(F.struct("question_id", "sample_idx", "passed"))), ","), F.lit("]")).alias("value"))
+    recs.write.mode("overwrite").partitionBy("chunk").text(path)
+    back = t.spark.read.schema("question_id bigint, sample_idx bigint, passed boolean") \
+        .option("multiLine", True).json(path)
+    return back.select("question_id", "sample_idx", "passed")
+
+
+A6_SQL = "select question_id, sample_idx, passed from samples"
+
+
+# --- A7 / A12: folder of CSVs merged ------------------------------------------------------------------
+
+def a7(t):
+    """A12 sink + A7 merge: city-day rows written as one CSV folder per month,
+    merged by one folder scan (output lands outside the input folder)."""
+    path = _path(t, "daily_csv")
+    r = t.readings
+    cd = r.groupBy(F.to_date("ts").alias("date"), "city").agg(F.count(F.lit(1)).alias("n"))
+    cd.withColumn("month", F.date_format("date", "yyyy-MM")).write.mode("overwrite") \
+        .partitionBy("month").option("header", True).csv(path)
+    merged = t.spark.read.schema("date date, city string, n bigint").option("header", True).csv(path)
+    return merged.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("city_days"),
+                                                            F.sum("n").alias("readings"))
+
+
+A7_SQL = ("select year(d) as year, count(*) as city_days, sum(n) as readings from "
+          "(select cast(ts as date) as d, city, count(*) as n from readings group by 1, 2) g "
+          "group by year(d)")
+
+
+# --- A8: split label from the file path ---------------------------------------------------------
+
+def a8(t):
+    """``default/train/*.parquet`` vs ``default/validation/*.parquet``;
+    the split label is recovered from the path with the dataset's regex."""
+    from airlens.operators.corpus import ordered_split
+    path = _path(t, "dataset")
+    s = ordered_split(t.documents.select("doc_id"), "doc_id", 0.9)
+    for name in ("train", "validation"):
+        s.where(F.col("split") == name).select("doc_id").write.mode("overwrite") \
+            .parquet(f"{path}/default/{name}")
+    back = t.spark.read.option("recursiveFileLookup", True).parquet(f"{path}/default")
+    label = F.regexp_extract(F.col("_metadata.file_path"), SPLIT_PATH_REGEX, 1)
+    return back.select("doc_id", F.when(label == "", "validation").otherwise(label).alias("split"))
+
+
+A8_SQL = ("select doc_id, case when rn <= floor((select count(*) from documents) * 0.9) "
+          "then 'train' else 'validation' end as split from "
+          "(select doc_id, row_number() over (order by doc_id) as rn from documents) d")
+
+
+# --- A9 / A10 / A14 --------------------------------------------------------------------------------
+
+def a9(t):
+    """Daily spine over the readings' span."""
+    b = t.readings.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"))
+    return b.select(F.explode(F.sequence("a", "b")).alias("date"))
+
+
+A9_SQL = ("select cast(unnest(generate_series((select min(cast(ts as date)) from readings), "
+          "(select max(cast(ts as date)) from readings), interval 1 day)) as date) as date")
+
+
+def a10(t):
+    """A10: spine days with no reading (still to fetch) -- anti-join."""
+    have = t.readings.select(F.to_date("ts").alias("date")).distinct()
+    return a9(t).join(have, "date", "left_anti")
+
+
+A10_SQL = (f"select date from ({A9_SQL}) s where date not in "
+           f"(select distinct cast(ts as date) from readings)")
+
+
+def a13(t):
+    """Parquet sink partitioned by year; the read prunes to one year."""
+    path = _path(t, "city_day_parquet")
+    r = t.readings
+    cd = r.groupBy(F.to_date("ts").alias("date"), "city").agg(F.avg("pm25").alias("pm25"))
+    cd.withColumn("year", F.year("date")).write.mode("overwrite").partitionBy("year").parquet(path)
+    back = t.spark.read.parquet(path).where(F.col("year") == 1998)
+    return back.groupBy("city").agg(F.count(F.lit(1)).alias("days"))
+
+
+A13_SQL = ("select city, count(*) as days from (select distinct cast(ts as date) as d, city "
+           "from readings where year(ts) = 1998) g group by city")
+
+
+def a14(t):
+    """Dataset profile."""
+    r = t.readings
+    return r.agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.to_date("ts")).alias("first_day"),
+                 F.max(F.to_date("ts")).alias("last_day"),
+                 F.count_distinct("state").alias("n_states"),
+                 F.count_distinct("city").alias("n_cities"),
+                 F.count_distinct("station").alias("n_stations"))
+
+
+A14_SQL = ("select count(*) as n_rows, min(cast(ts as date)) as first_day, max(cast(ts as date)) "
+           "as last_day, count(distinct state) as n_states, count(distinct city) as n_cities, "
+           "count(distinct station) as n_stations from readings")
+
+
 def registry():
-    return {}
+    rv = ("readings", "states", "funding")
+    sv = ("samples",)
+    return {
+        "A1": Entry(a1, A1_SQL, rv),
+        "A2": Entry(a2, A2_SQL, rv),
+        "A3": Entry(a3, A3_SQL, ()),
+        "A4": Entry(a4, A4_SQL, rv),
+        "A5": Entry(a5, A5_SQL, sv),
+        "A6": Entry(a6, A6_SQL, sv),
+        "A7": Entry(a7, A7_SQL, rv),
+        "A8": Entry(a8, A8_SQL, ()),
+        "A9": Entry(a9, A9_SQL, rv),
+        "A10": Entry(a10, A10_SQL, rv),
+        "A13": Entry(a13, A13_SQL, rv),
+        "A14": Entry(a14, A14_SQL, rv),
+    }
