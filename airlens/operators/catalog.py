@@ -51,7 +51,7 @@ def _group(df: DataFrame, key: Column | str, value: Column) -> DataFrame:
     return df.where(k.isNotNull()).groupBy(k.alias("lbl")).agg(value.alias("v"))
 
 
-def _ranked(base: DataFrame, positions, digits: int = 6, asc: bool = True) -> DataFrame:
+def _ranked(base: DataFrame, positions, digits: int = 9, asc: bool = True) -> DataFrame:
     return nth(base, [("v", asc), ("lbl", asc)], positions,
                [F.col("lbl").cast("string").alias("answer"),
                 rnd(F.col("v").cast("double"), digits).alias("value")])
@@ -62,7 +62,7 @@ def _sql_group(key: str, value: str, where: str = "true", table: str = "readings
             f"where ({where}) and {key} is not null group by {key}")
 
 
-def _sql_ranked(base: str, positions, digits: int = 6, asc: bool = True) -> str:
+def _sql_ranked(base: str, positions, digits: int = 9, asc: bool = True) -> str:
     return sql_nth(base, [("v", asc), ("lbl", asc)], positions,
                    ["cast(lbl as varchar) as answer", f"round(cast(v as double), {digits}) as value"])
 
@@ -636,13 +636,13 @@ def _area_filtered(t, stat, pm, ut, op, limit, positions):
     s = _states(t, ut).select("state", "area_km2")
     s = s.where(F.col("area_km2") > limit) if op == ">" else s.where(F.col("area_km2") < limit)
     j = _state_stat(t, stat, pm).join(s, "state")
-    return _ratio_rank(j, F.col("v"), positions, 6)
+    return _ratio_rank(j, F.col("v"), positions, 9)
 
 
 def _sql_area_filtered(stat, pm, ut, op, limit, positions):
     base = (f"select g.state as lbl, g.pmv as v from ({_sql_state_stat(stat, pm)}) g "
             f"join {_sql_states(ut)} s on g.state = s.state where s.area_km2 {op} {limit}")
-    return _sql_ranked(base, positions)
+    return _sql_ranked(base, positions, 9)
 
 
 def t45(t, op=">", stat="median", pm="pm10", positions=SKIP3):

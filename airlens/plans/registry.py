@@ -40,9 +40,9 @@ def _catalog() -> dict[str, Entry]:
 
 def _modules() -> list[dict[str, Entry]]:
     regs = [_catalog()]
-    from airlens.operators import examples, evaluation, corpus, bulletins, relational
+    from airlens.operators import examples, evaluation, corpus, bulletins, relational, blocks
     from airlens.sources import files
-    for mod in (examples, evaluation, corpus, bulletins, relational, files):
+    for mod in (examples, evaluation, corpus, bulletins, relational, blocks, files):
         regs.append(mod.registry())
     return regs
 
