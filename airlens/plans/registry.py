@@ -42,7 +42,8 @@ def _modules() -> list[dict[str, Entry]]:
     regs = [_catalog()]
     from airlens.operators import examples, evaluation, corpus, bulletins, relational, blocks
     from airlens.sources import files
-    for mod in (examples, evaluation, corpus, bulletins, relational, blocks, files):
+    from airlens.streaming import incremental
+    for mod in (examples, evaluation, corpus, bulletins, relational, blocks, files, incremental):
         regs.append(mod.registry())
     return regs
 
