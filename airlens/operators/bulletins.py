@@ -126,54 +126,59 @@ def _as_int(x: Column) -> Column:
     return F.when(x.rlike(_INT), F.trim(x).cast("int"))
 
 
-def _cell(row: Column, k: int) -> Column:
-    return F.get(row, k)
+def _cells_of(body: Column) -> Column:
+    """Stage 1: per body row, its cells 0-6, its width, and the look-ahead
+    row's cells 0 and 2 -- plain array accesses, computed once."""
+    n = F.size(body)
+
+    def one(row, i):
+        nxt = F.get(body, i + 1)
+        return F.struct(*[F.get(row, k).alias(f"c{k}") for k in range(7)],
+                        F.size(row).alias("width"), (i + 1 < n).alias("has_next"),
+                        F.get(nxt, 0).alias("n0"), F.get(nxt, 2).alias("n2"),
+                        F.size(nxt).alias("nwidth"), i.alias("pos"))
+    return F.transform(body, one)
 
 
-def _parse_rows(body: Column, layout: Column) -> Column:
-    """Array of per-row records; non-first rows (B7) have ``first = false``.
+def _layout_record(layout: int):
+    """Stage 2: the record of one body row for one layout.
 
     Record: (first, ok, suspect, key, aqi, pollutant, quality, stations, pos).
-    ``ok`` = false marks a row the reference would fail on (bad AQI, short
-    row, missing look-ahead row), which fails the whole table (B9).
+    ``ok`` = false marks a row the reference fails on (bad AQI, short row,
+    missing look-ahead row); such a row fails its whole table (B9).
     """
-    n = F.size(body)
-
-    def rec(i):
-        row = F.get(body, i)
-        nxt = F.get(body, i + 1)
-        has_next = (i + 1) < n
-        nxt_cont = has_next & ~_valid(F.get(nxt, 0))
-        # look-ahead quality: next row's cell 2 when it continues this city;
-        # when the next row starts another city the reference stores a dict
+    def rec(x):
+        first = _valid(x["c0"])
+        nxt_cont = x["has_next"] & ~_valid(x["n0"])
+        # look-ahead quality: the next row's cell 2 when it continues this
+        # city; when it starts another city the reference stores a dict
         # there -- we keep NULL and flag the row (deviation D6).
-        la_quality = F.when(nxt_cont, F.get(nxt, 2))
-        la_ok = has_next & (~nxt_cont | (F.size(nxt) > 2))
-        la_suspect = has_next & ~nxt_cont
-        c0, c1 = _cell(row, 0), _cell(row, 1)
-        first = _valid(c0)
-
-        def build(key, aqi_txt, pollutant, quality, stations, min_len, need_la):
-            aqi = _as_int(aqi_txt)
-            ok = (F.size(row) >= min_len) & aqi.isNotNull() & key.isNotNull()
-            ok = ok & F.when(need_la, la_ok).otherwise(F.lit(True))
-            q = F.when(need_la, la_quality).otherwise(quality)
-            return F.struct(first.alias("first"), F.when(first, ok).otherwise(F.lit(True)).alias("ok"),
-                            (need_la & la_suspect).alias("suspect"), key.alias("key"),
-                            aqi.alias("aqi"), pollutant.alias("pollutant"), q.alias("quality"),
-                            stations.alias("stations"), i.alias("pos"))
-
+        la_quality = F.when(nxt_cont, x["n2"])
+        la_ok = x["has_next"] & (~nxt_cont | (x["nwidth"] > 2))
+        la_suspect = x["has_next"] & ~nxt_cont
         null_s = F.lit(None).cast("string")
-        l1 = build(c0, _cell(row, 4), _cell(row, 5), null_s, null_s, 6, F.lit(True))
-        l2 = build(c0, _cell(row, 4), _cell(row, 5), c1, _cell(row, 6), 7, ~_valid(c1))
-        l3 = build(c0, _cell(row, 2), _cell(row, 3), c1, _cell(row, 4), 5, ~_valid(c1))
-        l4 = build(c1, F.split_part(_cell(row, 3), F.lit("\n"), F.lit(1)), _cell(row, 4),
-                   _cell(row, 2), _cell(row, 5), 6, F.lit(False))
-        return (F.when(layout == 1, l1).when(layout == 2, l2).when(layout == 3, l3)
-                .otherwise(l4))
-
-    idx = F.sequence(F.lit(0), n - 1)
-    return F.when(n > 0, F.transform(idx, rec)).otherwise(F.array())
+        if layout == 1:
+            key, aqi_txt, pol, q, st, min_len, need_la = (
+                x["c0"], x["c4"], x["c5"], null_s, null_s, 6, F.lit(True))
+        elif layout == 2:
+            key, aqi_txt, pol, q, st, min_len, need_la = (
+                x["c0"], x["c4"], x["c5"], x["c1"], x["c6"], 7, ~_valid(x["c1"]))
+        elif layout == 3:
+            key, aqi_txt, pol, q, st, min_len, need_la = (
+                x["c0"], x["c2"], x["c3"], x["c1"], x["c4"], 5, ~_valid(x["c1"]))
+        else:
+            key, aqi_txt, pol, q, st, min_len, need_la = (
+                x["c1"], F.split_part(x["c3"], F.lit("\n"), F.lit(1)), x["c4"], x["c2"], x["c5"],
+                6, F.lit(False))
+        aqi = _as_int(aqi_txt)
+        ok = (x["width"] >= min_len) & aqi.isNotNull() & key.isNotNull()
+        ok = ok & F.when(need_la, la_ok).otherwise(F.lit(True))
+        return F.struct(first.alias("first"), F.when(first, ok).otherwise(F.lit(True)).alias("ok"),
+                        (need_la & la_suspect).alias("suspect"), key.alias("key"),
+                        aqi.alias("aqi"), pol.alias("pollutant"),
+                        F.when(need_la, la_quality).otherwise(q).alias("quality"),
+                        st.alias("stations"), x["pos"].alias("pos"))
+    return rec
 
 
 def parse_tables(cells: DataFrame) -> DataFrame:
@@ -182,15 +187,19 @@ def parse_tables(cells: DataFrame) -> DataFrame:
     r = route(cells)
     body = F.when(F.size("cells") > 1, F.slice("cells", 2, F.size("cells") - 1)) \
         .otherwise(F.array().cast("array<array<string>>"))
-    # ``body`` and ``recs`` are projected as columns of their own so the
-    # optimizer does not inline the array expressions into every lambda use.
-    r = r.select("date", "page", "layout", body.alias("body"))
-    parsed = F.when(F.col("layout") >= 1, _parse_rows(F.col("body"), F.col("layout")))
-    r = r.select("date", "page", "layout", parsed.alias("recs"))
-    status = (F.when(F.col("layout").isNull(), "unknown_header")
-              .when(F.col("layout") == 0, "legend")
+    # Stage 1 is projected as a column of its own; stage 2 picks one small
+    # lambda per table (CASE is lazy, only the table's layout runs).
+    r = r.select("date", "page", "layout", _cells_of(body).alias("rows"))
+    lay = F.col("layout")
+    recs = F.when(lay == 1, F.transform("rows", _layout_record(1))) \
+        .when(lay == 2, F.transform("rows", _layout_record(2))) \
+        .when(lay == 3, F.transform("rows", _layout_record(3))) \
+        .when(lay == 4, F.transform("rows", _layout_record(4)))
+    status = (F.when(lay.isNull(), "unknown_header")
+              .when(lay == 0, "legend")
               .when(F.forall("recs", lambda x: x["ok"]), "ok")
               .otherwise("bad_row"))
+    r = r.select("date", "page", "layout", recs.alias("recs"))
     return r.select("date", "page", "layout", status.alias("status"),
                     F.filter("recs", lambda x: x["first"]).alias("records"))
 
@@ -213,9 +222,27 @@ def records(cells: DataFrame) -> DataFrame:
                     F.col("r.stations").alias("stations"), F.col("r.suspect").alias("suspect"))
 
 
+def last_per_table_records(cells: DataFrame) -> DataFrame:
+    """B8 + B10: per table, one record per raw city: the values of its last
+    row, at the position of its first row (dict ``update`` semantics).
+    Row-local: a page table is a short array, so the first/last positions of
+    each key are found inside it -- no shuffle."""
+    p = parse_tables(cells).where(F.col("status") == "ok")
+    keys = F.transform("records", lambda x: x["key"])
+    n = F.size("records")
+    last = F.filter("records", lambda x, i: (n - F.array_position(F.reverse(keys), x["key"])) == i)
+    kept = F.transform(last, lambda x: x.withField(
+        "pos", (F.array_position(keys, x["key"]) - 1).cast("int")))
+    e = p.select("date", "page", "layout", F.explode(kept).alias("r"))
+    return e.select("date", "page", "layout", F.col("r.pos").alias("pos"),
+                    F.col("r.key").alias("city_raw"), F.col("r.aqi").alias("aqi"),
+                    F.col("r.pollutant").alias("pollutant"), F.col("r.quality").alias("quality"),
+                    F.col("r.stations").alias("stations"), F.col("r.suspect").alias("suspect"))
+
+
 def last_per_table(recs: DataFrame) -> DataFrame:
-    """Per (date, page, raw city) the last row wins, kept at the position
-    of the city's first appearance (dict ``update`` semantics)."""
+    """B8 as an aggregation, for record tables that did not come from one
+    array (kept for callers holding exploded records)."""
     g = recs.groupBy("date", "page", "layout", "city_raw").agg(
         F.min("pos").alias("pos"), F.max_by(F.struct("aqi", "pollutant", "quality", "stations",
                                                      "suspect"), F.col("pos")).alias("v"))
@@ -247,7 +274,7 @@ def city_day(cells: DataFrame, city_states: DataFrame) -> tuple[DataFrame, DataF
     ``city_states``: (city, state) lookup, a dimension table.
     """
     spark = cells.sparkSession
-    recs = last_per_table(records(cells))
+    recs = last_per_table_records(cells)
     stripped = recs.withColumn("city0", canonical_city(F.col("city_raw")))
     al = alias_table(spark)
     c = (stripped.join(F.broadcast(al), stripped.city0 == al.raw, "left")
@@ -272,6 +299,8 @@ def densify(cd: DataFrame) -> DataFrame:
     The date spine holds the distinct bulletin dates (bounded by calendar
     days in the span, not by data volume); each city row explodes it.
     """
+    # cut the lineage once: the table is used three times below
+    cd = cd.checkpoint(eager=True)
     spine = cd.select(F.array_sort(F.collect_set("date")).alias("dates")).scalar()
     cities = cd.select("city").distinct()
     grid = cities.select("city", F.explode(spine).alias("date"))
@@ -359,7 +388,9 @@ def derived_cells(t) -> DataFrame:
     header = F.get(headers, F.col("layout") - 1)
     tables = pages.select("date", "page", F.concat(F.array(header), F.flatten(
         F.transform("rr", lambda x: x["rows"]))).alias("cells"))
-    legend = s.select(F.col("d").cast("string").alias("date")).distinct().select(
+    # the legend page of each day: one per date, from the day's first row
+    # (same lineage as the pages, so the planner reuses its exchange)
+    legend = per_row.where(F.col("r") == 0).select(
         "date", F.lit(0).alias("page"),
         F.array(F.array(*[F.lit(h) for h in LEGEND_HEADERS[2]]),
                 F.array(F.lit("0-50"), F.lit("Good"), F.lit("green"), F.lit("Minimal Impact"))
