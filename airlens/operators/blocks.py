@@ -19,12 +19,12 @@ from airlens.plans.registry import Entry
 
 
 def _profile(df):
-    return df.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("pm25"), 6).alias("mean_pm25"),
-                  rnd(F.avg("pm10"), 6).alias("mean_pm10"))
+    return df.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("pm25"), 9).alias("mean_pm25"),
+                  rnd(F.avg("pm10"), 9).alias("mean_pm10"))
 
 
 def _sql_profile(where, table="readings"):
-    return (f"select count(*) as n, round(avg(pm25), 6) as mean_pm25, round(avg(pm10), 6) as "
+    return (f"select count(*) as n, round(avg(pm25), 9) as mean_pm25, round(avg(pm10), 9) as "
             f"mean_pm10 from {table} where {where}")
 
 
@@ -209,7 +209,7 @@ def g9(t):
 
 def g10(t):
     r = t.readings
-    return r.agg(rnd(F.avg("pm25"), 6).alias("mean"), rnd(F.median("pm25"), 6).alias("median"))
+    return r.agg(rnd(F.avg("pm25"), 9).alias("mean"), rnd(F.median("pm25"), 9).alias("median"))
 
 
 def g11(t):
@@ -228,7 +228,7 @@ def _sql_fy_long():
 
 
 def g12(t):
-    g = t.readings.groupBy("city").agg(rnd(F.avg("pm25"), 6).alias("m25"), rnd(F.avg("pm10"), 6).alias("m10"))
+    g = t.readings.groupBy("city").agg(rnd(F.avg("pm25"), 9).alias("m25"), rnd(F.avg("pm10"), 9).alias("m10"))
     return g
 
 
@@ -239,12 +239,12 @@ def g13(t):
 
 def g14(t):
     r = t.readings
-    return r.groupBy("state", F.year("ts").alias("year")).agg(rnd(F.avg("pm25"), 6).alias("value"))
+    return r.groupBy("state", F.year("ts").alias("year")).agg(rnd(F.avg("pm25"), 9).alias("value"))
 
 
 def g15(t):
     r = t.readings
-    return r.groupBy(tf.weekday_name().alias("weekday")).agg(rnd(F.avg("pm10"), 6).alias("value"))
+    return r.groupBy(tf.weekday_name().alias("weekday")).agg(rnd(F.avg("pm10"), 9).alias("value"))
 
 
 def g16(t):
@@ -265,11 +265,11 @@ _SQL_CITY_MEANS = "select city as lbl, avg(pm10) as v from readings group by cit
 
 def r1(t):
     return nth(_city_means(t), [("v", True), ("lbl", True)], (0, 1, 2, -1, -2, -3),
-               [F.col("lbl").alias("answer"), rnd(F.col("v"), 6).alias("value")])
+               [F.col("lbl").alias("answer"), rnd(F.col("v"), 9).alias("value")])
 
 
 R1_SQL = sql_nth(_SQL_CITY_MEANS, [("v", True), ("lbl", True)], (0, 1, 2, -1, -2, -3),
-                 ["lbl as answer", "round(v, 6) as value"])
+                 ["lbl as answer", "round(v, 9) as value"])
 
 
 def r2(t):
@@ -283,11 +283,11 @@ R2_SQL = sql_nth(_SQL_CITY_MEANS, [("v", True), ("lbl", True)], (-4, -5, -1000),
 
 def r3(t):
     return top_k(_city_means(t), [("v", False), ("lbl", False)], 5).select(
-        F.col("lbl").alias("answer"), rnd(F.col("v"), 6).alias("value"))
+        F.col("lbl").alias("answer"), rnd(F.col("v"), 9).alias("value"))
 
 
 _R3_TOP = sql_top_k(_SQL_CITY_MEANS, [("v", False), ("lbl", False)], 5)
-R3_SQL = f"select lbl as answer, round(v, 6) as value from ({_R3_TOP}) t"
+R3_SQL = f"select lbl as answer, round(v, 9) as value from ({_R3_TOP}) t"
 
 
 def r4(t):
@@ -338,11 +338,11 @@ R7_SQL = (f"select 'top' as side, lbl as answer from ({_R7_TOP}) a "
 # --- joins ---------------------------------------------------------------------------
 
 def j1(t):
-    g = t.readings.groupBy("state").agg(rnd(F.avg("pm25"), 6).alias("m"))
+    g = t.readings.groupBy("state").agg(rnd(F.avg("pm25"), 9).alias("m"))
     return g.join(t.states.select("state", "area_km2"), "state")
 
 
-J1_SQL = ("select g.state, g.m, s.area_km2 from (select state, round(avg(pm25), 6) as m from "
+J1_SQL = ("select g.state, g.m, s.area_km2 from (select state, round(avg(pm25), 9) as m from "
           "readings group by state) g join states s on g.state = s.state")
 
 
@@ -358,11 +358,11 @@ J2_SQL = ("select f.state, round(f.tot / s.population, 9) as per_capita from (se
 
 def j3(t):
     """State aggregate joined 1:N to city-level funding rows."""
-    g = t.readings.groupBy("state").agg(rnd(F.avg("pm25"), 6).alias("m"))
+    g = t.readings.groupBy("state").agg(rnd(F.avg("pm25"), 9).alias("m"))
     return g.join(t.funding.select("state", "city", "rel_fy1"), "state")
 
 
-J3_SQL = ("select g.state, g.m, f.city, f.rel_fy1 from (select state, round(avg(pm25), 6) as m "
+J3_SQL = ("select g.state, g.m, f.city, f.rel_fy1 from (select state, round(avg(pm25), 9) as m "
           "from readings group by state) g join funding f on g.state = f.state")
 
 
@@ -418,11 +418,11 @@ def j11(t):
     y = F.year("ts")
     g = r.groupBy("state").agg(F.avg(F.when(y == 1996, F.col("pm25"))).alias("a"),
                                F.avg(F.when(y == 2000, F.col("pm25"))).alias("b"))
-    return g.select("state", rnd(F.col("a") - F.col("b"), 6).alias("decrease"))
+    return g.select("state", rnd(F.col("a") - F.col("b"), 9).alias("decrease"))
 
 
 J11_SQL = ("select state, round(avg(case when year(ts) = 1996 then pm25 end) - avg(case when "
-           "year(ts) = 2000 then pm25 end), 6) as decrease from readings group by state")
+           "year(ts) = 2000 then pm25 end), 9) as decrease from readings group by state")
 
 
 # --- reshape ----------------------------------------------------------------------------
@@ -431,11 +431,11 @@ def x1(t):
     """Pivot on year (values listed, so one pass)."""
     r = t.readings.where(tf.in_years(1996, 1998, t.readings))
     p = r.groupBy("state").pivot("year", [1996, 1997, 1998]).agg(F.avg("pm25"))
-    return p.select("state", *[rnd(F.col(str(y)), 6).alias(f"y{y}") for y in (1996, 1997, 1998)])
+    return p.select("state", *[rnd(F.col(str(y)), 9).alias(f"y{y}") for y in (1996, 1997, 1998)])
 
 
 X1_SQL = ("select state, " + ", ".join(
-    f"round(avg(case when year(ts) = {y} then pm25 end), 6) as y{y}" for y in (1996, 1997, 1998))
+    f"round(avg(case when year(ts) = {y} then pm25 end), 9) as y{y}" for y in (1996, 1997, 1998))
     + " from readings where year(ts) between 1996 and 1998 group by state")
 
 
@@ -508,7 +508,7 @@ def registry():
                             f"{sql_pdiv('m25', 'population')} * 1000000", 9),
         "F11": _state_ratio(lambda: pdiv(F.col("m10"), pdiv(F.col("population"), F.col("area_km2"))),
                             sql_pdiv("m10", sql_pdiv("population", "area_km2")), 12),
-        "F12": _state_ratio(lambda: F.col("m25") + F.col("m10"), "m25 + m10", 6),
+        "F12": _state_ratio(lambda: F.col("m25") + F.col("m10"), "m25 + m10", 9),
         "F13": Entry(f13, F13_SQL), "F14": Entry(f14, F14_SQL),
         "F15": _state_ratio(lambda: F.col("m25") * F.col("population"), "m25 * population", 2),
         "F16": _state_ratio(lambda: pdiv(F.col("n_st"), F.col("population") / 1e6),
@@ -516,22 +516,22 @@ def registry():
         "F19": Entry(f19, F19_SQL),
         "G1": _stat_by_state("mean", "pm10"), "G2": _stat_by_state("median", "pm10"),
         "G3": _stat_by_state("q25", "pm10"), "G4": _stat_by_state("sum", "pm25", 4),
-        "G5": _stat_by_state("std", "pm10", 9), "G6": _stat_by_state("var", "pm10", 6),
+        "G5": _stat_by_state("std", "pm10", 9), "G6": _stat_by_state("var", "pm10", 9),
         "G7": _stat_by_state("nunique", "city"),
         "G8": Entry(lambda t: t.readings.groupBy("state").agg(F.count(F.lit(1)).alias("n")),
                     "select state, count(*) as n from readings group by state"),
         "G9": Entry(g9, "select max(pm10) as value from readings"),
-        "G10": Entry(g10, "select round(avg(pm25), 6) as mean, round(median(pm25), 6) as median "
+        "G10": Entry(g10, "select round(avg(pm25), 9) as mean, round(median(pm25), 9) as median "
                           "from readings"),
         "G11": Entry(g11, f"select col, round(avg(amount), 4) as mean, round(median(amount), 4) as "
                           f"median from ({_sql_fy_long()}) u group by col"),
-        "G12": Entry(g12, "select city, round(avg(pm25), 6) as m25, round(avg(pm10), 6) as m10 "
+        "G12": Entry(g12, "select city, round(avg(pm25), 9) as m25, round(avg(pm10), 9) as m10 "
                           "from readings group by city"),
         "G13": Entry(g13, "select state, round(stddev_samp(pm25) / sqrt(count(pm25)), 9) as sem "
                           "from readings group by state"),
-        "G14": Entry(g14, "select state, year(ts) as year, round(avg(pm25), 6) as value from "
+        "G14": Entry(g14, "select state, year(ts) as year, round(avg(pm25), 9) as value from "
                           "readings group by state, year(ts)"),
-        "G15": Entry(g15, "select dayname(ts) as weekday, round(avg(pm10), 6) as value from "
+        "G15": Entry(g15, "select dayname(ts) as weekday, round(avg(pm10), 9) as value from "
                           "readings group by dayname(ts)"),
         "G16": Entry(g16, "select state, count(*) as n from readings where pm25 is not null "
                           "group by state"),

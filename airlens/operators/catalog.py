@@ -412,11 +412,11 @@ def t25(t, state="NATION_3", day=2, stat="mean", pm="pm25"):
     """Mean/median of pm on a weekday (Mon = 0) in one state -- a scalar."""
     r = t.readings
     return r.where((F.col("state") == state) & tf.weekday_is(day)).agg(
-        rnd(agg(stat, pm), 6).alias("value"))
+        rnd(agg(stat, pm), 9).alias("value"))
 
 
 def t25_sql(state="NATION_3", day=2, stat="mean", pm="pm25"):
-    return (f"select round({sql_agg(stat, pm)}, 6) as value from readings "
+    return (f"select round({sql_agg(stat, pm)}, 9) as value from readings "
             f"where state = '{state}' and isodow(ts) - 1 = {day}")
 
 

@@ -127,11 +127,11 @@ def q8(t, city="NATION_4/BUILDING", year=1999):
     r = t.readings
     return (r.where((F.col("city") == city) & tf.in_year(year, r))
             .groupBy(F.month("ts").alias("month"))
-            .agg(rnd(F.avg("pm25"), 6).alias("value"), F.count(F.lit(1)).alias("n")))
+            .agg(rnd(F.avg("pm25"), 9).alias("value"), F.count(F.lit(1)).alias("n")))
 
 
 def q8_sql(city="NATION_4/BUILDING", year=1999):
-    return (f"select month(ts) as month, round(avg(pm25), 6) as value, count(*) as n "
+    return (f"select month(ts) as month, round(avg(pm25), 9) as value, count(*) as n "
             f"from readings where city = '{city}' and {tf.sql_in_year(year)} group by month(ts)")
 
 
