@@ -485,8 +485,39 @@ def x7(t):
 X7_SQL = "select question_id, sample_idx from samples"
 
 
+def x2(t):
+    """The three FY columns unpivoted to (column, amount) rows."""
+    from airlens.operators.catalog import FY_COLS
+    f = t.funding.select("city", *[F.col(c).alias(n) for c, n in FY_COLS.items()])
+    return f.unpivot(["city"], list(FY_COLS.values()), "col", "amount").select(
+        "city", "col", rnd(F.col("amount"), 2).alias("amount"))
+
+
+def c2(t):
+    """Lint of the template documents built from the tables (A4)."""
+    from airlens.operators.corpus import lint_templates
+    from airlens.sources.files import template_values, write_templates
+    tmpl, vals = template_values(t.spark, write_templates(t))
+    lint = lint_templates(tmpl, vals)
+    return lint.select("template_id", F.size("unequal_lists").alias("n_unequal"),
+                       F.size("undeclared").alias("n_undeclared"), F.size("unused").alias("n_unused"))
+
+
 def registry():
+    from airlens.operators import evaluation as ev
+    from airlens.operators import corpus as co
     reg = {pid: _pred_entry(cond, sql) for pid, cond, sql in _P}
+    reg.update({
+        "X2": Entry(x2, "select city, col, round(amount, 2) as amount from (" + " union all ".join(
+            f"select city, '{n}' as col, {c} as amount from funding" for c, n in
+            __import__("airlens.operators.catalog", fromlist=["FY_COLS"]).FY_COLS.items()) + ") u"),
+        "C2": Entry(c2, "select cast(r_regionkey as integer) as template_id, 0 as n_unequal, "
+                        "0 as n_undeclared, 0 as n_unused from region"),
+        "F17": Entry(ev.e1, ev.E1_SQL, ()),
+        "F18": Entry(co.c1, co.C1_SQL, ("readings",)),
+        "J9": Entry(ev.e17, ev.E17_SQL, ("samples",)),
+        "J10": Entry(ev.e16, ev.E16_SQL, ("samples",)),
+    })
     reg.update({
         "P14": Entry(p14, P14_SQL), "P15": Entry(p15, P15_SQL), "P16": Entry(p16, P16_SQL),
         "P17": Entry(p17, P17_SQL), "P18": Entry(p18, P18_SQL), "P19": Entry(p19, P19_SQL),

@@ -500,4 +500,105 @@ def registry():
         "B14": Entry(b14, B14_SQL, rv),
         "B17": Entry(b17, B17_SQL, rv),
         "B19": Entry(b19, B19_SQL, rv),
+    } | more_registry()
+
+
+# --- per-step queries over the derived bulletins -------------------------------------------
+
+def _layout_records(t, layout: int):
+    recs = last_per_table_records(derived_cells(t)).where(F.col("layout") == layout)
+    return recs.select(F.to_date("date").alias("date"),
+                       canonical_city(F.col("city_raw")).alias("city"), "aqi", "pollutant",
+                       "quality", "stations")
+
+
+def _sql_layout_records(layout: int) -> str:
+    stations = {1: "null", 2: "cast(n_st as varchar)", 3: "cast(n_st as varchar)",
+                4: "cast(n_st as varchar) || '/' || cast(n_st + 1 as varchar)"}[layout]
+    return (f"select d as date, city, aqi, pollutant, quality, {stations} as stations from "
+            f"({SQL_SOURCE}) s where layout = {layout} and (d, page) not in "
+            f"(select d, page from ({SQL_SOURCE}) b where bad)")
+
+
+def b2(t):
+    """B2: layout-1 records (quality from the next row, no station count)."""
+    return _layout_records(t, 1)
+
+
+def b3(t):
+    """Layout-2 records (quality in the row or the next one)."""
+    return _layout_records(t, 2)
+
+
+def b4(t):
+    """Layout-3 records."""
+    return _layout_records(t, 3)
+
+
+def b5(t):
+    """Layout-4 records (AQI before a newline, S.No starts a row)."""
+    return _layout_records(t, 4)
+
+
+def _row_kinds(t):
+    p = route(derived_cells(t)).where(F.col("layout") >= 1)
+    rows = p.select("layout", F.explode(F.slice("cells", 2, 10 ** 6)).alias("row"))
+    first = _valid(F.get(F.col("row"), 0))
+    return rows.groupBy("layout").agg(F.sum(first.cast("int")).alias("n_first"),
+                                      F.sum((~first).cast("int")).alias("n_continuation"))
+
+
+def b6(t):
+    """Rows whose first cell is valid (a record starts) vs continuation rows."""
+    return _row_kinds(t)
+
+
+_SQL_ROW_KINDS = (f"select layout, cast(count(*) as bigint) as n_first, cast(sum(case "
+                  f"when layout in (1, 4) then 1 when layout = 2 and r % 2 = 1 then 1 else 0 end) "
+                  f"as bigint) as n_continuation from ({SQL_SOURCE}) s group by layout")
+
+
+def b12(t):
+    """Raw city cells that needed stripping (padding, newlines), and the
+    distinct canonical names they map to."""
+    recs = last_per_table_records(derived_cells(t))
+    canon = canonical_city(F.col("city_raw"))
+    return recs.agg(F.sum((F.col("city_raw") != canon).cast("int")).cast("bigint").alias("n_cleaned"),
+                    F.count_distinct(canon).alias("n_cities"))
+
+
+B12_SQL = (f"select cast(sum(case when r % 5 = 0 then 1 else 0 end) as bigint) as n_cleaned, "
+           f"count(distinct city) as n_cities from ({SQL_SOURCE}) s where (d, page) not in "
+           f"(select d, page from ({SQL_SOURCE}) b where bad)")
+
+
+def b15(t):
+    """Bulletin dates cast to DATE, rows per year."""
+    good, _ = city_day(derived_cells(t), _city_states(t))
+    return good.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def b18(t):
+    """Station counts parsed from the cells, per layout."""
+    recs = last_per_table_records(derived_cells(t))
+    return recs.groupBy("layout").agg(F.sum(parse_stations(F.col("stations"))).alias("stations"),
+                                      F.count(parse_stations(F.col("stations"))).alias("n_parsed"))
+
+
+B18_SQL = (f"select layout, case when layout = 1 then null else sum(n_st) end as stations, "
+           f"case when layout = 1 then 0 else count(*) end as n_parsed from ({SQL_SOURCE}) s "
+           f"where (d, page) not in (select d, page from ({SQL_SOURCE}) b where bad) group by layout")
+
+
+def more_registry():
+    rv = ("readings",)
+    return {
+        "B2": Entry(b2, _sql_layout_records(1), rv),
+        "B3": Entry(b3, _sql_layout_records(2), rv),
+        "B4": Entry(b4, _sql_layout_records(3), rv),
+        "B5": Entry(b5, _sql_layout_records(4), rv),
+        "B6": Entry(b6, _SQL_ROW_KINDS, rv),
+        "B12": Entry(b12, B12_SQL, rv),
+        "B15": Entry(b15, f"select year(date) as year, count(*) as n from ({SQL_GOOD}) g group by year(date)", rv),
+        "B18": Entry(b18, B18_SQL, rv),
     }

@@ -286,7 +286,31 @@ A14_SQL = ("select count(*) as n_rows, min(cast(ts as date)) as first_day, max(c
            "count(distinct station) as n_stations from readings")
 
 
+def a11(t):
+    """Per-category summaries written as JSON partitioned by model and
+    category, read back (partition columns recovered by discovery)."""
+    from airlens.operators.evaluation import category_summary
+    path = _path(t, "category_json")
+    c = category_summary(t)
+    c.write.mode("overwrite").partitionBy("model", "category").json(path)
+    back = t.spark.read.schema("pass_at_1 double, count bigint, model string, category string") \
+        .json(path)
+    return back.select("model", "category", F.round("pass_at_1", 9).alias("pass_at_1"), "count")
+
+
+def a12(t):
+    """The model comparison written as one CSV folder with a header."""
+    from airlens.operators.evaluation import compare
+    path = _path(t, "comparison_csv")
+    compare(t).write.mode("overwrite").option("header", True).csv(path)
+    back = t.spark.read.option("header", True).schema(
+        "category string, metric string, base double, tuned double, change double, "
+        "improvement_pct double").csv(path)
+    return back.select("category", "metric", F.round("improvement_pct", 9).alias("improvement_pct"))
+
+
 def registry():
+    from airlens.operators.evaluation import SQL_CATEGORY_SUMMARY, _sql_compare
     rv = ("readings", "states", "funding")
     sv = ("samples",)
     return {
@@ -302,4 +326,8 @@ def registry():
         "A10": Entry(a10, A10_SQL, rv),
         "A13": Entry(a13, A13_SQL, rv),
         "A14": Entry(a14, A14_SQL, rv),
+        "A11": Entry(a11, f"select model, category, round(pass_at_1, 9) as pass_at_1, count from "
+                          f"({SQL_CATEGORY_SUMMARY}) c", sv),
+        "A12": Entry(a12, f"select category, metric, round(improvement_pct, 9) as improvement_pct "
+                          f"from ({_sql_compare()}) c", sv),
     }
