@@ -500,7 +500,7 @@ def registry():
         "B14": Entry(b14, B14_SQL, rv),
         "B17": Entry(b17, B17_SQL, rv),
         "B19": Entry(b19, B19_SQL, rv),
-    } | more_registry()
+    } | more_registry() | dup_registry()
 
 
 # --- per-step queries over the derived bulletins -------------------------------------------
@@ -602,3 +602,77 @@ def more_registry():
         "B15": Entry(b15, f"select year(date) as year, count(*) as n from ({SQL_GOOD}) g group by year(date)", rv),
         "B18": Entry(b18, B18_SQL, rv),
     }
+
+
+# --- duplicates: an extra page on every 17th day (B8, B13, B16) ----------------------------
+
+EXTRA_PAGE = 99
+
+
+def extra_cells(t) -> DataFrame:
+    """A late page (layout 3) on every 17th day repeating the day's first
+    three cities -- first with altered values, then with the originals --
+    plus an ``Aurangabad`` row. Last-row-wins (B8) keeps the originals, the
+    exclusion (B13) drops Aurangabad, first-page-wins (B16) prefers the
+    regular pages."""
+    s = source_city_days(t).where((F.col("dn") % 17 == 0) & (F.col("r") < 3))
+    row = lambda q, a: F.array(F.col("city"), q, a.cast("string"), F.col("pollutant"),
+                               F.col("n_st").cast("string"))
+    per_city = s.select(F.col("d").cast("string").alias("date"), "r",
+                        F.array(row(F.lit("Severe"), F.col("aqi") + 500),
+                                row(F.col("quality"), F.col("aqi"))).alias("rows"))
+    pages = per_city.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("r", "rows"))).alias("rr"))
+    first_half = F.transform("rr", lambda x: F.get(x["rows"], 0))
+    second_half = F.transform("rr", lambda x: F.get(x["rows"], 1))
+    header = F.array(*[F.lit(h).cast("string") for h in LAYOUT_3_HEADERS[0]])
+    aur = F.array(F.array(*[F.lit(v) for v in ("Aurangabad", "Good", "10", "PM10", "1")]))
+    return pages.select("date", F.lit(EXTRA_PAGE).alias("page"),
+                        F.concat(F.array(header), first_half, second_half, aur).alias("cells"))
+
+
+def _all_cells(t) -> DataFrame:
+    return derived_cells(t).unionByName(extra_cells(t))
+
+
+def b8(t):
+    """The late page's records after last-row-wins."""
+    recs = last_per_table_records(extra_cells(t))
+    return recs.select(F.to_date("date").alias("date"), canonical_city(F.col("city_raw")).alias("city"),
+                       "aqi", "quality")
+
+
+B8_SQL = (f"select d as date, city, aqi, quality from ({SQL_SOURCE}) s where dn % 17 = 0 and r < 3 "
+          f"union all select distinct d, 'Aurangabad', 10, 'Good' from ({SQL_SOURCE}) s2 "
+          f"where dn % 17 = 0")
+
+
+def b13(t):
+    """The ambiguous city never reaches the city-day table."""
+    good, _ = city_day(_all_cells(t), _city_states(t))
+    return good.agg(F.count(F.lit(1)).alias("n_rows"),
+                    F.sum((F.col("city") == "Aurangabad").cast("int")).cast("bigint").alias("n_excluded_city"))
+
+
+def b16(t):
+    """One row per (date, city): the regular page wins over the late one;
+    a city whose regular page was dropped (B9) comes from the late page."""
+    good, _ = city_day(_all_cells(t), _city_states(t))
+    return good.select("date", "city", "aqi", "pollutant", "quality", "n_stations")
+
+
+_SQL_LATE = (f"select d as date, city, state, aqi, pollutant, quality, cast(n_st as integer) as "
+             f"n_stations from ({SQL_SOURCE}) s where dn % 17 = 0 and r < 3 and (d, page) in "
+             f"(select d, page from ({SQL_SOURCE}) b where bad)")
+_SQL_GOOD_ALL = f"select * from ({SQL_GOOD}) g union all {_SQL_LATE}"
+B13_SQL = (f"select count(*) as n_rows, cast(0 as bigint) as n_excluded_city from ({_SQL_GOOD_ALL}) a")
+B16_SQL = (f"select date, city, aqi, pollutant, quality, n_stations from ({_SQL_GOOD_ALL}) a")
+
+
+def dup_registry():
+    rv = ("readings",)
+    return {
+        "B7": Entry(b6, _SQL_ROW_KINDS, rv),
+        "B8": Entry(b8, B8_SQL, rv),
+        "B13": Entry(b13, B13_SQL, rv),
+        "B16": Entry(b16, B16_SQL, rv),
+    }
