@@ -348,7 +348,7 @@ def source_city_days(t) -> DataFrame:
         "bad", (F.col("dn") % 13 == 0) & (F.col("r") == 0))
 
 
-def derived_cells(t) -> DataFrame:
+def build_cells(t) -> DataFrame:
     """Bulletin page tables in the four layouts (plus a legend page per day)
     generated from ``source_city_days``: continuation rows, blank quality
     cells, padded city names and station fractions included; on every 13th
@@ -395,7 +395,12 @@ def derived_cells(t) -> DataFrame:
         F.array(F.array(*[F.lit(h) for h in LEGEND_HEADERS[2]]),
                 F.array(F.lit("0-50"), F.lit("Good"), F.lit("green"), F.lit("Minimal Impact"))
                 ).alias("cells"))
-    return tables.unionByName(legend)
+    return tables.unionByName(legend).repartitionByRange("date").sortWithinPartitions("date", "page")
+
+
+def derived_cells(t) -> DataFrame:
+    """The stored bulletin page tables of this snapshot (see ``build_cells``)."""
+    return t.bulletin_cells
 
 
 def _city_states(t) -> DataFrame:

@@ -25,7 +25,7 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events", "documents", "embeddings", "pages",
                "benchmark", "labels", "conversations")
 
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()
 _CACHE: dict[tuple, "Tables"] = {}
 
 
@@ -86,6 +86,13 @@ class Tables:
     def funding(self) -> DataFrame:
         return self._materialised("funding", build_funding)
 
+    @property
+    def bulletin_cells(self) -> DataFrame:
+        """Bulletin page tables derived from readings -- the ETL's input table
+        (it stands for the cells extracted from the PDFs), stored once."""
+        from airlens.operators.bulletins import build_cells
+        return self._materialised("bulletin_cells", build_cells)
+
     @property
     def samples(self) -> DataFrame:
         return build_samples(self)
