@@ -125,15 +125,33 @@ E5_SQL = (f"select question_id, sample_idx, {sql_answer_match('output', 'answer'
 # --- E6-E8: per-question metrics ---------------------------------------------
 
 def question_metrics(samples: DataFrame) -> DataFrame:
-    """pass@1, pass@2 and exec@1 per (model, question)."""
+    """pass@1, pass@2 and exec@1 per (model, question); ``n`` samples and
+    ``n_err`` failures ride along so sample-grain summaries can be computed
+    from this (pre-aggregated) table."""
     q = samples.groupBy("model", "category", "question_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("passed").cast("int")).alias("c"),
-        F.avg(F.col("executed").cast("double")).alias("exec_at_1"))
+        F.avg(F.col("executed").cast("double")).alias("exec_at_1"),
+        F.count("error_type").alias("n_err"))
     return q.select("model", "category", "question_id", "n", "c",
                     pass_at_k(F.col("n"), F.col("c"), 1).alias("pass_at_1"),
                     pass_at_k(F.col("n"), F.col("c"), 2).alias("pass_at_2"),
-                    "exec_at_1")
+                    "exec_at_1", "n_err")
+
+
+def _w_mean(x: str):
+    """Mean over sample rows of a per-question value (each question weighs n)."""
+    return F.sum(F.col("n") * F.col(x)) / F.sum("n")
+
+
+def _w_sem(x: str):
+    """SEM over sample rows of a per-question value repeated n times:
+    sqrt(var_samp / N) from weighted sums (NULL for N = 1)."""
+    n = F.sum("n")
+    s1 = F.sum(F.col("n") * F.col(x))
+    s2 = F.sum(F.col("n") * F.col(x) * F.col(x))
+    var = F.greatest(F.lit(0.0), (s2 - s1 * s1 / n)) / (n - 1)
+    return F.when(n > 1, F.sqrt(var / n))
 
 
 SQL_QUESTION_METRICS = (
@@ -197,10 +215,11 @@ E8_SQL = (f"select model, question_id, sample_idx, "
 
 def e9(t):
     """Category means of pass@1, pass@2, exec@1 at sample grain (as the
-    reference: each question weighs SAMPLE_SIZE times)."""
-    m = sample_metrics(t.samples)
-    return m.groupBy("model", "category").agg(
-        *[rnd(F.avg(x), 9).alias(f"mean_{x}") for x in METRICS])
+    reference: each question weighs its number of samples), computed from
+    the per-question aggregate -- raw samples are shuffled only once."""
+    q = question_metrics(t.samples)
+    return q.groupBy("model", "category").agg(
+        *[rnd(_w_mean(x), 9).alias(f"mean_{x}") for x in METRICS])
 
 
 E9_SQL = ("select model, category, "
@@ -210,10 +229,9 @@ E9_SQL = ("select model, category, "
 
 def e10(t):
     """Category SEM (std ddof 1 / sqrt n) at sample and question grain."""
-    m = sample_metrics(t.samples)
-    by_sample = m.groupBy("model", "category").agg(
-        *[rnd(sem(x), 9).alias(f"sem_{x}") for x in METRICS]).withColumn("grain", F.lit("sample"))
     q = question_metrics(t.samples)
+    by_sample = q.groupBy("model", "category").agg(
+        *[rnd(_w_sem(x), 9).alias(f"sem_{x}") for x in METRICS]).withColumn("grain", F.lit("sample"))
     by_q = q.groupBy("model", "category").agg(
         *[rnd(sem(x), 9).alias(f"sem_{x}") for x in METRICS]).withColumn("grain", F.lit("question"))
     return by_sample.unionByName(by_q)
@@ -275,11 +293,11 @@ E13_SQL = ("select error_type, n, round(n / sum(n) over (), 9) as share, "
 # --- E14-E20: model comparison ------------------------------------------------
 
 def model_summary(t) -> DataFrame:
-    m = sample_metrics(t.samples)
-    return m.groupBy("model").agg(
-        *[F.coalesce(F.avg(x), F.lit(0.0)).alias(x) for x in METRICS],
-        F.count(F.lit(1)).alias("total_samples"),
-        F.count("error_type").alias("n_errors"))
+    q = question_metrics(t.samples)
+    return q.groupBy("model").agg(
+        *[F.coalesce(_w_mean(x), F.lit(0.0)).alias(x) for x in METRICS],
+        F.sum("n").alias("total_samples"),
+        F.sum("n_err").alias("n_errors"))
 
 
 def e14(t):
@@ -295,10 +313,10 @@ E14_SQL = ("select model, " + ", ".join(f"round(coalesce(avg({x}), 0), 9) as {x}
 
 
 def category_summary(t) -> DataFrame:
-    m = sample_metrics(t.samples).withColumn(
+    q = question_metrics(t.samples).withColumn(
         "category", F.coalesce(F.col("category"), F.lit("unknown")))
-    return m.groupBy("model", "category").agg(
-        *[F.avg(x).alias(x) for x in METRICS], F.count(F.lit(1)).alias("count"))
+    return q.groupBy("model", "category").agg(
+        *[_w_mean(x).alias(x) for x in METRICS], F.sum("n").alias("count"))
 
 
 SQL_CATEGORY_SUMMARY = (
