@@ -60,8 +60,8 @@ def p14(t):
                  F.sum(F.when(F.col("area_km2") < 50000, 1).otherwise(0)).alias("n_lt"))
 
 
-P14_SQL = ("select sum(case when area_km2 > 50000 then 1 else 0 end) as n_gt, "
-           "sum(case when area_km2 < 50000 then 1 else 0 end) as n_lt from states")
+P14_SQL = ("select cast(sum(case when area_km2 > 50000 then 1 else 0 end) as bigint) as n_gt, "
+           "cast(sum(case when area_km2 < 50000 then 1 else 0 end) as bigint) as n_lt from states")
 
 
 def p15(t):
@@ -239,7 +239,7 @@ def g13(t):
 
 def g14(t):
     r = t.readings
-    return r.groupBy("state", F.year("ts").alias("year")).agg(rnd(F.avg("pm25"), 9).alias("value"))
+    return r.groupBy("state", F.year("ts").cast("bigint").alias("year")).agg(rnd(F.avg("pm25"), 9).alias("value"))
 
 
 def g15(t):
@@ -470,7 +470,7 @@ def x6(t):
     """First five samples of each question (array slice)."""
     s = t.samples.groupBy("question_id").agg(
         F.array_sort(F.collect_list("sample_idx")).alias("a"))
-    return s.select("question_id", F.size(F.slice("a", 1, 5)).alias("n"))
+    return s.select("question_id", F.size(F.slice("a", 1, 5)).cast("bigint").alias("n"))
 
 
 X6_SQL = "select question_id, least(count(*), 5) as n from samples group by question_id"
@@ -522,10 +522,12 @@ def registry():
         "P14": Entry(p14, P14_SQL), "P15": Entry(p15, P15_SQL), "P16": Entry(p16, P16_SQL),
         "P17": Entry(p17, P17_SQL), "P18": Entry(p18, P18_SQL), "P19": Entry(p19, P19_SQL),
         "P20": Entry(p20, P20_SQL, ("samples",)), "P21": Entry(p21, P21_SQL, ("samples",)),
-        "F1": _counts_by(lambda: F.year("ts") * 100 + F.month("ts"), "year(ts) * 100 + month(ts)"),
+        "F1": _counts_by(lambda: (F.year("ts") * 100 + F.month("ts")).cast("bigint"),
+                         "year(ts) * 100 + month(ts)"),
         "F2": _counts_by(tf.weekday_name, "dayname(ts)"),
         "F3": _counts_by(tf.month_name, "monthname(ts)"),
-        "F4": _counts_by(tf.iso_week, "weekofyear(ts)", lambda r: tf.in_year(1999, r),
+        "F4": _counts_by(lambda: tf.iso_week().cast("bigint"), "weekofyear(ts)",
+                         lambda r: tf.in_year(1999, r),
                          tf.sql_in_year(1999)),
         "F5": _counts_by(tf.season_a, "case when month(ts) in (3, 4, 5) then 'Summer' when month(ts) "
                          "in (12, 1, 2) then 'Winter' when month(ts) in (6, 7, 8) then 'Monsoon' "

@@ -518,7 +518,7 @@ def _layout_records(t, layout: int):
 
 
 def _sql_layout_records(layout: int) -> str:
-    stations = {1: "null", 2: "cast(n_st as varchar)", 3: "cast(n_st as varchar)",
+    stations = {1: "cast(null as varchar)", 2: "cast(n_st as varchar)", 3: "cast(n_st as varchar)",
                 4: "cast(n_st as varchar) || '/' || cast(n_st + 1 as varchar)"}[layout]
     return (f"select d as date, city, aqi, pollutant, quality, {stations} as stations from "
             f"({SQL_SOURCE}) s where layout = {layout} and (d, page) not in "
@@ -580,7 +580,7 @@ B12_SQL = (f"select cast(sum(case when r % 5 = 0 then 1 else 0 end) as bigint) a
 def b15(t):
     """Bulletin dates cast to DATE, rows per year."""
     good, _ = city_day(derived_cells(t), _city_states(t))
-    return good.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    return good.groupBy(F.year("date").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def b18(t):
@@ -590,7 +590,7 @@ def b18(t):
                                       F.count(parse_stations(F.col("stations"))).alias("n_parsed"))
 
 
-B18_SQL = (f"select layout, case when layout = 1 then null else sum(n_st) end as stations, "
+B18_SQL = (f"select layout, case when layout = 1 then null else cast(sum(n_st) as bigint) end as stations, "
            f"case when layout = 1 then 0 else count(*) end as n_parsed from ({SQL_SOURCE}) s "
            f"where (d, page) not in (select d, page from ({SQL_SOURCE}) b where bad) group by layout")
 

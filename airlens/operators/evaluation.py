@@ -69,7 +69,7 @@ def e2(t, n=SAMPLE_SIZE):
     return (c.select("conv_id", "turn", "text", F.row_number().over(w).alias("rn"))
             .where(F.col("rn") <= n)
             .select("conv_id", (F.col("rn") - 1).cast("int").alias("sample_idx"),
-                    F.length("text").alias("n_chars")))
+                    F.length("text").cast("bigint").alias("n_chars")))
 
 
 E2_SQL = ("select conv_id, cast(rn - 1 as integer) as sample_idx, length(text) as n_chars from "
@@ -281,7 +281,7 @@ def e13(t):
     g = s.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy()  # spans the error types only (a handful of rows)
     return g.select("error_type", "n", rnd(F.col("n") / F.sum("n").over(w), 9).alias("share"),
-                    F.row_number().over(Window.orderBy(F.desc("n"), "error_type")).alias("rank"))
+                    F.row_number().over(Window.orderBy(F.desc("n"), "error_type")).cast("bigint").alias("rank"))
 
 
 E13_SQL = ("select error_type, n, round(n / sum(n) over (), 9) as share, "

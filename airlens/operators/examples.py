@@ -126,7 +126,7 @@ def q8(t, city="NATION_4/BUILDING", year=1999):
     """Monthly mean PM2.5 series for a city over a year (a table, not a scalar)."""
     r = t.readings
     return (r.where((F.col("city") == city) & tf.in_year(year, r))
-            .groupBy(F.month("ts").alias("month"))
+            .groupBy(F.month("ts").cast("bigint").alias("month"))
             .agg(rnd(F.avg("pm25"), 9).alias("value"), F.count(F.lit(1)).alias("n")))
 
 
@@ -158,7 +158,7 @@ def q10(t, pm="pm25"):
     j = _state_stat(t, "mean", pm).join(s, "state").select(
         "state", pdiv(F.col("v"), F.col("area_km2")).alias("v"))
     w = Window.orderBy(F.col("v").desc_nulls_last())
-    return j.select("state", rnd(F.col("v"), 12).alias("value"), F.rank().over(w).alias("rnk"))
+    return j.select("state", rnd(F.col("v"), 12).alias("value"), F.rank().over(w).cast("bigint").alias("rnk"))
 
 
 def q10_sql(pm="pm25"):

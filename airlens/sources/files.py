@@ -82,7 +82,7 @@ def a3(t):
     q.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     back = (t.spark.read.schema("id bigint, category string, question string")
             .option("header", True).option("multiLine", True).option("escape", '"').csv(path))
-    return back.select("id", "category", F.length("question").alias("n_chars"))
+    return back.select("id", "category", F.length("question").cast("bigint").alias("n_chars"))
 
 
 A3_SQL = "select doc_id as id, lang as category, length(text) as n_chars from documents"
@@ -205,11 +205,11 @@ def a7(t):
     cd.withColumn("month", F.date_format("date", "yyyy-MM")).write.mode("overwrite") \
         .partitionBy("month").option("header", True).csv(path)
     merged = t.spark.read.schema("date date, city string, n bigint").option("header", True).csv(path)
-    return merged.groupBy(F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("city_days"),
+    return merged.groupBy(F.year("date").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("city_days"),
                                                             F.sum("n").alias("readings"))
 
 
-A7_SQL = ("select year(d) as year, count(*) as city_days, sum(n) as readings from "
+A7_SQL = ("select year(d) as year, count(*) as city_days, cast(sum(n) as bigint) as readings from "
           "(select cast(ts as date) as d, city, count(*) as n from readings group by 1, 2) g "
           "group by year(d)")
 
