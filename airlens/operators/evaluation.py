@@ -183,15 +183,16 @@ E7_SQL = f"select model, question_id, round(exec_at_1, 9) as exec_at_1 from ({SQ
 
 
 def sample_metrics(samples: DataFrame) -> DataFrame:
-    """Question metrics repeated on each of its sample rows (one window,
-    partitioned by question; a question has SAMPLE_SIZE rows)."""
-    w = Window.partitionBy("model", "question_id")
-    n = F.count(F.lit(1)).over(w)
-    c = F.sum(F.col("passed").cast("int")).over(w)
-    return samples.select(
-        "model", "category", "question_id", "sample_idx", "executed", "passed", "error_type",
-        pass_at_k(n, c, 1).alias("pass_at_1"), pass_at_k(n, c, 2).alias("pass_at_2"),
-        F.avg(F.col("executed").cast("double")).over(w).alias("exec_at_1"))
+    """Question metrics repeated on each of its sample rows.
+
+    The metrics are aggregated first (partial aggregation), then joined back
+    on (model, question): a question holding a large share of the rows is a
+    skewed join key that AQE splits, where a window would put it in one task.
+    """
+    q = question_metrics(samples).select("model", "question_id", *METRICS)
+    s = samples.select("model", "category", "question_id", "sample_idx", "executed", "passed",
+                       "error_type")
+    return s.join(q, ["model", "question_id"])
 
 
 SQL_SAMPLE_METRICS = (
