@@ -467,9 +467,12 @@ X5_SQL = "select distinct state from readings"
 
 
 def x6(t):
-    """First five samples of each question (array slice)."""
-    s = t.samples.groupBy("question_id").agg(
-        F.array_sort(F.collect_list("sample_idx")).alias("a"))
+    """First five samples of each question (``generated_samples[:5]``).
+    Rows past the fifth are cut by a per-question ``row_number() <= 5``, which
+    Spark limits before the shuffle, so the array built is at most 5 long."""
+    w = Window.partitionBy("question_id").orderBy("sample_idx")
+    first = t.samples.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 5)
+    s = first.groupBy("question_id").agg(F.array_sort(F.collect_list("sample_idx")).alias("a"))
     return s.select("question_id", F.size(F.slice("a", 1, 5)).cast("bigint").alias("n"))
 
 
@@ -477,8 +480,11 @@ X6_SQL = "select question_id, least(count(*), 5) as n from samples group by ques
 
 
 def x7(t):
-    """Explode per-question sample lists back to rows."""
-    s = t.samples.groupBy("question_id").agg(F.collect_list("sample_idx").alias("a"))
+    """Explode sample lists back to rows. The lists are built in chunks of
+    at most 10 samples per question, so no list grows with a hot question."""
+    chunk = F.floor(F.col("sample_idx") / 10)
+    s = t.samples.groupBy("question_id", chunk.alias("chunk")).agg(
+        F.collect_list("sample_idx").alias("a"))
     return s.select("question_id", F.explode("a").alias("sample_idx"))
 
 

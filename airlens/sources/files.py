@@ -177,12 +177,15 @@ A5_SQL = ("select model, category, question_id, count(*) as n_samples from sampl
 
 # --- A6: JSON array-of-objects records --------------------------------------------------------------
 
-def a6(t, chunk=100):
+def a6(t, chunk=100, per_question=50):
     """Result chunks stored as one JSON array per file (as the evaluator
     writes them) and read back with ``multiLine``. A chunk is ``chunk``
-    questions, so each collected array is bounded."""
+    question ids and at most ``per_question`` samples of each, so every
+    collected array is bounded even for a question with very many samples."""
     path = _path(t, "result_chunks")
-    s = t.samples.withColumn("chunk", F.floor(F.col("question_id") / chunk))
+    s = t.samples.withColumn("chunk", F.concat_ws(
+        "_", F.floor(F.col("question_id") / chunk).cast("string"),
+        F.floor(F.col("sample_idx") / per_question).cast("string")))
     recs = s.groupBy("chunk").agg(F.concat(F.lit("["), F.array_join(F.collect_list(
         F.to_json(F.struct("question_id", "sample_idx", "passed"))), ","), F.lit("]")).alias("value"))
     recs.write.mode("overwrite").partitionBy("chunk").text(path)
