@@ -404,7 +404,7 @@ def derived_cells(t) -> DataFrame:
 
 
 def _city_states(t) -> DataFrame:
-    return t.readings.select("city", "state").distinct()
+    return t.city_states
 
 
 def b1(t):

@@ -89,6 +89,12 @@ class Tables:
     def funding(self) -> DataFrame:
         return self._materialised("funding", build_funding)
 
+    @property
+    def city_states(self) -> DataFrame:
+        """City -> state lookup (a dimension: one row per city)."""
+        return self._materialised(
+            "city_states", lambda t: t.readings.select("city", "state").distinct().coalesce(1))
+
     @property
     def bulletin_cells(self) -> DataFrame:
         """Bulletin page tables derived from readings -- the ETL's input table
