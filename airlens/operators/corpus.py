@@ -11,12 +11,10 @@ per-group ``row_number`` limit that Spark pushes below the shuffle
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlens.functions.arith import rnd
 from airlens.operators.evaluation import SQL_QUESTION_METRICS, question_metrics
 from airlens.operators.relational import with_ordinal
 from airlens.plans.registry import Entry
