@@ -43,7 +43,7 @@ CATEGORY_WEIGHTS = {
 }
 
 SYSTEM_PROMPT = ("You are an air-quality data analyst. Write a Python function "
-                 "get_response(data, states_data, ncap_funding_data) that returns one value.")
+                 "get_response(data, states_data, funding_data) that returns one value.")
 
 HASH_MUL = 2654435761
 HASH_MOD = 4294967296
