@@ -82,11 +82,29 @@ def land_in_order(df: DataFrame, year_col, path: str) -> None:
         df.where(year_col == y).write.mode("append").parquet(path)
 
 
+def landed(t, name: str, build, year_col) -> str:
+    """The arrival folder of a stream input, landed once per snapshot.
+
+    Each landing attempt writes to its own folder; a marker table written
+    after the last landing names the attempt that completed, so a landing
+    interrupted by a failure is never read.
+    """
+    import uuid
+    from airlens.sources.tables import path_exists
+    marker = f"{_dir(t, name)}/landed_marker"
+    if path_exists(t.spark, f"{marker}/_SUCCESS"):
+        return t.spark.read.parquet(marker).first()["path"]
+    attempt = f"{_dir(t, name)}/landing-{uuid.uuid4().hex[:12]}"
+    land_in_order(build(), year_col, attempt)
+    t.spark.createDataFrame([(attempt,)], "path string").coalesce(1) \
+        .write.mode("overwrite").parquet(marker)
+    return attempt
+
+
 def s1(t):
     run = _fresh(t, "s1")
-    cells_dir = f"{run}/cells"
-    cells = b.derived_cells(t)
-    land_in_order(cells, F.substring("date", 1, 4).cast("int"), cells_dir)
+    cells_dir = landed(t, "s1_cells", lambda: b.derived_cells(t),
+                       F.substring("date", 1, 4).cast("int"))
     bulletin_stream(t.spark, cells_dir, f"{run}/out", f"{run}/ckpt", files_per_batch=8)
     return t.spark.read.parquet(f"{run}/out").select(F.to_date("day").alias("date"), "city", "aqi",
                                                       "pollutant", "quality")
@@ -97,9 +115,9 @@ S1_SQL = (f"select date, city, aqi, pollutant, quality from ({b.SQL_GOOD}) g")
 
 def s2(t):
     run = _fresh(t, "s2")
-    src_dir = f"{run}/readings"
-    r = t.readings.select("ts", "station", "city", "state", "pm25", "pm10")
-    land_in_order(r, F.year("ts"), src_dir)
+    src_dir = landed(t, "s2_readings",
+                     lambda: t.readings.select("ts", "station", "city", "state", "pm25", "pm10"),
+                     F.year("ts"))
     exceedance_stream(t.spark, src_dir, f"{run}/out", f"{run}/ckpt", files_per_batch=8)
     out = t.spark.read.parquet(f"{run}/out")
     return out.groupBy("date", "city").agg(F.max_by("n", "batch").alias("n_exceed"))
