@@ -428,7 +428,8 @@ def t32(t, loc="city", nums=tuple(range(1, 11))):
     spark = r.sparkSession
     ns = spark.createDataFrame([(int(n),) for n in nums], "n bigint")
     hits = counts.groupBy("n_st").agg(F.count(F.lit(1)).alias("value"))
-    return (F.broadcast(ns).join(hits, ns.n == hits.n_st, "left")
+    # both sides are small (the literal list; one row per station count)
+    return (ns.join(hits, ns.n == hits.n_st, "left")
             .select("n", F.coalesce("value", F.lit(0)).cast("bigint").alias("value")))
 
 
@@ -794,7 +795,7 @@ def _pop_share(t, stat, pm, ut, values, cond=None):
     hot = g.join(F.broadcast(vals), F.col("v") > F.col("threshold")).select("threshold", "state")
     total = s.agg(F.sum("population").alias("total"))
     hot_pop = hot.join(s, "state").groupBy("threshold").agg(F.sum("population").alias("hot"))
-    out = F.broadcast(vals).join(hot_pop, "threshold", "left")
+    out = vals.join(hot_pop, "threshold", "left")
     pct = pdiv(F.coalesce(F.col("hot"), F.lit(0)) * 100.0, total.scalar())
     return out.select("threshold", rnd(pct, 9).alias("value"))
 
