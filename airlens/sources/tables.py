@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +41,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-STORE_VERSION = "2"  # bump when a stored table's layout or derivation changes
+STORE_VERSION = "3"  # bump when a stored table's layout or derivation changes
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
@@ -117,11 +118,19 @@ class Tables:
         path = f"{root}/{name}"
         with _LOCK:
             if not path_exists(self.spark, f"{path}/_SUCCESS"):
-                df = builder(self)
-                writer = df.write.mode("overwrite")
+                # Write a private attempt folder, then rename it into place:
+                # the rename is atomic, so concurrent builders (or a build
+                # interrupted by a lost executor) never leave a half-written
+                # table at ``path``; the first complete attempt wins.
+                attempt = f"{path}.attempt-{uuid.uuid4().hex[:12]}"
+                writer = builder(self).write.mode("error")
                 if partition_by:
                     writer = writer.partitionBy(partition_by)
-                writer.parquet(path)
+                writer.parquet(attempt)
+                src, fs = _hadoop_fs(self.spark, attempt)
+                dst, _ = _hadoop_fs(self.spark, path)
+                if not fs.exists(dst):
+                    fs.rename(src, dst)
         df = self.spark.read.parquet(path)
         self._frames[name] = df
         return df
