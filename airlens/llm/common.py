@@ -8,7 +8,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{store_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where their path does not hold it already."""
+    root = Path(__file__).resolve().parents[2]
+    seen = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    app = spark.sparkContext.applicationId
+    if str(root) in map(os.path.realpath, filter(None, seen)) or app in _shipped:
+        return
+    file = os.path.join(tempfile.mkdtemp(), "airlens.zip")
+    with zipfile.ZipFile(file, "w") as z:
+        for f in (root / "airlens").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(file)
+    _shipped.add(app)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
