@@ -28,12 +28,35 @@ ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.01, 0.01
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 
-def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket per n-gram, offsets of the texts): the n-grams of each text, text by text."""
-    low = [t.lower() for t in texts]
-    code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
-    size = np.fromiter(map(len, low), np.int64, len(low))
-    end = np.repeat(np.cumsum(size), size)
+def grams_of(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(buckets, offsets, texts): the n-gram buckets of pieces of texts, about ``most`` characters at once.
+
+    Row r of the offsets is a piece of text number ``texts[r]``; a longer text
+    comes in several pieces, each n-gram in the one where it begins. A place past
+    the end of a text has bucket ``BUCKETS``, whose weight is 0.
+    """
+    reach = max(GRAMS) - 1
+    held, own, size = [], [], 0
+    for i, t in enumerate(texts):
+        low = t.lower()
+        for a in range(0, max(len(low), 1), most):
+            held.append((low[a:a + most + reach], min(most, len(low) - a)))
+            own.append(i)
+            size += held[-1][1]
+            if size >= most:
+                yield *_hashed(held), np.array(own)
+                held, own, size = [], [], 0
+    if held:
+        yield *_hashed(held), np.array(own)
+
+
+def _hashed(pieces: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams that begin in the first ``n`` characters of each (piece, n)."""
+    code = np.frombuffer("".join(p for p, _ in pieces).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(p) for p, _ in pieces], np.int64)
+    begins = np.array([n for _, n in pieces], np.int64)
+    stop = np.cumsum(size)
+    end = np.repeat(stop, size)
     place = np.arange(len(code))
     out = np.empty((len(code), len(GRAMS)), np.int32)
     acc = np.zeros(len(code), np.uint32)
@@ -43,9 +66,11 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         acc[:max(m, 0)] = (acc[:max(m, 0)] + code[j:]) * f
         x = acc ^ (acc >> np.uint32(15))
         out[:, j] = (x * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - 15)
-        out[place + j >= end, j] = BUCKETS          # past the end: a bucket of weight 0
-    offs = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(size * len(GRAMS), out=offs[1:])
+        out[place + j >= end, j] = BUCKETS
+    if (begins < size).any():
+        out = out[place < np.repeat(stop - size + begins, size)]
+    offs = np.zeros(len(pieces) + 1, np.int64)
+    np.cumsum(begins * len(GRAMS), out=offs[1:])
     return out.ravel(), offs
 
 
@@ -66,12 +91,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(BUCKETS + 1, np.int64), 0
     for batch in batches:
         for part in slices(batch, most=4 << 20):
-            b, offs = buckets(_texts(part))
             n += part.num_rows
-            for i in range(part.num_rows):
-                seen = np.zeros(BUCKETS + 1, bool)
-                seen[b[offs[i]:offs[i + 1]]] = True
-                df += seen
+            now, seen = -1, np.zeros(BUCKETS + 1, bool)
+            for b, offs, own in grams_of(_texts(part)):
+                for r, i in enumerate(own.tolist()):
+                    if i != now:
+                        df += seen
+                        now, seen = i, np.zeros(BUCKETS + 1, bool)
+                    seen[b[offs[r]:offs[r + 1]]] = True
+            df += seen
     if n:
         df[BUCKETS] = n                             # the last row counts documents
         some = np.flatnonzero(df)
@@ -81,11 +109,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.int32())
     for batch in batches:
-        for part in slices(batch, most=4 << 20):
-            b, offs = buckets(_texts(part))
+        for part in slices(batch, most=1 << 20):
+            sums = [np.zeros(BUCKETS + 1, np.int64)] * part.num_rows
+            for b, offs, own in grams_of(_texts(part)):
+                for r, i in enumerate(own.tolist()):
+                    sums[i] = sums[i] + np.bincount(b[offs[r]:offs[r + 1]], minlength=BUCKETS + 1)
             at, num = [], []
-            for i in range(part.num_rows):
-                c = np.bincount(b[offs[i]:offs[i + 1]], minlength=BUCKETS + 1)[:BUCKETS]
+            for c in sums:
+                c = c[:BUCKETS]
                 k = np.flatnonzero(c)
                 at.append(k.astype(np.int32))
                 num.append(c[k].astype(np.int32))
@@ -142,13 +173,11 @@ class Model:
         ok = np.array([has_letter(t) for t in texts], bool)
         if not self.langs or not ok.any():
             return ["und"] * len(texts), np.zeros(len(texts))
-        own = [t if k else "a" for t, k in zip(texts, ok)]
-        b, offs = buckets(own)
-        size = np.diff(offs) // len(GRAMS)
-        total = sum(np.maximum(0, size - j) for j in range(len(GRAMS)))
-        z = np.empty((len(texts), len(self.langs)))
-        for c in range(len(self.langs)):
-            z[:, c] = np.add.reduceat(self.table[:, c][b], offs[:-1], dtype=np.float64)
+        z, total = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        for b, offs, own in grams_of([t if k else "a" for t, k in zip(texts, ok)]):
+            np.add.at(total, own, np.add.reduceat(b < BUCKETS, offs[:-1], dtype=np.int64))
+            for c in range(len(self.langs)):
+                np.add.at(z[:, c], own, np.add.reduceat(self.table[:, c][b], offs[:-1], dtype=np.float64))
         p = _softmax((z / total[:, None] + self.bias) / self.heat)
         best = p.argmax(axis=1)
         lang = [self.langs[i] if k else "und" for i, k in zip(best.tolist(), ok.tolist())]

@@ -1,11 +1,38 @@
-"""The corpus pipeline: documents through five operators, each stage written and read again."""
+"""The corpus pipeline: documents through five operators, each stage written and read again.
+
+Language ID drops documents of no language (or of a confidence below one half),
+the n-gram Jaccard join keeps one document of each component, decontamination
+drops documents that hold a benchmark window, the mix repeats or leaves out
+documents so that the sources reach their weights, and the token store is
+written and read back. Stages keep extra columns; each runs over all rows that
+its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airlens.llm import binary, mixing
-from airlens.llm.common import scratch
+from airlens.llm import binary, decontaminate, jaccard, langid, mixing
+from airlens.llm.common import scratch, ship
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents whose language is told with confidence."""
+    ship(spark)
+    return langid.identified(docs)
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: one document of each component of linked documents."""
+    ship(spark)
+    return jaccard.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents without a benchmark window."""
+    ship(spark)
+    bench = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return decontaminate.clean_documents(docs, bench)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,19 +42,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: the token store of what is left, read back."""
+    ship(spark)
     return binary.query(docs)
 
 
-STAGES = [("mixing sources to target weights", mix_sources),
+STAGES = [("language ID", language_id),
+          ("n-gram Jaccard join", one_of_near_copies),
+          ("benchmark decontamination", drop_contaminated),
+          ("mixing sources to target weights", mix_sources),
           ("token-ID / binary output", write_tokens)]
 
-# hashed draws, a trained model and a tokenizer have no SQL form; tests hold the stages to brute force
+# a trained model, hashed draws and a tokenizer have no SQL form; tests hold the stages to brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; the others' results are tables in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    for _, stage in STAGES[:-1]:
         path = scratch(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
