@@ -99,13 +99,22 @@ def sql_parse_run(exit_code: str, timed_out: str, log: str) -> dict[str, str]:
     }
 
 
+# the texts that float() of a text reads: no type letters, no hexadecimal
+_NUMBER = (r"^\s*[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?"
+           r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$")
+
+
+def _as_number(text: Column) -> Column:
+    """The number a text reads as, or NULL ('5d' and '1f' are no numbers)."""
+    return F.when(text.rlike(_NUMBER), F.replace(F.trim(text), F.lit("_"), F.lit("")).try_cast("double"))
+
+
 def answer_match(output: Column, answer: Column) -> Column:
     """E5: numeric texts compare with numpy.isclose defaults, others by equality.
 
     NaN never matches; infinities match only when equal.
     """
-    od = output.try_cast("double")
-    ad = answer.try_cast("double")
+    od, ad = _as_number(output), _as_number(answer)
     numeric = od.isNotNull() & ad.isNotNull()
     close = F.abs(od - ad) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(ad)
     inf = F.lit(float("inf"))

@@ -80,9 +80,11 @@ def last_n_years(as_of_year: int, n: int, df: DataFrame | None = None) -> Column
     return (F.col("year") >= y0) & cond if _has_year(df) else cond
 
 
-def last_days(as_of: dt.date, days: int) -> Column:
+def last_days(as_of: dt.date, days: int, df: DataFrame | None = None) -> Column:
     """Ts >= as_of - days."""
-    return F.col(TS) >= _ts(as_of - dt.timedelta(days=days))
+    first = as_of - dt.timedelta(days=days)
+    cond = F.col(TS) >= _ts(first)
+    return (F.col("year") >= first.year) & cond if _has_year(df) else cond
 
 
 def weekday_name() -> Column:

@@ -39,7 +39,7 @@ _P = [
     ("P6", lambda r: tf.year_in((1996, 2000), r), "year(ts) in (1996, 2000)"),
     ("P7", lambda r: tf.in_years(1997, 1999, r), "year(ts) between 1997 and 1999"),
     ("P8", lambda r: tf.last_n_years(2001, 3, r), "year(ts) >= 1998"),
-    ("P9", lambda r: tf.last_days(AS_OF, 5 * 365),
+    ("P9", lambda r: tf.last_days(AS_OF, 5 * 365, r),
      f"ts >= timestamp '{(AS_OF - dt.timedelta(days=1825)).isoformat()}'"),
     ("P10", lambda r: tf.weekday_is(4), "isodow(ts) - 1 = 4"),
     ("P11", lambda r: (F.col("state") == "NATION_7") & (F.col("city") == "NATION_7/BUILDING"),
@@ -139,16 +139,20 @@ def _counts_by(key_spark, key_sql, where_spark=None, where_sql="true", name="k")
 
 
 def f8(t):
-    """F8: financial-year label = last token of the column name."""
+    """F8: financial-year label = last token of the column name, with the cities
+    and the amount of each, from all of funding unpivoted by column name."""
     from airlens.operators.catalog import FY_COLS
-    rows = [(c,) for c in FY_COLS.values()]
-    names = t.funding.select(F.array(*[F.lit(c) for c in FY_COLS.values()]).alias("a")).limit(1)
-    return names.select(F.explode("a").alias("col")).select(
-        F.element_at(F.split("col", " "), -1).alias("fy"))
+    f = t.funding.select("city", *[F.col(c).alias(n) for c, n in FY_COLS.items()])
+    u = f.unpivot(["city"], list(FY_COLS.values()), "col", "amount")
+    return u.groupBy(F.element_at(F.split("col", " "), -1).alias("fy")).agg(
+        F.count("amount").alias("n_cities"), rnd(F.sum("amount"), 4).alias("amount"))
 
 
-F8_SQL = ("select fy from (values ('1996-97'), ('1997-98'), ('1998-99')) v(fy) "
-          "where exists (select 1 from funding)")
+def _f8_sql():
+    from airlens.operators.catalog import FY_COLS
+    return "select fy, count(amount) as n_cities, round(sum(amount), 4) as amount from (" + " union all ".join(
+        f"select '{name.split()[-1]}' as fy, {col} as amount from funding"
+        for col, name in FY_COLS.items()) + ") u group by fy"
 
 
 def _state_ratio(expr_spark, expr_sql, digits, ut=None):
@@ -393,12 +397,15 @@ def j7(t):
     """Map-lookup join: city -> canonical alias (most cities unmapped)."""
     from airlens.operators.bulletins import alias_table
     al = alias_table(t.spark)
-    c = t.funding.select("city")
+    # the funded cities, and each state's name written as two cities that have aliases
+    c = t.funding.select("city").unionByName(t.states.select(F.when(
+        F.col("is_ut"), "Gurgaon").otherwise("vellore").alias("city")))
     return c.join(F.broadcast(al), c.city == al.raw, "left").select(
         "city", F.coalesce("canonical", "city").alias("canonical"))
 
 
-J7_SQL = "select city, city as canonical from funding"
+J7_SQL = ("select city, city as canonical from funding union all select case when is_ut then 'Gurgaon' "
+          "else 'vellore' end, case when is_ut then 'Gurugram' else 'Vellore' end from states")
 
 
 def j8(t):
@@ -415,6 +422,7 @@ J8_SQL = ("select d.doc_id as question_id, d.lang, s.n from documents d join (se
 def j11(t):
     """Two-period aligned subtraction in one pass (conditional aggregation)."""
     r = t.readings
+    r = r.where(tf.year_in((1996, 2000), r))
     y = F.year("ts")
     g = r.groupBy("state").agg(F.avg(F.when(y == 1996, F.col("pm25"))).alias("a"),
                                F.avg(F.when(y == 2000, F.col("pm25"))).alias("b"))
@@ -500,13 +508,20 @@ def x2(t):
 
 
 def c2(t):
-    """Lint of the template documents built from the tables (A4)."""
+    """Lint of the template documents built from the tables, sound and faulty ones."""
     from airlens.operators.corpus import lint_templates
     from airlens.sources.files import template_values, write_templates
-    tmpl, vals = template_values(t.spark, write_templates(t))
-    lint = lint_templates(tmpl, vals)
-    return lint.select("template_id", F.size("unequal_lists").alias("n_unequal"),
-                       F.size("undeclared").alias("n_undeclared"), F.size("unused").alias("n_unused"))
+    lint = lint_templates(*template_values(t.spark, write_templates(t, faulty=True)))
+    return lint.select("template_id", *[
+        F.array_join(c, ",").alias(c)
+        for c in ("unequal_lists", "undeclared", "unused", "code_undeclared", "code_unused")])
+
+
+C2_SQL = ("select cast(r_regionkey as integer) as template_id, '' as unequal_lists, '' as undeclared, "
+          "'' as unused, '' as code_undeclared, '' as code_unused from region union all "
+          "select cast(r_regionkey + 1000 as integer), case when exists (select 1 from nation where "
+          "n_regionkey = r_regionkey) then 'state' else '' end, 'month', '', 'code_col', 'code_year' "
+          "from region")
 
 
 def registry():
@@ -517,8 +532,7 @@ def registry():
         "X2": Entry(x2, "select city, col, round(amount, 2) as amount from (" + " union all ".join(
             f"select city, '{n}' as col, {c} as amount from funding" for c, n in
             __import__("airlens.operators.catalog", fromlist=["FY_COLS"]).FY_COLS.items()) + ") u"),
-        "C2": Entry(c2, "select cast(r_regionkey as integer) as template_id, 0 as n_unequal, "
-                        "0 as n_undeclared, 0 as n_unused from region"),
+        "C2": Entry(c2, C2_SQL, ()),
         "F17": Entry(ev.e1, ev.E1_SQL, ()),
         "F18": Entry(co.c1, co.C1_SQL, ("readings",)),
         "J9": Entry(ev.e17, ev.E17_SQL, ("samples",)),
@@ -541,7 +555,7 @@ def registry():
         "F6": _counts_by(tf.season_b, tf.SQL_SEASON_B),
         "F7": _counts_by(lambda: F.to_date("ts"), "cast(ts as date)", lambda r: tf.in_year(2000, r),
                          tf.sql_in_year(2000)),
-        "F8": Entry(f8, F8_SQL),
+        "F8": Entry(f8, _f8_sql()),
         "F9": _state_ratio(lambda: pdiv(F.col("m25"), F.col("area_km2")), sql_pdiv("m25", "area_km2"), 12),
         "F10": _state_ratio(lambda: pdiv(F.col("m25"), F.col("population")) * 1000000,
                             f"{sql_pdiv('m25', 'population')} * 1000000", 9),

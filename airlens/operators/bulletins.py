@@ -211,11 +211,19 @@ def quarantine(cells: DataFrame) -> DataFrame:
         "date", "page", "layout", "status")
 
 
+def _exploded(parsed: DataFrame, recs: Column) -> DataFrame:
+    """One row per record ``r`` of the good tables. The status is tested inside
+    the generator: a filter on it would be pushed below the projection that
+    parses, and every table would be parsed twice."""
+    ok = F.when(F.col("status") == "ok", recs)
+    return (parsed.select("date", "page", "layout", F.explode_outer(ok).alias("r"))
+            .where(F.col("r").isNotNull()))
+
+
 def records(cells: DataFrame) -> DataFrame:
     """Records of the good tables, one row each, with their date, page
     and position (the order the reference concatenates them in)."""
-    p = parse_tables(cells).where(F.col("status") == "ok")
-    e = p.select("date", "page", "layout", F.explode("records").alias("r"))
+    e = _exploded(parse_tables(cells), F.col("records"))
     return e.select("date", "page", "layout", F.col("r.pos").alias("pos"),
                     F.col("r.key").alias("city_raw"), F.col("r.aqi").alias("aqi"),
                     F.col("r.pollutant").alias("pollutant"), F.col("r.quality").alias("quality"),
@@ -227,28 +235,18 @@ def last_per_table_records(cells: DataFrame) -> DataFrame:
     row, at the position of its first row (dict ``update`` semantics).
     Row-local: a page table is a short array, so the first/last positions of
     each key are found inside it -- no shuffle."""
-    p = parse_tables(cells).where(F.col("status") == "ok")
     keys = F.transform("records", lambda x: x["key"])
     n = F.size("records")
     last = F.filter("records", lambda x, i: (n - F.array_position(F.reverse(keys), x["key"])) == i)
     kept = F.transform(last, lambda x: x.withField(
         "pos", (F.array_position(keys, x["key"]) - 1).cast("int")))
-    e = p.select("date", "page", "layout", F.explode(kept).alias("r"))
+    e = _exploded(parse_tables(cells), kept)
     return e.select("date", "page", "layout", F.col("r.pos").alias("pos"),
                     F.col("r.key").alias("city_raw"), F.col("r.aqi").alias("aqi"),
                     F.col("r.pollutant").alias("pollutant"), F.col("r.quality").alias("quality"),
                     F.col("r.stations").alias("stations"), F.col("r.suspect").alias("suspect"))
 
 
-def last_per_table(recs: DataFrame) -> DataFrame:
-    """B8 as an aggregation, for record tables that did not come from one
-    array (kept for callers holding exploded records)."""
-    g = recs.groupBy("date", "page", "layout", "city_raw").agg(
-        F.min("pos").alias("pos"), F.max_by(F.struct("aqi", "pollutant", "quality", "stations",
-                                                     "suspect"), F.col("pos")).alias("v"))
-    return g.select("date", "page", "layout", "pos", "city_raw", "v.*")
-
-
 # ---------------------------------------------------------------------------
 # Canonicalisation, lookup, dedup, densify
 # ---------------------------------------------------------------------------
@@ -257,7 +255,7 @@ def alias_table(spark) -> DataFrame:
     return spark.createDataFrame(list(CITY_ALIASES.items()), "raw string, canonical string")
 
 
-def canonical_city(raw: Column, aliases: DataFrame | None = None) -> Column:
+def canonical_city(raw: Column) -> Column:
     """B12 (string part): strip surrounding whitespace and drop newlines."""
     return F.replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), F.lit("\n"), F.lit(""))
 
@@ -268,11 +266,9 @@ def parse_stations(x: Column) -> Column:
     return F.when(m != "", m.cast("int"))
 
 
-def city_day(cells: DataFrame, city_states: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The clean city-day table and the unmatched-city quarantine.
-
-    ``city_states``: (city, state) lookup, a dimension table.
-    """
+def city_rows(cells: DataFrame) -> DataFrame:
+    """Records under their canonical city and date.
+    Row-local but for the literal alias table, so valid on a stream's batches."""
     spark = cells.sparkSession
     recs = last_per_table_records(cells)
     stripped = recs.withColumn("city0", canonical_city(F.col("city_raw")))
@@ -280,11 +276,20 @@ def city_day(cells: DataFrame, city_states: DataFrame) -> tuple[DataFrame, DataF
     c = (stripped.join(F.broadcast(al), stripped.city0 == al.raw, "left")
          .withColumn("city", F.coalesce("canonical", "city0")).drop("raw", "canonical", "city0"))
     c = c.where(~F.col("city").isin(*EXCLUDED_CITIES))                      # B13
-    c = c.withColumn("date", F.to_date("date"))                              # B15
-    first = c.groupBy("date", "city").agg(                                   # B16
-        F.min_by(F.struct("aqi", "pollutant", "quality", "stations", "suspect"),
-                 F.struct("page", "pos")).alias("v"))
-    first = first.select("date", "city", "v.*")
+    return c.withColumn("date", F.to_date("date"))                           # B15
+
+
+def first_of_day(rows: DataFrame) -> DataFrame:
+    """The first row, by (page, position), of each (date, city). Associative:
+    the first of the firsts of parts is the first of all."""
+    at = F.struct("page", "pos")
+    g = rows.groupBy("date", "city").agg(F.min(at).alias("at"), F.min_by(
+        F.struct("aqi", "pollutant", "quality", "stations", "suspect"), at).alias("v"))
+    return g.select("date", "city", "at.*", "v.*")
+
+
+def with_state(first: DataFrame, city_states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with their state and station count, cities without a state)."""
     j = first.join(city_states.select("city", "state"), "city", "left")     # B14
     good = j.where(F.col("state").isNotNull()).select(
         "date", "city", "state", "aqi", "pollutant", "quality",
@@ -293,6 +298,14 @@ def city_day(cells: DataFrame, city_states: DataFrame) -> tuple[DataFrame, DataF
     return good, bad
 
 
+def city_day(cells: DataFrame, city_states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The clean city-day table and the unmatched-city quarantine.
+
+    ``city_states``: (city, state) lookup, a dimension table.
+    """
+    return with_state(first_of_day(city_rows(cells)), city_states)
+
+
 def densify(cd: DataFrame) -> DataFrame:
     """Full (bulletin date x city) grid, missing observations NULL.
 
@@ -307,12 +320,6 @@ def densify(cd: DataFrame) -> DataFrame:
     return grid.join(cd, ["date", "city"], "left")
 
 
-def date_spine(start: str, end: str, spark) -> DataFrame:
-    """One row per day in [start, end]."""
-    return spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)),
-                                                      F.expr("interval 1 day"))).alias("date"))
-
-
 def pending_dates(spine: DataFrame, done: DataFrame) -> DataFrame:
     """Spine dates without output (anti-join)."""
     return spine.join(done.select("date").distinct(), "date", "left_anti")
@@ -547,7 +554,7 @@ def b5(t):
 
 def _row_kinds(t):
     p = route(derived_cells(t)).where(F.col("layout") >= 1)
-    rows = p.select("layout", F.explode(F.slice("cells", 2, 10 ** 6)).alias("row"))
+    rows = p.select("layout", F.explode(F.slice("cells", 2, F.size("cells") - 1)).alias("row"))
     first = _valid(F.get(F.col("row"), 0))
     return rows.groupBy("layout").agg(F.sum(first.cast("int")).alias("n_first"),
                                       F.sum((~first).cast("int")).alias("n_continuation"))
@@ -617,7 +624,7 @@ EXTRA_PAGE = 99
 def extra_cells(t) -> DataFrame:
     """A late page (layout 3) on every 17th day repeating the day's first
     three cities -- first with altered values, then with the originals --
-    plus an ``Aurangabad`` row. Last-row-wins (B8) keeps the originals, the
+    plus an ``Aurangabad`` row and one under an alias. Last-row-wins (B8) keeps the originals, the
     exclusion (B13) drops Aurangabad, first-page-wins (B16) prefers the
     regular pages."""
     s = source_city_days(t).where((F.col("dn") % 17 == 0) & (F.col("r") < 3))
@@ -630,7 +637,8 @@ def extra_cells(t) -> DataFrame:
     first_half = F.transform("rr", lambda x: F.get(x["rows"], 0))
     second_half = F.transform("rr", lambda x: F.get(x["rows"], 1))
     header = F.array(*[F.lit(h).cast("string") for h in LAYOUT_3_HEADERS[0]])
-    aur = F.array(F.array(*[F.lit(v) for v in ("Aurangabad", "Good", "10", "PM10", "1")]))
+    aur = F.array(*[F.array(*[F.lit(v) for v in row]) for row in (
+        ("Aurangabad", "Good", "10", "PM10", "1"), ("Gurgaon", "Good", "20", "PM10", "2"))])
     return pages.select("date", F.lit(EXTRA_PAGE).alias("page"),
                         F.concat(F.array(header), first_half, second_half, aur).alias("cells"))
 
@@ -639,6 +647,13 @@ def _all_cells(t) -> DataFrame:
     return derived_cells(t).unionByName(extra_cells(t))
 
 
+def _all_city_states(t) -> DataFrame:
+    """The lookup with the late page's cities: the excluded one has a state too,
+    so only the exclusion keeps it out; the alias is found by its canonical name."""
+    return _city_states(t).unionByName(t.spark.createDataFrame(
+        [("Aurangabad", "late"), ("Gurugram", "late")], "city string, state string"))
+
+
 def b8(t):
     """The late page's records after last-row-wins."""
     recs = last_per_table_records(extra_cells(t))
@@ -647,13 +662,13 @@ def b8(t):
 
 
 B8_SQL = (f"select d as date, city, aqi, quality from ({SQL_SOURCE}) s where dn % 17 = 0 and r < 3 "
-          f"union all select distinct d, 'Aurangabad', 10, 'Good' from ({SQL_SOURCE}) s2 "
-          f"where dn % 17 = 0")
+          f"union all select distinct d, x.city, x.aqi, 'Good' from ({SQL_SOURCE}) s2, "
+          f"(values ('Aurangabad', 10), ('Gurgaon', 20)) x(city, aqi) where dn % 17 = 0")
 
 
 def b13(t):
     """The ambiguous city never reaches the city-day table."""
-    good, _ = city_day(_all_cells(t), _city_states(t))
+    good, _ = city_day(_all_cells(t), _all_city_states(t))
     return good.agg(F.count(F.lit(1)).alias("n_rows"),
                     F.sum((F.col("city") == "Aurangabad").cast("int")).cast("bigint").alias("n_excluded_city"))
 
@@ -661,13 +676,15 @@ def b13(t):
 def b16(t):
     """One row per (date, city): the regular page wins over the late one;
     a city whose regular page was dropped (B9) comes from the late page."""
-    good, _ = city_day(_all_cells(t), _city_states(t))
+    good, _ = city_day(_all_cells(t), _all_city_states(t))
     return good.select("date", "city", "aqi", "pollutant", "quality", "n_stations")
 
 
 _SQL_LATE = (f"select d as date, city, state, aqi, pollutant, quality, cast(n_st as integer) as "
              f"n_stations from ({SQL_SOURCE}) s where dn % 17 = 0 and r < 3 and (d, page) in "
-             f"(select d, page from ({SQL_SOURCE}) b where bad)")
+             f"(select d, page from ({SQL_SOURCE}) b where bad) union all "
+             f"select distinct d, 'Gurugram', 'late', 20, 'PM10', 'Good', 2 from ({SQL_SOURCE}) a "
+             f"where dn % 17 = 0")
 _SQL_GOOD_ALL = f"select * from ({SQL_GOOD}) g union all {_SQL_LATE}"
 B13_SQL = (f"select count(*) as n_rows, cast(0 as bigint) as n_excluded_city from ({_SQL_GOOD_ALL}) a")
 B16_SQL = (f"select date, city, aqi, pollutant, quality, n_stations from ({_SQL_GOOD_ALL}) a")

@@ -92,11 +92,13 @@ def expand_template(templates: DataFrame, values: DataFrame) -> DataFrame:
     """Expand templates into questions.
 
     ``templates``: (template_id, question, code).
-    ``values``: (template_id, var, idx, q_value, c_value) -- the j-th question
-    value of a variable is paired with its j-th code value (lists zipped by
-    index); variables combine as a cartesian product, built by one join per
-    variable in the plan, so a template's variants are produced in parallel.
+    ``values``: (template_id, var, code_var, idx, q_value, c_value) -- the j-th
+    question value of a variable is paired with its j-th code value (lists zipped
+    by index, to the shorter one); the question holds ``{var}``, the code
+    ``{code_var}``. Variables combine as a cartesian product, built by one join
+    per variable in the plan, so a template's variants are produced in parallel.
     """
+    values = values.where(F.col("q_value").isNotNull() & F.col("c_value").isNotNull())
     vars_ = values.select("template_id", "var").distinct()
     n_vars = vars_.groupBy("template_id").agg(F.count(F.lit(1)).alias("n_vars"))
     # Each combination is the set of (var, idx) choices; build it by folding
@@ -105,7 +107,7 @@ def expand_template(templates: DataFrame, values: DataFrame) -> DataFrame:
         Window.partitionBy("template_id").orderBy("var")))
     v = values.join(ranked, ["template_id", "var"])
     base = templates.join(n_vars, "template_id", "left").withColumn(
-        "combo", F.array().cast("array<struct<var:string,q:string,c:string>>")).withColumn(
+        "combo", F.array().cast("array<struct<var:string,code_var:string,q:string,c:string>>")).withColumn(
         "step", F.lit(0))
     # One join per variable position; the count is a one-number aggregate of
     # the (small) variable table.
@@ -113,62 +115,53 @@ def expand_template(templates: DataFrame, values: DataFrame) -> DataFrame:
     cur = base
     for step in range(1, max_vars + 1):
         choice = v.where(F.col("var_rank") == step).select(
-            "template_id", F.struct(F.col("var"), F.col("q_value").alias("q"),
+            "template_id", F.struct("var", "code_var", F.col("q_value").alias("q"),
                                     F.col("c_value").alias("c")).alias("choice"))
         nxt = cur.join(choice, "template_id", "left")
         cur = nxt.withColumn("combo", F.when(F.col("choice").isNotNull(),
                                              F.array_append("combo", F.col("choice")))
                              .otherwise(F.col("combo"))).drop("choice")
-    def fill(text_col: str, field: str) -> Column:
+
+    def fill(text_col: str, name: str, field: str) -> Column:
         return F.aggregate("combo", F.col(text_col),
-                           lambda acc, x: F.replace(acc, F.concat(F.lit("{"), x["var"], F.lit("}")),
+                           lambda acc, x: F.replace(acc, F.concat(F.lit("{"), x[name], F.lit("}")),
                                                     x[field]))
-    return cur.select("template_id", fill("question", "q").alias("question"),
-                      fill("code", "c").alias("code"))
+    return cur.select("template_id", fill("question", "var", "q").alias("question"),
+                      fill("code", "code_var", "c").alias("code"))
 
 
 def lint_templates(templates: DataFrame, values: DataFrame) -> DataFrame:
     """Per template, variables whose question and code lists differ in
-    length, and placeholders in the question with no variable (or unused)."""
-    lens = values.groupBy("template_id", "var").agg(
+    length, and for each of the two texts the placeholders without a variable
+    and the variables without a placeholder, by that text's own names."""
+    none = F.array().cast("array<string>")
+    lens = values.groupBy("template_id", "var", "code_var").agg(
         F.count("q_value").alias("nq"), F.count("c_value").alias("nc"))
-    bad_len = lens.where(F.col("nq") != F.col("nc")).groupBy("template_id").agg(
-        F.sort_array(F.collect_set("var")).alias("unequal_lists"))
-    declared = values.groupBy("template_id").agg(F.collect_set("var").alias("declared"))
-    ph = templates.select("template_id", F.regexp_extract_all(
-        "question", F.lit(r"\{(\w+)\}"), 1).alias("placeholders"))
-    j = ph.join(declared, "template_id", "left").join(bad_len, "template_id", "left")
+    declared = lens.groupBy("template_id").agg(
+        F.sort_array(F.collect_set(F.when(F.col("nq") != F.col("nc"), F.col("var")))).alias("unequal_lists"),
+        F.collect_set("var").alias("vars"), F.collect_set("code_var").alias("code_vars"))
+    held = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(r"\{(\w+)\}"), 1))
+    j = templates.select("template_id", held("question").alias("q"), held("code").alias("c")).join(
+        declared, "template_id", "left")
+    vars_, code_vars = F.coalesce("vars", none), F.coalesce("code_vars", none)
+    diff = lambda a, b: F.sort_array(F.array_except(a, b))
     return j.select(
-        "template_id",
-        F.coalesce("unequal_lists", F.array().cast("array<string>")).alias("unequal_lists"),
-        F.sort_array(F.array_except("placeholders", F.coalesce(
-            "declared", F.array().cast("array<string>")))).alias("undeclared"),
-        F.sort_array(F.array_except(F.coalesce("declared", F.array().cast("array<string>")),
-                                    "placeholders")).alias("unused"))
+        "template_id", F.coalesce("unequal_lists", none).alias("unequal_lists"),
+        diff(F.col("q"), vars_).alias("undeclared"), diff(vars_, F.col("q")).alias("unused"),
+        diff(F.col("c"), code_vars).alias("code_undeclared"),
+        diff(code_vars, F.col("c")).alias("code_unused"))
 
 
 def c1(t):
-    """C1 over the data: the question template expanded with the states and
-    years present in the readings (values derived from the tables)."""
-    r = t.readings
-    spark = r.sparkSession
-    tmpl = spark.createDataFrame([(1, "Which {state} recorded the highest average PM2.5 in {year}?",
-                                   "state == '{state}' and year == {year}")],
-                                 "template_id int, question string, code string")
-    states = r.select(F.col("state").alias("q_value")).distinct().where(F.col("q_value").isNotNull())
-    years = r.select(F.col("year").cast("string").alias("q_value")).distinct()
-    values = (states.select(F.lit(1).alias("template_id"), F.lit("state").alias("var"),
-                            F.lit(0).alias("idx"), "q_value", F.col("q_value").alias("c_value"))
-              .unionByName(years.select(F.lit(1).alias("template_id"), F.lit("year").alias("var"),
-                                        F.lit(0).alias("idx"), "q_value",
-                                        F.col("q_value").alias("c_value"))))
-    return expand_template(tmpl, values)
-
-
-C1_SQL = ("select 1 as template_id, "
-          "'Which ' || s.state || ' recorded the highest average PM2.5 in ' || y.yr || '?' as question, "
-          "'state == ''' || s.state || ''' and year == ' || y.yr as code from "
-          "(select distinct state from readings where state is not null) s, "
+    """The template documents built from the tables (A4), expanded."""
+    from airlens.sources.files import template_values, write_templates
+    return expand_template(*template_values(t.spark, write_templates(t)))
+
+
+C1_SQL = ("select cast(r.r_regionkey as integer) as template_id, "
+          "'Which ' || n.n_name || ' of ' || r.r_name || ' was worst in ' || y.yr || '?' as question, "
+          "'state == ''' || n.n_name || ''' and year == ' || y.yr as code from nation n "
+          "join region r on n.n_regionkey = r.r_regionkey, "
           "(select distinct cast(year(ts) as varchar) as yr from readings) y")
 
 

@@ -85,7 +85,7 @@ AS_OF = dt.date(2001, 11, 30)
 def q5(t, city="NATION_7/HOUSEHOLD", limit=15.0, as_of=AS_OF, days=5 * 365):
     """Distinct days in the last 5 x 365 days a city's PM2.5 exceeded a limit."""
     r = t.readings
-    return r.where((F.col("city") == city) & tf.last_days(as_of, days)
+    return r.where((F.col("city") == city) & tf.last_days(as_of, days, r)
                    & (F.col("pm25") > limit)).agg(
         F.count_distinct(F.to_date("ts")).alias("value"))
 

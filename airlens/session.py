@@ -2,15 +2,18 @@
 
 The library never picks a machine-local folder on its own: lineage cuts and
 materialised tables go under ``spark.checkpoint.dir`` as configured for the
-cluster. Only when that setting is absent (unit tests, a laptop) does
-``store_root`` fall back to a fresh ``mkdtemp`` folder.
+cluster. Only on a local master (unit tests, a laptop) and without that setting
+does ``store_root`` fall back to a fresh ``mkdtemp`` folder; on a cluster the
+missing setting is an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _FALLBACK_ROOT: str | None = None
@@ -18,17 +21,26 @@ _FALLBACK_ROOT: str | None = None
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "airlens") -> SparkSession:
-    """A session tuned for the catalog: AQE on, UTC clock, UI off."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(cpus)
+    """A session tuned for the catalog: AQE on, UTC clock, UI off.
+
+    The master and the number of shuffle partitions are the caller's or the
+    submit command's. Only a process started without a master (a laptop, the
+    benchmark) runs on ``local[$BENCH_CPUS]``, with as many partitions as cores.
+    """
+    conf = SparkConf()
+    builder = SparkSession.builder
+    master = master or (None if conf.get("spark.master", None) else "local")
+    if master:
+        cpus = os.environ.get("BENCH_CPUS", "8")
+        builder = builder.master(f"local[{cpus}]" if master == "local" else master)
+        shuffle_partitions = shuffle_partitions or (int(cpus) if master.startswith("local") else None)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+        builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -50,7 +62,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = _fallback_root()
+        configured = _fallback_root(spark)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -68,8 +80,11 @@ def store_root(spark: SparkSession) -> str:
     return configured.rstrip("/") + "/airlens_store"
 
 
-def _fallback_root() -> str:
+def _fallback_root(spark: SparkSession) -> str:
+    """A folder of this machine, for a local master only."""
     global _FALLBACK_ROOT
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _FALLBACK_ROOT is None:
         _FALLBACK_ROOT = tempfile.mkdtemp(prefix="airlens-ckpt-")
     return _FALLBACK_ROOT

@@ -9,6 +9,8 @@ partitioned output (``partitionBy``) so later reads prune directories.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,46 +18,70 @@ from airlens.plans.registry import Entry
 from airlens.session import store_root
 from airlens.sources.tables import _fingerprint
 
-# The reference's column names of the readings file.
-READINGS_CSV_COLUMNS = ("Timestamp", "station", "PM2.5", "PM10", "city", "state")
+# The column names of the readings and questions files.
+READINGS_CSV_COLUMNS = ("Timestamp", "station", "PM2.5", "PM10", "address", "city", "latitude",
+                        "longitude", "state")
+QUESTIONS_CSV_COLUMNS = ("id", "category", "question", "answer", "code")
 SPLIT_PATH_REGEX = r"default/(?:partial-)?(train)/.+parquet$"
 
 
 def _path(t, name: str) -> str:
-    return f"{store_root(t.spark)}/{_fingerprint(t.spark, t.sf_dir)}/files/{name}"
+    """A new folder per run: a lazy reader of an earlier run keeps its files."""
+    return f"{store_root(t.spark)}/{_fingerprint(t.spark, t.sf_dir)}/files/{name}-{uuid.uuid4().hex}"
 
 
-# --- A1: readings from CSV ------------------------------------------------------
+def _one_file_a_value(df: DataFrame, col: str, salts: int = 4) -> DataFrame:
+    """Rows of one partition value together in at most ``salts`` tasks, so each
+    folder gets few files and a hot value is still written by several tasks."""
+    return df.repartition(F.col(col), F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
 
-READINGS_CSV_SCHEMA = ("`Timestamp` string, station string, `PM2.5` double, `PM10` double, "
-                       "city string, state string")
 
+# --- A1: readings from CSV ------------------------------------------------------
 
 def write_readings_csv(t) -> str:
+    """Readings with all nine columns; address and position follow from the station."""
     path = _path(t, "readings_csv")
-    r = t.readings.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"),
-                          "station", F.col("pm25").alias("PM2.5"), F.col("pm10").alias("PM10"),
-                          "city", "state")
-    r.write.mode("overwrite").option("header", True).csv(path)
+    spot = F.pmod(F.xxhash64("station"), F.lit(1_000_000)) / 1e6
+    r = t.readings.select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp"), "station",
+        F.col("pm25").alias("PM2.5"), F.col("pm10").alias("PM10"),
+        F.concat(F.col("station"), F.lit(", "), F.col("city")).alias("address"), "city",
+        (spot * 28 + 8).alias("latitude"), (spot * 29 + 68).alias("longitude"), "state")
+    r.write.option("header", True).csv(path)
     return path
 
 
+def read_by_name(spark, path: str, columns: tuple[str, ...], **options) -> DataFrame:
+    """CSV with a header, columns taken by name whatever their order; all strings."""
+    raw = spark.read.option("header", True).options(**options).csv(path)
+    missing = [c for c in columns if c not in raw.columns]
+    if missing:
+        raise ValueError(f"columns {missing} are not in the header {raw.columns}")
+    return raw.select(*[F.col(f"`{c}`") for c in columns])
+
+
 def read_readings_csv(spark, path: str) -> DataFrame:
-    """A1: CSV with the reference's header -> canonical readings; the
+    """A1: CSV with the nine-column header -> canonical readings; the
     timestamp is parsed, NaN readings become NULL."""
-    df = spark.read.schema(READINGS_CSV_SCHEMA).option("header", True).csv(path)
+    df = read_by_name(spark, path, READINGS_CSV_COLUMNS)
     out = df.select(F.to_timestamp_ntz(F.col("Timestamp")).alias("ts"), "station", "city", "state",
-                    F.col("`PM2.5`").alias("pm25"), F.col("PM10").alias("pm10"))
+                    F.col("`PM2.5`").cast("double").alias("pm25"), F.col("PM10").cast("double").alias("pm10"),
+                    "address", F.col("latitude").cast("double").alias("latitude"),
+                    F.col("longitude").cast("double").alias("longitude"))
     for c in ("pm25", "pm10"):
         out = out.withColumn(c, F.when(F.isnan(c), None).otherwise(F.col(c)))
     return out
 
 
 def a1(t):
-    return read_readings_csv(t.spark, write_readings_csv(t))
+    r = read_readings_csv(t.spark, write_readings_csv(t))
+    in_india = F.col("latitude").between(8, 36) & F.col("longitude").between(68, 97)
+    return r.select("ts", "station", "city", "state", "pm25", "pm10", "address",
+                    in_india.alias("position_ok"))
 
 
-A1_SQL = "select ts, station, city, state, pm25, pm10 from readings"
+A1_SQL = ("select ts, station, city, state, pm25, pm10, station || ', ' || city as address, "
+          "station is not null as position_ok from readings")
 
 
 # --- A2: three-table columnar scan ---------------------------------------------------
@@ -74,18 +100,30 @@ A2_SQL = ("select (select count(*) from readings) as n_readings, (select count(*
 
 # --- A3: questions CSV (multi-line quoted fields) ------------------------------------------
 
+def read_questions_csv(spark, path: str) -> DataFrame:
+    """A3: questions with multi-line quoted text, code and answers, columns by name."""
+    q = read_by_name(spark, path, QUESTIONS_CSV_COLUMNS, multiLine=True, escape='"')
+    return q.withColumn("id", F.col("id").cast("bigint"))
+
+
 def a3(t):
-    """A3: questions written as CSV with multi-line quoted text, read back."""
+    """A3: questions written as CSV with multi-line quoted text, read back.
+    Files are bounded, since a multi-line CSV file cannot be split."""
     path = _path(t, "questions_csv")
-    q = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("category"),
-                           F.col("text").alias("question"))
-    q.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    back = (t.spark.read.schema("id bigint, category string, question string")
-            .option("header", True).option("multiLine", True).option("escape", '"').csv(path))
-    return back.select("id", "category", F.length("question").cast("bigint").alias("n_chars"))
+    q = t.documents.select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("category"), F.col("text").alias("question"),
+        F.col("n_chars").cast("string").alias("answer"),
+        F.concat(F.lit('def true_code():\n    print("'), F.col("source"), F.lit('")\n')).alias("code"))
+    (q.write.option("header", True).option("escape", '"').option("maxRecordsPerFile", 50_000)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_questions_csv(t.spark, path).select(
+        "id", "category", F.sha2("question", 256).alias("question_sha256"), "answer",
+        F.sha2("code", 256).alias("code_sha256"))
 
 
-A3_SQL = "select doc_id as id, lang as category, length(text) as n_chars from documents"
+A3_SQL = ("select doc_id as id, lang as category, sha256(text) as question_sha256, "
+          "cast(n_chars as varchar) as answer, sha256('def true_code():' || chr(10) || '    print(\"' || "
+          "source || '\")' || chr(10)) as code_sha256 from documents")
 
 
 # --- A4: template JSON with dynamic keys ------------------------------------------------------
@@ -95,30 +133,44 @@ def _json_text(x) -> "F.Column":
     return F.regexp_replace(F.to_json(F.array(x)), r"^\[(.*)\]$", "$1")
 
 
-def write_templates(t) -> str:
+def write_templates(t, faulty: bool = False) -> str:
     """One template JSON document per region: variable lists are the region's
-    nations and the years present; keys are dynamic (one per variable)."""
+    nations and the years present; keys are dynamic (one per variable), and a
+    variable's name in the code differs from its name in the question.
+
+    ``faulty`` adds a second document per region (ids from 1000) with what the
+    lint looks for: a code list one value short, a placeholder without a variable
+    in each text, and a variable that the code does not use."""
     path = _path(t, "templates_json")
     n = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     per_region = n.groupBy("r_regionkey", "r_name").agg(
         F.sort_array(F.collect_list("n_name")).alias("states"))
     years = t.readings.select(F.array_sort(F.collect_set(F.col("year").cast("string")))).scalar()
-    fields = [
-        ("category", _json_text(F.lit("spatial_aggregation"))),
-        ("question", _json_text(F.concat(F.lit("Which {state} of "), F.col("r_name"),
-                                         F.lit(" was worst in {year}?")))),
-        ("code", _json_text(F.lit("state == '{code_state}' and year == {code_year}"))),
-        ("ques_vars", F.to_json(F.array(F.lit("state"), F.lit("year")))),
-        ("code_vars", F.to_json(F.array(F.lit("code_state"), F.lit("code_year")))),
-        ("state", F.to_json("states")), ("code_state", F.to_json("states")),
-        ("year", F.to_json(years)), ("code_year", F.to_json(years)),
-    ]
-    parts = []
-    for k, (name, value) in enumerate(fields):
-        parts += [F.lit(("{" if k == 0 else ",") + f'"{name}":'), value]
-    text = F.concat(*parts, F.lit("}"))
-    per_region.select(F.col("r_regionkey").alias("template_id"), text.alias("value")) \
-        .write.mode("overwrite").partitionBy("template_id").text(path)
+
+    def documents(template_id, question, code, code_states):
+        fields = [
+            ("category", _json_text(F.lit("spatial_aggregation"))),
+            ("question", _json_text(F.concat(F.lit(question[0]), F.col("r_name"), F.lit(question[1])))),
+            ("code", _json_text(F.lit(code))),
+            ("ques_vars", F.to_json(F.array(F.lit("state"), F.lit("year")))),
+            ("code_vars", F.to_json(F.array(F.lit("code_state"), F.lit("code_year")))),
+            ("state", F.to_json("states")), ("code_state", F.to_json(code_states)),
+            ("year", F.to_json(years)), ("code_year", F.to_json(years)),
+        ]
+        parts = []
+        for k, (name, value) in enumerate(fields):
+            parts += [F.lit(("{" if k == 0 else ",") + f'"{name}":'), value]
+        return per_region.select(template_id.alias("template_id"),
+                                 F.concat(*parts, F.lit("}")).alias("value"))
+
+    out = documents(F.col("r_regionkey"), ("Which {state} of ", " was worst in {year}?"),
+                    "state == '{code_state}' and year == {code_year}", F.col("states"))
+    if faulty:
+        out = out.unionByName(documents(
+            F.col("r_regionkey") + 1000, ("Which {state} of ", " was worst in {month} {year}?"),
+            "state == '{code_state}' and column == '{code_col}'",
+            F.slice("states", 1, F.size("states") - 1)))
+    out.write.partitionBy("template_id").text(path)
     return path
 
 
@@ -134,64 +186,82 @@ def template_values(spark, path: str) -> tuple[DataFrame, DataFrame]:
     cv = F.from_json(F.col("m")["code_vars"], "array<string>")
     pairs = m.select("template_id", "m", F.posexplode(F.arrays_zip(qv.alias("q"), cv.alias("c")))
                      .alias("j", "v"))
-    vals = pairs.select("template_id", F.col("v.q").alias("var"), F.posexplode(F.arrays_zip(
+    vals = pairs.select("template_id", F.col("v.q").alias("var"), F.col("v.c").alias("code_var"), F.posexplode(F.arrays_zip(
         F.from_json(F.col("m")[F.col("v.q")], "array<string>").alias("qv"),
         F.from_json(F.col("m")[F.col("v.c")], "array<string>").alias("cv"))).alias("idx", "z"))
-    vals = vals.select("template_id", "var", "idx", F.col("z.qv").alias("q_value"),
+    vals = vals.select("template_id", "var", "code_var", "idx", F.col("z.qv").alias("q_value"),
                        F.col("z.cv").alias("c_value"))
     return templates, vals
 
 
 def a4(t):
     _, vals = template_values(t.spark, write_templates(t))
-    return vals.groupBy("template_id", "var").agg(F.count(F.lit(1)).alias("n_values"))
+    return vals.groupBy("template_id", "var", "code_var").agg(F.count(F.lit(1)).alias("n_values"))
 
 
-A4_SQL = ("select cast(n_regionkey as integer) as template_id, 'state' as var, count(*) as n_values "
-          "from nation group by n_regionkey union all select r_regionkey, 'year', "
-          "(select count(distinct year(ts)) from readings) from region")
+A4_SQL = ("select cast(n_regionkey as integer) as template_id, 'state' as var, 'code_state' as code_var, "
+          "count(*) as n_values from nation group by n_regionkey union all select r_regionkey, 'year', "
+          "'code_year', (select count(distinct year(ts)) from readings) from region")
 
 
 # --- A5 / A11: nested response files with path columns ------------------------------------------
 
-def a5(t):
-    """A11 sink: per-question response records written as JSON, partitioned
-    by model and category; A5 scan: recursive read, path columns recovered
-    from ``_metadata.file_path``."""
+def _response():
+    """A sample's response text: the question's code for it, deterministic."""
+    return F.concat(F.lit("```python\nanswer = "), F.col("question_id").cast("string"),
+                    F.lit(" + "), F.col("sample_idx").cast("string"), F.lit("\n```"))
+
+
+def write_responses(t) -> str:
+    """A11 sink: one record per question and model, ``{id, generated_samples: [...]}``,
+    in a folder per model and category. A question has a fixed number of samples,
+    so its list is bounded."""
     path = _path(t, "responses")
-    s = t.samples
-    resp = s.groupBy("model", "category", "question_id").agg(
-        F.count(F.lit(1)).alias("n_samples"))
-    resp.write.mode("overwrite").partitionBy("model", "category").json(path)
-    back = (t.spark.read.schema("question_id bigint, n_samples bigint")
+    one = F.struct("sample_idx", _response().alias("r"))
+    resp = t.samples.groupBy("model", "category", F.col("question_id").alias("id")).agg(
+        F.transform(F.sort_array(F.collect_list(one)), lambda x: x["r"]).alias("generated_samples"))
+    _one_file_a_value(resp, "category").write.partitionBy("model", "category").json(path)
+    return path
+
+
+def read_responses(spark, path: str) -> DataFrame:
+    """A5: recursive scan of response records; model and category come from the path."""
+    back = (spark.read.schema("id bigint, generated_samples array<string>")
             .option("recursiveFileLookup", True).json(path)
             .select("*", F.col("_metadata.file_path").alias("fp")))
     return back.select(F.regexp_extract("fp", r"model=([^/]+)/", 1).alias("model"),
                        F.regexp_extract("fp", r"category=([^/]+)/", 1).alias("category"),
-                       "question_id", "n_samples")
+                       F.col("id").alias("question_id"), "generated_samples")
 
 
-A5_SQL = ("select model, category, question_id, count(*) as n_samples from samples "
-          "group by model, category, question_id")
+def a5(t):
+    """A5: the response records with the number of samples and the last one."""
+    r = read_responses(t.spark, write_responses(t))
+    return r.select("model", "category", "question_id",
+                    F.size("generated_samples").cast("bigint").alias("n_samples"),
+                    F.element_at("generated_samples", -1).alias("last_sample"))
+
+
+A5_SQL = ("select model, category, question_id, count(*) as n_samples, '```python' || chr(10) || "
+          "'answer = ' || question_id || ' + ' || max(sample_idx) || chr(10) || '```' as last_sample "
+          "from samples group by model, category, question_id")
 
 
 # --- A6: JSON array-of-objects records --------------------------------------------------------------
 
-def a6(t, chunk=100, per_question=50):
-    """Result chunks stored as one JSON array per file (as the evaluator
-    writes them) and read back with ``multiLine``. A chunk is ``chunk``
-    question ids and at most ``per_question`` samples of each, so every
-    collected array is bounded even for a question with very many samples."""
+def a6(t, per_line=50):
+    """Results stored as JSON arrays of records and read back, one row per
+    record. A line holds the array of one model and question (at most ``per_line``
+    samples of it), so lists are bounded, folders do not grow with the data, and
+    the files can be split: a line is parsed by itself."""
     path = _path(t, "result_chunks")
-    s = t.samples.withColumn("chunk", F.concat_ws(
-        "_", F.floor(F.col("question_id") / chunk).cast("string"),
-        F.floor(F.col("sample_idx") / per_question).cast("string")))
-    recs = s.groupBy("chunk").agg(F.concat(F.lit("["), F.array_join(F.collect_list(
-        F.to_json(F.struct("question_id", "sample_idx", "passed"))), ","), F.lit("]")).alias("value"))
-    recs.write.mode("overwrite").partitionBy("chunk").text(path)
-    back = t.spark.read.schema("question_id bigint, sample_idx bigint, passed boolean") \
-        .option("multiLine", True).json(path)
-    return back.select("question_id", "sample_idx", "passed")
+    line = F.floor(F.col("sample_idx") / per_line)
+    recs = t.samples.groupBy("model", "question_id", line.alias("line")).agg(F.to_json(F.collect_list(
+        F.struct("question_id", "sample_idx", "passed"))).alias("value"))
+    recs.select("value").write.text(path)
+    back = t.spark.read.text(path).select(F.explode(F.from_json(
+        "value", "array<struct<question_id:bigint,sample_idx:bigint,passed:boolean>>")).alias("r"))
+    return back.select("r.question_id", "r.sample_idx", "r.passed")
 
 
 A6_SQL = "select question_id, sample_idx, passed from samples"
@@ -205,9 +275,10 @@ def a7(t):
     path = _path(t, "daily_csv")
     r = t.readings
     cd = r.groupBy(F.to_date("ts").alias("date"), "city").agg(F.count(F.lit(1)).alias("n"))
-    cd.withColumn("month", F.date_format("date", "yyyy-MM")).write.mode("overwrite") \
-        .partitionBy("month").option("header", True).csv(path)
-    merged = t.spark.read.schema("date date, city string, n bigint").option("header", True).csv(path)
+    _one_file_a_value(cd.withColumn("month", F.date_format("date", "yyyy-MM")), "month", 1) \
+        .write.partitionBy("month").option("header", True).csv(path)
+    merged = read_by_name(t.spark, path, ("date", "city", "n")).select(
+        F.col("date").cast("date").alias("date"), "city", F.col("n").cast("bigint").alias("n"))
     return merged.groupBy(F.year("date").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("city_days"),
                                                             F.sum("n").alias("readings"))
 
@@ -226,7 +297,7 @@ def a8(t):
     path = _path(t, "dataset")
     s = ordered_split(t.documents.select("doc_id"), "doc_id", 0.9)
     for name in ("train", "validation"):
-        s.where(F.col("split") == name).select("doc_id").write.mode("overwrite") \
+        s.where(F.col("split") == name).select("doc_id").write \
             .parquet(f"{path}/default/{name}")
     back = t.spark.read.option("recursiveFileLookup", True).parquet(f"{path}/default")
     label = F.regexp_extract(F.col("_metadata.file_path"), SPLIT_PATH_REGEX, 1)
@@ -265,7 +336,8 @@ def a13(t):
     path = _path(t, "city_day_parquet")
     r = t.readings
     cd = r.groupBy(F.to_date("ts").alias("date"), "city").agg(F.avg("pm25").alias("pm25"))
-    cd.withColumn("year", F.year("date")).write.mode("overwrite").partitionBy("year").parquet(path)
+    _one_file_a_value(cd.withColumn("year", F.year("date")), "year") \
+        .write.partitionBy("year").parquet(path)
     back = t.spark.read.parquet(path).where(F.col("year") == 1998)
     return back.groupBy("city").agg(F.count(F.lit(1)).alias("days"))
 
@@ -275,13 +347,15 @@ A13_SQL = ("select city, count(*) as days from (select distinct cast(ts as date)
 
 
 def a14(t):
-    """Dataset profile."""
-    r = t.readings
-    return r.agg(F.count(F.lit(1)).alias("n_rows"), F.min(F.to_date("ts")).alias("first_day"),
-                 F.max(F.to_date("ts")).alias("last_day"),
-                 F.count_distinct("state").alias("n_states"),
-                 F.count_distinct("city").alias("n_cities"),
-                 F.count_distinct("station").alias("n_stations"))
+    """Dataset profile. Stations first (one row each, counted map-side), then
+    the distinct counts over those rows, so the readings are read and shuffled once."""
+    st = t.readings.groupBy("state", "city", "station").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return st.agg(F.sum("n").alias("n_rows"), F.to_date(F.min("a")).alias("first_day"),
+                  F.to_date(F.max("b")).alias("last_day"),
+                  F.count_distinct("state").alias("n_states"),
+                  F.count_distinct("city").alias("n_cities"),
+                  F.count_distinct("station").alias("n_stations"))
 
 
 A14_SQL = ("select count(*) as n_rows, min(cast(ts as date)) as first_day, max(cast(ts as date)) "
@@ -295,7 +369,7 @@ def a11(t):
     from airlens.operators.evaluation import category_summary
     path = _path(t, "category_json")
     c = category_summary(t)
-    c.write.mode("overwrite").partitionBy("model", "category").json(path)
+    c.write.partitionBy("model", "category").json(path)
     back = t.spark.read.schema("pass_at_1 double, count bigint, model string, category string") \
         .json(path)
     return back.select("model", "category", F.round("pass_at_1", 9).alias("pass_at_1"), "count")
@@ -305,11 +379,10 @@ def a12(t):
     """The model comparison written as one CSV folder with a header."""
     from airlens.operators.evaluation import compare
     path = _path(t, "comparison_csv")
-    compare(t).write.mode("overwrite").option("header", True).csv(path)
-    back = t.spark.read.option("header", True).schema(
-        "category string, metric string, base double, tuned double, change double, "
-        "improvement_pct double").csv(path)
-    return back.select("category", "metric", F.round("improvement_pct", 9).alias("improvement_pct"))
+    compare(t).write.option("header", True).csv(path)
+    back = read_by_name(t.spark, path, ("category", "metric", "improvement_pct"))
+    return back.select("category", "metric", F.round(
+        F.col("improvement_pct").cast("double"), 9).alias("improvement_pct"))
 
 
 def registry():

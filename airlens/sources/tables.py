@@ -41,7 +41,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-STORE_VERSION = "3"  # bump when a stored table's layout or derivation changes
+STORE_VERSION = "4"  # bump when a stored table's layout or derivation changes
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
@@ -49,12 +49,30 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     h = hashlib.sha1(f"{STORE_VERSION}:{sf_dir}".encode())
     for name in ("lineitem", "orders", "customer", "nation"):
         p, fs = _hadoop_fs(spark, f"{sf_dir}/{name}.parquet")
-        if fs.exists(p):
-            st = fs.getFileStatus(p)
-            h.update(f"{name}:{st.getLen()}:{st.getModificationTime()}".encode())
+        if not fs.exists(p):
+            continue
+        files, found = fs.listFiles(p, True), []     # a table may be a folder of files
+        while files.hasNext():
+            st = files.next()
+            found.append(f"{name}:{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
+        h.update("|".join(sorted(found)).encode())
     return h.hexdigest()[:16]
 
 
+def published(spark: SparkSession, marker: str, build) -> str:
+    """The folder of a complete build, built once: ``build(folder)`` fills a new
+    folder, and a marker written last names it. Nothing is renamed, so this holds
+    on an object store; an interrupted build is never named, and if two sessions
+    build at once, either's complete folder serves."""
+    if not path_exists(spark, f"{marker}/_SUCCESS"):
+        folder = f"{marker}-{uuid.uuid4().hex[:12]}"
+        build(folder)
+        spark.createDataFrame([(folder,)], "path string").coalesce(1) \
+            .write.mode("overwrite").parquet(marker)
+        return folder
+    return spark.read.schema("path string").parquet(marker).first()["path"]
+
+
 def ts_literal(value: str) -> Column:
     """A TIMESTAMP_NTZ literal (the readings clock is zone-free)."""
     return F.expr(f"timestamp_ntz'{value}'")
@@ -94,7 +112,7 @@ class Tables:
     def city_states(self) -> DataFrame:
         """City -> state lookup (a dimension: one row per city)."""
         return self._materialised(
-            "city_states", lambda t: t.readings.select("city", "state").distinct().coalesce(1))
+            "city_states", lambda t: t.readings.select("city", "state").distinct())
 
     @property
     def bulletin_cells(self) -> DataFrame:
@@ -115,22 +133,15 @@ class Tables:
         if name in self._frames:
             return self._frames[name]
         root = f"{store_root(self.spark)}/{_fingerprint(self.spark, self.sf_dir)}"
-        path = f"{root}/{name}"
+
+        def build(folder: str) -> None:
+            writer = builder(self).write.mode("error")
+            if partition_by:
+                writer = writer.partitionBy(partition_by)
+            writer.parquet(folder)
+
         with _LOCK:
-            if not path_exists(self.spark, f"{path}/_SUCCESS"):
-                # Write a private attempt folder, then rename it into place:
-                # the rename is atomic, so concurrent builders (or a build
-                # interrupted by a lost executor) never leave a half-written
-                # table at ``path``; the first complete attempt wins.
-                attempt = f"{path}.attempt-{uuid.uuid4().hex[:12]}"
-                writer = builder(self).write.mode("error")
-                if partition_by:
-                    writer = writer.partitionBy(partition_by)
-                writer.parquet(attempt)
-                src, fs = _hadoop_fs(self.spark, attempt)
-                dst, _ = _hadoop_fs(self.spark, path)
-                if not fs.exists(dst):
-                    fs.rename(src, dst)
+            path = published(self.spark, f"{root}/{name}", build)
         df = self.spark.read.parquet(path)
         self._frames[name] = df
         return df
@@ -138,7 +149,8 @@ class Tables:
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Tables for ``sf_dir``, shared by every query of the session."""
-    key = (id(spark), sf_dir.rstrip("/"))
+    # an id may be used again after a session stops, an application's is not
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir.rstrip("/"))
     with _LOCK:
         t = _CACHE.get(key)
         if t is None:
@@ -200,7 +212,7 @@ def build_states(t: Tables) -> DataFrame:
         F.when(F.col("rk") == 4, (F.col("nk") + 1) * 100)
          .otherwise((F.col("nk") + 1) * 4000).cast("bigint").alias("area_km2"),
         (F.col("rk") == 4).alias("is_ut"),
-    ).coalesce(1)
+    )
 
 
 def _in_fy(col: Column, start: str, end: str) -> Column:
@@ -233,7 +245,7 @@ def build_funding(t: Tables) -> DataFrame:
         F.col("n_name").alias("state"),
         F.concat(F.col("n_name"), F.lit("/"), F.col("c_mktsegment")).alias("city"),
         *windows.keys(),
-    ).coalesce(1)
+    )
 
 
 def build_samples(t: Tables) -> DataFrame:

@@ -1,126 +1,93 @@
 """The bulletin ETL and exceedance counts as streaming queries.
 
 Both read files as they land (file source, ``maxFilesPerTrigger`` bounds each
-micro-batch), keep event-time state bounded by a watermark, and run with
-``trigger(availableNow=True)`` so a run processes everything present and
-stops -- the idempotent, restartable ingest the reference does by skipping
-finished files. Checkpoints live under the store folder (shared on a
-cluster), so a restarted job resumes where it stopped.
-
-The registered queries return the batch read of the sink, so they are checked
-against SQL like any other query.
+micro-batch) with ``trigger(availableNow=True)``, so a run processes everything
+new and stops. A micro-batch is reduced by its key and written as one folder
+named by its batch id: a batch that is replayed after a failure overwrites its
+own folder, so nothing counts twice. The reductions are associative, and the
+reader finishes them over all batches. No watermark drops anything: a bulletin
+or reading that arrives years late changes its day like any other.
+
+The checkpoint belongs to the input snapshot: a run that stopped is taken up
+where it stood, and a finished one has nothing left to do.
 """
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlens.operators import bulletins as b
-from airlens.session import store_root
-from airlens.sources.tables import _fingerprint
 from airlens.plans.registry import Entry
+from airlens.session import store_root
+from airlens.sources.tables import _fingerprint, published
+
+_LOCK = threading.RLock()
 
 
 def _dir(t, name: str) -> str:
     return f"{store_root(t.spark)}/{_fingerprint(t.spark, t.sf_dir)}/stream/{name}"
 
 
-def _fresh(t, name: str) -> str:
-    """A new run folder (input, checkpoint and sink of one run)."""
-    import uuid
-    return f"{_dir(t, name)}/{uuid.uuid4().hex[:12]}"
-
-
-def bulletin_stream(spark, cells_dir: str, out_dir: str, ckpt: str,
-                    files_per_batch: int = 4, delay: str = "400 days") -> None:
-    """Bulletin tables -> parsed records -> watermark dedup on
-    (date, city) -> append to parquet."""
-    src = (spark.readStream.schema(b.CELLS_SCHEMA).option("maxFilesPerTrigger", files_per_batch)
-           .parquet(cells_dir))
-    recs = b.records(src)  # B1-B10 are row-local: valid on a stream
-    rows = recs.select(F.to_timestamp(F.col("date")).alias("day"),
-                       b.canonical_city(F.col("city_raw")).alias("city"),
-                       "aqi", "pollutant", "quality")
-    dedup = rows.withWatermark("day", delay).dropDuplicatesWithinWatermark(["day", "city"])
-    q = (dedup.writeStream.format("parquet").option("checkpointLocation", ckpt)
-         .outputMode("append").trigger(availableNow=True).start(out_dir))
+def run_stream(spark, schema: str, source: str, sink: str, reduce, files_per_batch: int) -> None:
+    """Every new file of ``source`` through ``reduce`` into ``sink/out/batch=<id>``."""
+    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+           .parquet(source))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        reduce(batch).write.mode("overwrite").parquet(f"{sink}/out/batch={batch_id}")
+
+    q = (src.writeStream.foreachBatch(write).option("checkpointLocation", f"{sink}/ckpt")
+         .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def exceedance_stream(spark, readings_dir: str, out_dir: str, ckpt: str, limit: float = 15.0,
-                      files_per_batch: int = 2, delay: str = "400 days") -> None:
-    """Readings -> 1-day event-time windows per city counting readings
-    above ``limit``; update mode, each micro-batch's changed windows appended
-    with their batch id (the last write of a window is its final count)."""
+def bulletin_stream(spark, cells_dir: str, sink: str, files_per_batch: int = 8) -> DataFrame:
+    """Bulletin tables -> the first row of each (date, city), as in the batch ETL."""
+    run_stream(spark, b.CELLS_SCHEMA, cells_dir, sink,
+               lambda batch: b.first_of_day(b.city_rows(batch)), files_per_batch)
+    return b.first_of_day(spark.read.parquet(f"{sink}/out"))
+
+
+def exceedance_stream(spark, readings_dir: str, sink: str, limit: float = 15.0,
+                      files_per_batch: int = 8) -> DataFrame:
+    """Readings -> per day and city the number of readings above ``limit``."""
     schema = "ts timestamp_ntz, station string, city string, state string, pm25 double, pm10 double"
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-           .parquet(readings_dir))
-    ev = src.where(F.col("pm25") > limit).select(F.col("ts").cast("timestamp").alias("t"), "city")
-    counts = (ev.withWatermark("t", delay)
-              .groupBy(F.window("t", "1 day").alias("w"), "city")
-              .agg(F.count(F.lit(1)).alias("n")))
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.to_date(F.col("w.start")).alias("date"), "city", "n",
-                      F.lit(batch_id).cast("bigint").alias("batch"))
-         .write.mode("append").parquet(out_dir))
-
-    q = (counts.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
+    run_stream(spark, schema, readings_dir, sink,
+               lambda batch: batch.where(F.col("pm25") > limit).groupBy(
+                   F.to_date("ts").alias("date"), "city").agg(F.count(F.lit(1)).alias("n")),
+               files_per_batch)
+    return (spark.read.parquet(f"{sink}/out").groupBy("date", "city")
+            .agg(F.sum("n").alias("n_exceed")))
 
 
-def land_in_order(df: DataFrame, year_col, path: str) -> None:
-    """Write ``df`` as it would arrive: one landing per year, oldest first.
-    Files of one landing may be read in any order, so the streams' watermark
-    delay (default 400 days) covers one landing; state is then bounded by
-    about a year of (day, city) keys. The year list is bounded by the
-    calendar span."""
-    years = sorted(r[0] for r in df.select(year_col.alias("y")).distinct().collect())
-    for y in years:
-        df.where(year_col == y).write.mode("append").parquet(path)
-
-
-def landed(t, name: str, build, year_col) -> str:
-    """The arrival folder of a stream input, landed once per snapshot.
-
-    Each landing attempt writes to its own folder; a marker table written
-    after the last landing names the attempt that completed, so a landing
-    interrupted by a failure is never read.
-    """
-    import uuid
-    from airlens.sources.tables import path_exists
-    marker = f"{_dir(t, name)}/landed_marker"
-    if path_exists(t.spark, f"{marker}/_SUCCESS"):
-        return t.spark.read.parquet(marker).first()["path"]
-    attempt = f"{_dir(t, name)}/landing-{uuid.uuid4().hex[:12]}"
-    land_in_order(build(), year_col, attempt)
-    t.spark.createDataFrame([(attempt,)], "path string").coalesce(1) \
-        .write.mode("overwrite").parquet(marker)
-    return attempt
+def landed(t, name: str, build, order: str) -> str:
+    """The arrival folder of a stream input, landed once per snapshot by one write,
+    each file a stretch of time."""
+    return published(t.spark, _dir(t, name), lambda folder: build().repartitionByRange(order)
+                     .write.parquet(folder))
 
 
 def s1(t):
-    run = _fresh(t, "s1")
-    cells_dir = landed(t, "s1_cells", lambda: b.derived_cells(t),
-                       F.substring("date", 1, 4).cast("int"))
-    bulletin_stream(t.spark, cells_dir, f"{run}/out", f"{run}/ckpt", files_per_batch=8)
-    return t.spark.read.parquet(f"{run}/out").select(F.to_date("day").alias("date"), "city", "aqi",
-                                                      "pollutant", "quality")
+    """S1 over all bulletins, the late pages with duplicates, an alias and the
+    excluded city included."""
+    with _LOCK:
+        cells_dir = landed(t, "s1_cells", lambda: b._all_cells(t), "date")
+        first = bulletin_stream(t.spark, cells_dir, _dir(t, "s1"))
+    good, _ = b.with_state(first, b._all_city_states(t))
+    return good.select("date", "city", "state", "aqi", "pollutant", "quality", "n_stations")
 
 
-S1_SQL = (f"select date, city, aqi, pollutant, quality from ({b.SQL_GOOD}) g")
+S1_SQL = b._SQL_GOOD_ALL
 
 
 def s2(t):
-    run = _fresh(t, "s2")
-    src_dir = landed(t, "s2_readings",
-                     lambda: t.readings.select("ts", "station", "city", "state", "pm25", "pm10"),
-                     F.year("ts"))
-    exceedance_stream(t.spark, src_dir, f"{run}/out", f"{run}/ckpt", files_per_batch=8)
-    out = t.spark.read.parquet(f"{run}/out")
-    return out.groupBy("date", "city").agg(F.max_by("n", "batch").alias("n_exceed"))
+    with _LOCK:
+        src_dir = landed(t, "s2_readings", lambda: t.readings.select(
+            "ts", "station", "city", "state", "pm25", "pm10"), "ts")
+        return exceedance_stream(t.spark, src_dir, _dir(t, "s2"))
 
 
 S2_SQL = ("select cast(ts as date) as date, city, count(*) as n_exceed from readings "
