@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from airlens.functions import timefx as tf
 from airlens.functions.arith import pdiv, rnd, sql_pdiv
-from airlens.functions.stats import agg, sem, sql_agg
+from airlens.functions.stats import group_stats, sem, sql_agg
 from airlens.operators.rank import nth, sql_nth, sql_top_k, top_k
 from airlens.plans.registry import Entry
 
@@ -200,8 +200,8 @@ F19_SQL = ("select count(distinct cast(cast(ts as date) as varchar) || '_' || ci
 
 def _stat_by_state(stat, col, digits=9):
     def build(t):
-        g = t.readings.where(F.col("state").isNotNull()).groupBy("state").agg(agg(stat, col).alias("v"))
-        return g.select("state", rnd(F.col("v").cast("double"), digits).alias("value"))
+        g = group_stats(t.readings.where(F.col("state").isNotNull()), F.col("state"), {"v": (stat, col)})
+        return g.select(F.col("lbl").alias("state"), rnd(F.col("v").cast("double"), digits).alias("value"))
     sql = (f"select state, round(cast({sql_agg(stat, col)} as double), {digits}) as value from "
            f"readings where state is not null group by state")
     return Entry(build, sql)
@@ -213,7 +213,8 @@ def g9(t):
 
 def g10(t):
     r = t.readings
-    return r.agg(rnd(F.avg("pm25"), 9).alias("mean"), rnd(F.median("pm25"), 9).alias("median"))
+    g = group_stats(r, F.lit(0), {"mean": ("mean", "pm25"), "median": ("median", "pm25")})
+    return g.agg(rnd(F.max("mean"), 9).alias("mean"), rnd(F.max("median"), 9).alias("median"))
 
 
 def g11(t):

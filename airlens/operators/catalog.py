@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from airlens.functions import timefx as tf
 from airlens.functions.arith import pdiv, rnd, sql_pdiv
-from airlens.functions.stats import agg, sql_agg
+from airlens.functions.stats import QUANTILES, agg, group_stats, sql_agg
 from airlens.operators.rank import nth, sql_nth, sql_top_k, top_k
 from airlens.sources.tables import Tables
 
@@ -51,6 +51,12 @@ def _group(df: DataFrame, key: Column | str, value: Column) -> DataFrame:
     return df.where(k.isNotNull()).groupBy(k.alias("lbl")).agg(value.alias("v"))
 
 
+def _group_stat(df: DataFrame, key, stat: str, col: str) -> DataFrame:
+    """(lbl, v): one statistic per group of the readings."""
+    k = F.col(key) if isinstance(key, str) else key
+    return group_stats(df.where(k.isNotNull()), k, {"v": (stat, col)})
+
+
 def _ranked(base: DataFrame, positions, digits: int = 9, asc: bool = True) -> DataFrame:
     return nth(base, [("v", asc), ("lbl", asc)], positions,
                [F.col("lbl").cast("string").alias("answer"),
@@ -137,7 +143,7 @@ def _grs(t, cond, key, stat, pm, positions, dropna=False, key_sql=None):
     r = t.readings
     df = r.where(cond(r)) if cond is not None else r
     k = F.col(key) if isinstance(key, str) else key
-    g = _group(df, k, agg(stat, pm))
+    g = _group_stat(df, k, stat, pm)
     if dropna:
         g = g.where(F.col("v").isNotNull())
     return _ranked(g, positions)
@@ -367,9 +373,8 @@ def t21(t, loc="state", pm="pm10", year=1996, stat="mean", positions=SIX):
     r = t.readings
     m = F.month("ts")
     df = r.where(tf.in_year(year, r) & m.isin(10, 12) & F.col(loc).isNotNull())
-    g = df.groupBy(F.col(loc).alias("lbl")).agg(
-        agg(stat, F.when(m == 10, F.col(pm))).alias("m10"),
-        agg(stat, F.when(m == 12, F.col(pm))).alias("m12"))
+    g = group_stats(df, F.col(loc), {"m10": (stat, F.when(m == 10, F.col(pm))),
+                                     "m12": (stat, F.when(m == 12, F.col(pm)))})
     g = g.select("lbl", (F.col("m10") - F.col("m12")).alias("v")).where(F.col("v").isNotNull())
     return _ranked(g, positions)
 
@@ -388,9 +393,8 @@ def t26(t, loc="city", pm="pm25", month=11, stat="median"):
     r = t.readings
     df = r.where(tf.month_is(month) & tf.year_in((1996, 1997), r) & F.col(loc).isNotNull())
     y = F.year("ts")
-    g = df.groupBy(F.col(loc).alias("lbl")).agg(
-        agg(stat, F.when(y == 1996, F.col(pm))).alias("a"),
-        agg(stat, F.when(y == 1997, F.col(pm))).alias("b"))
+    g = group_stats(df, F.col(loc), {"a": (stat, F.when(y == 1996, F.col(pm))),
+                                     "b": (stat, F.when(y == 1997, F.col(pm)))})
     g = g.select("lbl", (F.col("b") - F.col("a")).alias("v")).where(F.col("v").isNotNull())
     return _ranked(g, (-1,))
 
@@ -411,8 +415,10 @@ def t26_sql(loc="city", pm="pm25", month=11, stat="median"):
 def t25(t, state="NATION_3", day=2, stat="mean", pm="pm25"):
     """Mean/median of pm on a weekday (Mon = 0) in one state -- a scalar."""
     r = t.readings
-    return r.where((F.col("state") == state) & tf.weekday_is(day)).agg(
-        rnd(agg(stat, pm), 9).alias("value"))
+    rows = r.where((F.col("state") == state) & tf.weekday_is(day))
+    if stat not in QUANTILES:
+        return rows.agg(rnd(agg(stat, pm), 9).alias("value"))
+    return group_stats(rows, F.lit(0), {"v": (stat, pm)}).agg(rnd(F.max("v"), 9).alias("value"))
 
 
 def t25_sql(state="NATION_3", day=2, stat="mean", pm="pm25"):
@@ -504,7 +510,7 @@ def _state_stat(t, stat, pm, cond=None) -> DataFrame:
     r = t.readings
     if cond is not None:
         r = r.where(cond(r))
-    return _group(r, "state", agg(stat, pm)).withColumnRenamed("lbl", "state")
+    return _group_stat(r, "state", stat, pm).withColumnRenamed("lbl", "state")
 
 
 def _sql_state_stat(stat, pm, where="true") -> str:
@@ -1037,7 +1043,7 @@ _FY_YEAR = {"t71": ("rel_fy1", 1997), "t72": ("rel_fy2", 1998), "t73": ("rel_fy3
 
 def _funding_per_pm(t, which, loc, stat, pm, positions):
     fy, year = _FY_YEAR[which]
-    g = _group(t.readings.where(tf.in_year(year, t.readings)), loc, agg(stat, pm))
+    g = _group_stat(t.readings.where(tf.in_year(year, t.readings)), loc, stat, pm)
     # Funding rows are joined unaggregated: at state level one state matches
     # several city rows (1:N), as the program does.
     f = t.funding.select(F.col(loc).alias("lbl"), F.col(fy).alias("amount"))

@@ -346,11 +346,16 @@ def _sql_improvement(base, tuned):
 
 
 def compare(t, base="base", tuned="tuned") -> DataFrame:
+    """Both models side by side per category and metric, in one pass: the two rows
+    of a category meet in one aggregation (categories of one model only drop out)."""
     c = category_summary(t)
-    long = c.unpivot(["model", "category"], list(METRICS), "metric", "v")
-    b = long.where(F.col("model") == base).select("category", "metric", F.col("v").alias("base"))
-    f = long.where(F.col("model") == tuned).select("category", "metric", F.col("v").alias("tuned"))
-    j = b.join(f, ["category", "metric"])
+    of = {"base": F.col("model") == base, "tuned": F.col("model") == tuned}
+    g = c.groupBy("category").agg(
+        *[F.max(F.when(cond, F.col(x))).alias(f"{side}_{x}") for side, cond in of.items() for x in METRICS],
+        *[F.max(cond).alias(side) for side, cond in of.items()]).where("base and tuned")
+    j = g.select("category", F.explode(F.array(*[
+        F.struct(F.lit(x).alias("metric"), F.col(f"base_{x}").alias("base"), F.col(f"tuned_{x}").alias("tuned"))
+        for x in METRICS])).alias("m")).select("category", "m.*")
     return j.select("category", "metric", "base", "tuned",
                     (F.col("tuned") - F.col("base")).alias("change"),
                     _improvement(F.col("base"), F.col("tuned")).alias("improvement_pct"))

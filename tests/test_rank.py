@@ -4,6 +4,7 @@ import math
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from airlens.operators.rank import nth, top_k
 
@@ -55,3 +56,26 @@ def test_plan_is_take_ordered(spark):
     plan = nth(df, [("v", True), ("lbl", True)], [0, -1], ["lbl"])._jdf.queryExecution() \
         .executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_group_stats_quantiles_with_a_hot_group(spark):
+    import numpy as np
+    from airlens.functions.stats import group_stats
+    rng = np.random.default_rng(0)
+    rows = [("hot", float(np.round(v, 3))) for v in rng.gamma(2, 20, 3000)]
+    rows += [("ties", 5.0)] * 50 + [("ties", 7.0)] * 51 + [("one", -3.5)] + [("none", None)] * 3
+    rows += [(None, 2.0), (None, 4.0)] + [("neg", float(v)) for v in rng.normal(0, 1, 100)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["lbl"]: r for r in group_stats(df, F.col("k"), {
+        "mean": ("mean", "v"), "median": ("median", "v"), "q25": ("q25", "v"), "q75": ("q75", "v"),
+        "low": ("median", F.when(F.col("v") < 3, F.col("v")))}).collect()}
+    assert set(got) == {k for k, _ in rows}
+    for k in got:
+        v = [x for kk, x in rows if kk == k and x is not None]
+        low = [x for x in v if x < 3]
+        want = [np.mean(v), np.median(v), *np.quantile(v, [0.25, 0.75])] if v else [None] * 4
+        want.append(np.median(low) if low else None)
+        for have, w in zip(got[k][1:], want):
+            assert (have is None and w is None) or abs(have - w) < 1e-9
+    plan = group_stats(df, F.col("k"), {"m": ("median", "v")})._jdf.queryExecution().toString()
+    assert "percentile" not in plan
