@@ -455,9 +455,12 @@ def b17(t):
 
 
 def b19(t):
-    """Rows per state of the city-day table."""
+    """Rows per state of the city-day table, with the sorted list of its cities
+    (a dimension: one entry per city)."""
     good, _ = city_day(derived_cells(t), _city_states(t))
-    return good.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    per_city = good.groupBy("state", "city").agg(F.count(F.lit(1)).alias("n"))
+    return per_city.groupBy("state").agg(
+        F.sum("n").alias("n"), F.array_join(F.sort_array(F.collect_list("city")), ",").alias("cities"))
 
 
 # --- oracle SQL: the expected ETL output computed directly from readings ----
@@ -499,7 +502,8 @@ B17_SQL = (f"select c.city, count(*) as n_dates, count(g.aqi) as n_observed from
            f"(select distinct city from ({SQL_GOOD}) a) c cross join (select distinct date from "
            f"({SQL_GOOD}) b) dd left join ({SQL_GOOD}) g on g.city = c.city and g.date = dd.date "
            f"group by c.city")
-B19_SQL = f"select state, count(*) as n from ({SQL_GOOD}) g group by state"
+B19_SQL = (f"select state, count(*) as n, array_to_string(list_sort(list(distinct city)), ',') as cities "
+           f"from ({SQL_GOOD}) g group by state")
 
 
 def registry():

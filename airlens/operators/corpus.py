@@ -189,15 +189,16 @@ C3_SQL = (f"select doc_id, lang from (select doc_id, lang, row_number() over (pa
 
 # --- C4: chat triples --------------------------------------------------------------
 
-def c4(t):
+def c4(t, system_prompt: str = SYSTEM_PROMPT):
     """C4: (system, user, assistant) records: each user turn paired with the
-    next turn of the same conversation when that turn is the assistant's."""
+    next turn of the same conversation when that turn is the assistant's.
+    ``system_prompt`` is the text of the deployment's prompt file."""
     c = t.conversations.select("conv_id", "turn", "role", "text")
     u = c.where(F.col("role") == "user").alias("u")
     a = c.where(F.col("role") == "assistant").alias("a")
     j = u.join(a, (F.col("u.conv_id") == F.col("a.conv_id")) & (F.col("a.turn") == F.col("u.turn") + 1))
     msg = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    messages = F.array(msg("system", F.lit(SYSTEM_PROMPT)), msg("user", F.col("u.text")),
+    messages = F.array(msg("system", F.lit(system_prompt)), msg("user", F.col("u.text")),
                        msg("assistant", F.col("a.text")))
     return j.select(F.col("u.conv_id").alias("conv_id"), F.col("u.turn").alias("turn"),
                     F.to_json(messages).alias("messages"))

@@ -468,9 +468,64 @@ E22_SQL = (f"select model, question_id, round(pass_at_1, 9) as pass_at_1, round(
            f"exec_at_1 from ({SQL_QUESTION_METRICS.replace('from samples group', 'from samples where question_id between 101 and 400 group')}) q")
 
 
+# --- the whole chain, from response files to category means --------------------
+
+def evaluate(responses: DataFrame, runs: DataFrame, n: int = SAMPLE_SIZE) -> DataFrame:
+    """Graded samples of response records: the first ``n`` of each, cleaned (E1,
+    E2), joined by (question, sample) with the log of its run, which is parsed
+    (E3, E4) and matched with the gold answer (E5). A sample without a run has
+    not been executed.
+
+    ``responses``: (model, category, question_id, generated_samples); ``runs``:
+    (question_id, sample_idx, exit_code, timed_out, log, answer).
+    """
+    s = responses.select("model", "category", "question_id", F.posexplode(
+        F.slice("generated_samples", 1, n)).alias("sample_idx", "raw"))
+    parsed = parse_run(F.col("exit_code"), F.col("timed_out"), F.col("log"))
+    r = runs.select("question_id", F.col("sample_idx").cast("int").alias("sample_idx"), "answer",
+                    parsed.alias("p"))
+    j = s.join(r, ["question_id", "sample_idx"], "left")
+    return j.select("model", "category", "question_id", "sample_idx",
+                    clean_sample(F.col("raw")).alias("code"),
+                    F.coalesce("p.executed", F.lit(False)).alias("executed"),
+                    F.coalesce("p.passed", F.lit(False)).alias("passed"),
+                    F.col("p.output").alias("output"), F.col("p.error_type").alias("error_type"),
+                    answer_match(F.col("p.output"), F.col("answer")).alias("matched"))
+
+
+def e_chain(t):
+    """E1-E9 in one path: response files written and scanned (A5, A11), sliced,
+    cleaned, joined with the run logs, graded, pass@k per question, category means."""
+    from airlens.sources.files import read_responses, write_responses
+    graded = evaluate(read_responses(t.spark, write_responses(t)), t.runs)
+    q = question_metrics(graded)
+    means = q.groupBy("model", "category").agg(
+        *[rnd(_w_mean(x), 9).alias(f"mean_{x}") for x in METRICS])
+    seen = graded.groupBy("model", "category").agg(
+        F.sum(F.col("matched").cast("int")).alias("n_matched"),
+        F.sum(F.length("code")).alias("code_chars"))
+    return means.join(seen, ["model", "category"])
+
+
+def _e_chain_sql() -> str:
+    code = "chr(10) || 'answer = ' || g.question_id || ' + ' || g.sample_idx || chr(10)"
+    graded = (f"(select s.model, s.category, g.question_id, g.sample_idx, g.executed, g.passed, g.error_type, "
+              f"{sql_answer_match('g.output', 'g.answer')} as matched, length({code}) as code_len "
+              f"from ({_sql_graded_runs()}) g join samples s on s.question_id = g.question_id "
+              f"and s.sample_idx = g.sample_idx where g.sample_idx < {SAMPLE_SIZE})")
+    metrics = SQL_QUESTION_METRICS.replace("from samples", f"from {graded} gs")
+    return (f"select m.model, m.category, "
+            + ", ".join(f"round(sum(m.n * m.{x}) / sum(m.n), 9) as mean_{x}" for x in METRICS)
+            + ", any_value(k.n_matched) as n_matched, any_value(k.code_chars) as code_chars "
+            f"from ({metrics}) m join (select model, category, sum(cast(matched as integer)) as n_matched, "
+            f"sum(code_len) as code_chars from {graded} g2 group by model, category) k "
+            "on m.model = k.model and m.category = k.category group by m.model, m.category")
+
+
 def registry():
     sv = ("samples",)
     return {
+        "E_chain": Entry(e_chain, _e_chain_sql(), ("samples", "runs")),
         "E1": Entry(e1, E1_SQL, ()),
         "E2": Entry(e2, E2_SQL, ()),
         "E3": Entry(e3, E3_SQL, ("runs",)),

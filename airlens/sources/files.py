@@ -84,6 +84,13 @@ A1_SQL = ("select ts, station, city, state, pm25, pm10, station || ', ' || city
           "station is not null as position_ok from readings")
 
 
+def read_city_states(spark, path: str) -> DataFrame:
+    """The city -> state lookup of the bulletin ETL (B14) from a CSV with a header;
+    the first state of a city that comes twice, in the order of the states."""
+    rows = read_by_name(spark, path, ("city", "state"))
+    return rows.groupBy("city").agg(F.min("state").alias("state"))
+
+
 # --- A2: three-table columnar scan ---------------------------------------------------
 
 def a2(t):
