@@ -68,6 +68,36 @@ def month_day(m: int, d: int) -> Column:
     return (F.month(TS) == m) & (F.dayofmonth(TS) == d)
 
 
+# years whose months become ranges of their own; other years are read as a whole
+SPAN_YEARS = range(1990, 2031)
+
+
+def in_any_year(months, day: int | None = None) -> Column:
+    """The stretches of time that hold these months (or one day of them) in any
+    year, as ``ts`` ranges: implied by the month predicate it accompanies, and
+    pushed to the parquet reader, so row groups of other months are skipped."""
+    spans: list[list[dt.date]] = []
+    for y in SPAN_YEARS:
+        for m in sorted(months):
+            nxt = dt.date(y + m // 12, m % 12 + 1, 1)
+            if day is None:
+                a, b = dt.date(y, m, 1), nxt
+            else:
+                a = dt.date(y, m, 1) + dt.timedelta(days=day - 1)
+                b = a + dt.timedelta(days=1)
+                if a >= nxt:
+                    continue
+            if spans and spans[-1][1] == a:
+                spans[-1][1] = b
+            else:
+                spans.append([a, b])
+    out = ((F.col(TS) < _ts(dt.date(SPAN_YEARS[0], 1, 1)))
+           | (F.col(TS) >= _ts(dt.date(SPAN_YEARS[-1] + 1, 1, 1))))
+    for a, b in spans:
+        out = out | ((F.col(TS) >= _ts(a)) & (F.col(TS) < _ts(b)))
+    return out
+
+
 def weekday_is(k: int) -> Column:
     """P10: Monday = 0 ... Sunday = 6."""
     return F.weekday(TS) == k

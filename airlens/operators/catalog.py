@@ -232,7 +232,7 @@ def t13_sql(pm="pm25", positions=SIX):
 
 def t14(t, pm="pm10", month=7, stat="median", positions=SIX):
     """Asks for a month, answers the year with the nth statistic in that month."""
-    return _grs(t, lambda r: tf.month_is(month), F.year("ts"), stat, pm, positions)
+    return _grs(t, lambda r: tf.month_is(month) & tf.in_any_year((month,)), F.year("ts"), stat, pm, positions)
 
 
 def t14_sql(pm="pm10", month=7, stat="median", positions=SIX):
@@ -277,7 +277,7 @@ def t18_sql(loc="city", pm="pm25", year=1998, positions=SIX):
 
 def t19(t, loc="state", pm="pm10", positions=SIX):
     """Location by nth mean on 31 December across all years."""
-    return _grs(t, lambda r: tf.month_day(12, 31), loc, "mean", pm, positions, dropna=True)
+    return _grs(t, lambda r: tf.month_day(12, 31) & tf.in_any_year((12,), 31), loc, "mean", pm, positions, dropna=True)
 
 
 def t19_sql(loc="state", pm="pm10", positions=SIX):

@@ -65,3 +65,14 @@ def test_entry_smoke(spark):
 
 def test_every_library_query_has_an_oracle():
     assert set(registry.queries()) == set(registry.oracle_sql())
+
+
+def test_predicates_reach_the_reader(spark):
+    from airlens.sources.tables import tables
+    t = tables(spark, SF_SMALL)
+    plan = lambda q: registry.queries()[q](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert t.readings is not None
+    for q in ("P2", "P4", "P5", "T14", "T19"):       # month ranges
+        assert "PushedFilters: [Or" in plan(q).replace("IsNotNull(ts), ", ""), q
+    for q in ("P9", "J11", "T8"):                    # year folders
+        assert "PartitionFilters: [isnotnull(year" in plan(q) or "PartitionFilters: [year" in plan(q), q
