@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlens.llm.common import slices
+from airlens.session import ensure_checkpoint_dir
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
@@ -186,6 +187,7 @@ class Model:
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Learn from text and lang of the documents that are not held out."""
+    ensure_checkpoint_dir(docs.sparkSession)
     train = (docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()
                          & F.col("text").rlike(r"\p{L}"))
              .select("text", F.col("lang").cast("string").alias("lang"),
@@ -196,9 +198,13 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     for r in df:
         freq[r["b"]] = r["df"]
     idf = np.log((1 + freq[BUCKETS]) / (1 + freq[:BUCKETS])) + 1
-    # the rank limit is applied before the shuffle, so a common language is no hot key
+    # keys are uniform, so about 4 * per_lang of a language are below its threshold, and only
+    # those meet to be ranked; a common language is no hot key
+    names = train.select("key", "lang").distinct().checkpoint()
+    share = names.groupBy("lang").agg((F.lit(4.0 * per_lang) / F.count(F.lit(1))).alias("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    picked = (train.select("key", "lang").distinct().withColumn("r", rank)
+    low = F.col("key").cast("double") / float(1 << 63) * 0.5 + 0.5 <= F.col("share")
+    picked = (names.join(F.broadcast(share), "lang").filter(low).withColumn("r", rank)
               .filter(F.col("r") <= per_lang).select("key", "lang"))
     sample = (train.join(F.broadcast(picked), ["key", "lang"]).select("key", "lang", "text")
               .mapInArrow(_counts, "key long, lang string, at array<int>, num array<int>")
