@@ -8,8 +8,8 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
@@ -52,10 +52,15 @@ def ship(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if str(root) in map(os.path.realpath, filter(None, seen)) or app in _shipped:
         return
-    file = os.path.join(tempfile.mkdtemp(), "airlens.zip")
-    with zipfile.ZipFile(file, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for f in (root / "airlens").rglob("*.py"):
             z.write(f, f.relative_to(root))
+    file = scratch(spark, "code") + "/airlens.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(data.getvalue())
+    out.close()
     spark.sparkContext.addPyFile(file)
     _shipped.add(app)
 
@@ -169,6 +174,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
         i = min(j, n)
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    nodes = (e.select("u", F.lit(1).alias("up"), F.lit(0).alias("down"))
+             .unionAll(e.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    n = nodes.groupBy("u").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return n.filter("up > 1 or (up > 0 and down > 0)").count() == 0
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """(id, label): the smallest id that each node of the edges reaches.
 
@@ -181,7 +194,7 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     x, y = F.col(src), F.col(dst)
     e = (edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
          .filter("u is not null and v is not null and u <> v").distinct().checkpoint())
-    while True:
+    while not _are_stars(e):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         low = low.select("u", F.least("u", "m").alias("m"))
@@ -191,11 +204,8 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         # small star: the smaller neighbours of u, and u, link to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         star = large.join(least, "u")
-        new = (star.select(F.col("v").alias("u"), F.col("m").alias("v"))
-               .unionAll(least.select("u", F.col("m").alias("v")))
-               .filter("u <> v").distinct().checkpoint())
-        if new.count() == e.count() and new.join(e, ["u", "v"], "left_anti").isEmpty():
-            break
-        e = new
+        e = (star.select(F.col("v").alias("u"), F.col("m").alias("v"))
+             .unionAll(least.select("u", F.col("m").alias("v")))
+             .filter("u <> v").distinct().checkpoint())
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("label")).unionAll(roots)

@@ -13,14 +13,15 @@ than e_i such parts also makes tiles of them, and a pair whose equal parts are
 all small consists of two such sets. A set makes tiles in its own band and, if
 a partner 1/t times as large would be in the next band, there too.
 
-Within tiles, each class is paired with the smallest and the largest class; the
-pairs that hold make components. What remains are tiles with classes of several
-components. There every pair of different components is compared in blocks by
-bitmaps: the parity bitmaps of two sets differ in at most as many bits as the
-sets differ in elements, so the count bounds the overlap from above. What the
-bound lets through, and was not checked before, is checked on the exact sorted
-arrays, and the components are completed. Every pair of different texts that
-could link is thus linked, in one component already, or refuted.
+Within tiles, each class is paired with the smallest and the largest class and
+with its nearest few by bitmaps; the pairs that hold make components. What
+remains are tiles with classes of several components. There every pair of
+different components is compared in blocks by bitmaps: the parity bitmaps of two
+sets differ in at most as many bits as the sets differ in elements, so the count
+bounds the overlap from above. What the bound lets through, and was not checked
+before, is checked on the exact sorted arrays (fetched for such classes only),
+and the components are completed. Every pair of different texts that could link
+is thus linked, in one component already, or refuted.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlens.llm.common import components, mix64, slices, utf8, word_hashes
+from airlens.llm.common import components, mix64, partitions, slices, utf8, word_hashes
 from airlens.session import ensure_checkpoint_dir
 
 SHINGLE = 4
@@ -40,6 +41,8 @@ PERCENT = 85
 GROWTH = 1.5
 BITS = 8192               # most bits of a bitmap
 CELL = 512                # classes on one side of a block of a tile
+NEAREST = 4               # partners of a class in the first round
+FILTER_BITS = 26          # size of the membership filter of classes whose sets are fetched
 
 _STEP = mix64(np.arange(7, 7 + 16, dtype=np.uint64))
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -138,7 +141,7 @@ def tile_keys(x: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray,
 
 def bitmap(x: np.ndarray) -> bytes:
     """Parity bitmap of a set: each element flips one bit; bits follow the size."""
-    bits = min(BITS, max(64, 1 << int(4 * len(x) - 1).bit_length()))
+    bits = min(BITS, max(64, 1 << int(len(x) - 1).bit_length()))
     b = np.bincount((x >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(b.astype(np.uint8)).tobytes()
 
@@ -156,9 +159,11 @@ def _classes(k):
         for batch in batches:
             for part in slices(batch):
                 x, at = shingle_sets(*utf8(part.column("text")), k)
+                bits = [bitmap(x[a:b]) if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("th"), pa.array(np.diff(at)),
-                     pa.array(class_ids(x, at))], names=["doc_id", "th", "n_shingles", "sid"])
+                     pa.array(class_ids(x, at)), pa.array(bits, pa.binary())],
+                    names=["doc_id", "th", "n_shingles", "sid", "bits"])
     return run
 
 
@@ -180,20 +185,51 @@ def _tiles(k, bands):
     return run
 
 
-def _arrays(k):
+def _wanted(sid: np.ndarray) -> np.ndarray:
+    """Place of a class in the membership filter: the top bits of its name, a hash."""
+    return (sid.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _arrays(k, wanted):
+    """Sorted elements of the sets that the filter may hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(wanted.value, bitorder="little")
         for batch in batches:
+            sent: set[int] = set()
             for part in slices(batch):
                 x, at = shingle_sets(*utf8(part.column("text")), k)
-                sets = [x[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                sid = class_ids(x, at)
+                keep = []
+                for i in np.flatnonzero(table[_wanted(sid)] & (np.diff(at) > 0)).tolist():
+                    if sid[i] not in sent:
+                        sent.add(int(sid[i]))
+                        keep.append(i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(class_ids(x, at)), pa.array(np.diff(at)),
-                     pa.array([s.tobytes() for s in sets], pa.binary()),
-                     pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary())],
-                    names=["sid", "n", "elements", "bits"])
+                    [pa.array(sid[keep]), pa.array([x[at[i]:at[i + 1]].tobytes() for i in keep], pa.binary())],
+                    names=["sid", "elements"])
     return run
 
 
+def _elements(rows: DataFrame, sids: DataFrame, k: int) -> DataFrame:
+    """(sid, elements) of the classes in ``sids``, from one more pass over the texts.
+
+    The pass sends on only what a membership filter of ``2 ** FILTER_BITS`` bits
+    may hold: a fixed 8 MB that the driver collects and broadcasts, whatever the
+    input. The join after it is exact.
+    """
+    slot = F.shiftrightunsigned("sid", 64 - FILTER_BITS) + 1      # these functions count from 1
+    parts = sids.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")) \
+        .groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    wanted = np.zeros(((1 << FILTER_BITS) >> 3) + 4096, np.uint8)
+    for r in parts:
+        at = (r["b"] - 1) * 4096
+        wanted[at:at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
+    return (rows.select("text").mapInArrow(_arrays(k, shared), "sid long, elements binary")
+            .join(sids.select(F.col("sid").alias("s2")), F.col("sid") == F.col("s2"), "left_semi")
+            .dropDuplicates(["sid"]))
+
+
 def _overlaps(percent):
     """Exact test of (a, x, b, y): 100 * intersection >= percent * union."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,19 +248,25 @@ def _overlaps(percent):
     return run
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ok) of distinct pairs a < b; sizes and bitmaps sift before the arrays are fetched."""
-    light = sets.select("sid", "n", "bits")
+def _sifted(pairs: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps allow a link."""
     p = (pairs.join(light.select(F.col("sid").alias("a"), F.col("n").alias("na"),
                                  F.col("bits").alias("ba")), "a")
          .join(light.select(F.col("sid").alias("b"), F.col("n").alias("nb"),
-                            F.col("bits").alias("bb")), "b")
-         .filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-         .mapInArrow(_sift(percent), "a long, b long"))
-    heavy = sets.select("sid", "elements")
-    return (p.join(heavy.select(F.col("sid").alias("a"), F.col("elements").alias("x")), "a")
-            .join(heavy.select(F.col("sid").alias("b"), F.col("elements").alias("y")), "b")
-            .mapInArrow(_overlaps(percent), "a long, b long, ok boolean"))
+                            F.col("bits").alias("bb")), "b"))
+    return (p.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+            .mapInArrow(_sift(percent), "a long, b long"))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ok) of distinct pairs a < b, by their exact sorted arrays."""
+    return (pairs.join(sets.select(F.col("sid").alias("a"), F.col("elements").alias("x")), "a")
+            .join(sets.select(F.col("sid").alias("b"), F.col("elements").alias("y")), "b")
+            .mapInArrow(_overlaps(percent), "a long, b long, ok boolean").checkpoint())
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
 
 
 def _bytes2d(values: list[bytes]) -> np.ndarray:
@@ -259,38 +301,106 @@ def _allowed(na, nb, differ, percent):
     return 100 * (na + nb - differ) >= percent * (na + nb + differ)
 
 
-def _cells(percent):
-    """Pairs of different components in one block of a tile that sizes and bitmaps allow."""
-    def run(key, table):
-        t = table.to_pydict()
-        side = np.array(t["side"])
-        n, label = np.array(t["n"], np.int64), np.array(t["label"], np.int64)
-        sid, bits = np.array(t["sid"], np.int64), t["bits"]
-        diagonal = key[1].as_py() == key[2].as_py()
-        left = np.flatnonzero(side == 0)
-        right = left if diagonal else np.flatnonzero(side == 1)
-        size = min((len(b) for b in bits), default=8)
-        b = np.concatenate([_fold(_bytes2d([v]), size) for v in bits])
-        a_out, b_out = [], []
-        for i in left:
-            j = right[(label[right] != label[i])
-                      & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if diagonal:
-                j = j[j > i]
-            if not len(j):
-                continue
+def _cell(side, n, label, sid, bits, diagonal, percent, nearest):
+    """Pairs of different components in one block of a tile that sizes and bitmaps allow.
+
+    ``nearest`` gives each row only so many partners, of fewest differing bits (0: all).
+    """
+    left = np.flatnonzero(side == 0)
+    right = left if diagonal else np.flatnonzero(side == 1)
+    size = min(map(len, bits))
+    b = np.concatenate([_fold(_bytes2d([v]), size) for v in bits])
+    a_out, b_out = [], []
+    for i in left:
+        j = right[(label[right] != label[i])
+                  & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        if diagonal:
+            j = j[j > i]
+        if len(j):
             differ = np.bitwise_count(b[j] ^ b[i]).sum(axis=1, dtype=np.int64)
-            j = j[_allowed(n[i], n[j], differ, percent)]
+            ok = _allowed(n[i], n[j], differ, percent)
+            j = j[ok]
+            if nearest and len(j) > nearest:
+                j = j[np.argpartition(differ[ok], nearest)[:nearest]]
             a_out.append(np.minimum(sid[i], sid[j]))
             b_out.append(np.maximum(sid[i], sid[j]))
-        none = np.empty(0, np.int64)
-        return pa.table({"a": np.concatenate([none, *a_out]), "b": np.concatenate([none, *b_out])})
+    return a_out, b_out
+
+
+def _cells(percent, nearest):
+    """The pairs of every block; rows come sorted, a block in consecutive rows."""
+    names = ["key", "i", "j", "side", "n", "label", "sid"]
+
+    def pairs(held):
+        col = {c: held.column(c).to_numpy() for c in names}
+        bits = held.column("bits").to_pylist()
+        new = np.zeros(held.num_rows, bool)
+        new[:1] = True
+        for c in ("key", "i", "j"):
+            new[1:] |= col[c][1:] != col[c][:-1]
+        edge = np.r_[np.flatnonzero(new), held.num_rows]
+        done: set[tuple[int, int]] = set()
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if hi - lo < 2:
+                continue
+            s = slice(lo, hi)
+            a, b = _cell(col["side"][s], col["n"][s], col["label"][s], col["sid"][s], bits[s],
+                         col["i"][lo] == col["j"][lo], percent, nearest)
+            for x, y in zip(a, b):
+                done.update(zip(x.tolist(), y.tolist()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in done], pa.int64()), pa.array([y for _, y in done], pa.int64())],
+            names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch if held is None else pa.concat_batches([held, batch])
+            key = np.stack([held.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            last = np.flatnonzero((key != key[:, -1:]).any(axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:                                  # all but the block that may go on
+                yield pairs(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None:
+            yield pairs(held)
     return run
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return components(links.filter("ok").select("a", "b")).select(
-        F.col("id").alias("sid"), "label")
+def _labels(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(sid, label) after further links: components of the labels so far."""
+    e = links.filter("ok").select("a", "b")
+    if labels is None:
+        return components(e).select(F.col("id").alias("sid"), "label").checkpoint()
+    for end in ("a", "b"):
+        known = labels.select(F.col("sid").alias(end), F.col("label").alias("l" + end))
+        e = e.join(known, end, "left").withColumn("l" + end, F.coalesce("l" + end, end))
+    e = e.filter("la <> lb")
+    moved = components(e.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    m = moved.select(F.col("id").alias("old"), F.col("label").alias("new"))
+    every = labels.unionAll(_ends(links.filter("ok")).select("sid", F.col("sid").alias("label"))
+                            .join(labels, "sid", "left_anti"))
+    return (every.join(m, F.col("label") == F.col("old"), "left")
+            .select("sid", F.coalesce("new", "label").alias("label")).checkpoint())
+
+
+def _open_pairs(known: DataFrame, light: DataFrame, percent: int, nearest: int) -> DataFrame:
+    """Pairs of different labels, within the tiles of (key, sid, label), that bitmaps allow."""
+    open_ = (known.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"),
+                                      F.count(F.lit(1)).alias("m"))
+             .filter("l0 <> l1 and m > 2")              # of two classes, both ends are checked
+             .select("key", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")))
+    cells = (known.join(open_, "key").join(light, "sid")
+             .withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                     F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
+                     "sid", "label", "n", "bits"))
+    return (cells.repartition(partitions(known.sparkSession), "key", "i", "j")
+            .sortWithinPartitions("key", "i", "j", "sid")
+            .mapInArrow(_cells(percent, nearest), "a long, b long"))
 
 
 def classes_joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -301,48 +411,40 @@ def classes_joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     named = rows.withColumn("th", F.xxhash64("text")).mapInArrow(
-        _classes(k), f"doc_id {kind}, th long, n_shingles long, sid long").checkpoint()
+        _classes(k), f"doc_id {kind}, th long, n_shingles long, sid long, bits binary").checkpoint()
 
     tiles = rows.select("text").mapInArrow(_tiles(k, bands), "key long, sid long")
     whole = Window.partitionBy("key")
     shared = (tiles.withColumns({"lo": F.min("sid").over(whole), "hi": F.max("sid").over(whole)})
               .filter("lo <> hi").distinct().checkpoint())
-
-    # the sets that share a tile, fetched once: one document of each class
-    some = shared.select("sid").distinct()
-    one = (named.join(some, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-           .select("doc_id").distinct().withColumnRenamed("doc_id", "_one"))
-    texts = rows.join(one.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_one")), "left_semi")
-    sets = (texts.select("text").mapInArrow(
-        _arrays(k), "sid long, n long, elements binary, bits binary")
-        .join(some.withColumnRenamed("sid", "s2"), F.col("sid") == F.col("s2"), "left_semi")
-        .dropDuplicates(["sid"]).checkpoint())
+    light = (named.select("sid", F.col("n_shingles").alias("n"), "bits")
+             .join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]).checkpoint())
 
     star = (shared.select(F.col("lo").alias("a"), F.col("sid").alias("b"))
             .unionAll(shared.select(F.col("sid").alias("a"), F.col("hi").alias("b")))
             .filter("a <> b").distinct())
-    links = _checked(star, sets, percent).checkpoint()
-    labels = _labels(links)
-
-    # tiles that still hold several components
+    # and each class with its nearest few, in a quarter of the tiles (near copies share many, and
+    # this need not be whole), so that groups of near copies grow together without all their pairs
+    near = _open_pairs(shared.filter(F.pmod("key", F.lit(4)) == 0).select(
+        "key", "sid", F.col("sid").alias("label")), light, percent, NEAREST)
+    close = _sifted(star.unionAll(near).distinct(), light, percent).checkpoint()
+    sets = _elements(rows, _ends(close), k).checkpoint()
+    tested = _checked(close, sets, percent)
+    labels = _labels(tested, None)
+
+    # every pair left in tiles that still hold several components
     known = (shared.select("key", "sid").join(labels, "sid", "left")
              .select("key", "sid", F.coalesce("label", "sid").alias("label")))
-    open_ = (known.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"),
-                                      F.count(F.lit(1)).alias("m"))
-             .filter("l0 <> l1 and m > 2")          # of two classes, both ends were checked
-             .select("key", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")))
-    cells = (known.join(open_, "key").join(sets.select("sid", "n", "bits"), "sid")
-             .withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
-                     "sid", "label", "n", "bits"))
-    rest = (cells.groupBy("key", "i", "j").applyInArrow(_cells(percent), "a long, b long")
-            .distinct().join(links.select("a", "b"), ["a", "b"], "left_anti").checkpoint())
-    if not rest.isEmpty():
-        links = links.unionAll(_checked(rest, sets, percent)).checkpoint()
-        labels = _labels(links)
-    return (named.join(labels, "sid", "left")
+    rest = (_open_pairs(known, light, percent, 0).distinct()
+            .join(tested, ["a", "b"], "left_anti").checkpoint())
+    if rest.count():
+        missing = _ends(rest).join(sets, "sid", "left_anti")
+        if missing.count():
+            sets = sets.unionAll(_elements(rows, missing, k)).checkpoint()
+        found = _checked(rest, sets, percent)
+        if found.filter("ok").count():
+            labels = _labels(found, labels)
+    return (named.drop("bits").join(labels, "sid", "left")
             .withColumn("label", F.coalesce("label", "sid")))
 
 

@@ -202,7 +202,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
 
     A null id, or a vector that is null, zero, holds a null or non-finite component
     or is not of the commonest length, takes no part. A row that comes again counts
-    once; a query's own id is no candidate. Equal distances go by vec_id. Fewer
+    once; a query's own id is no candidate; an id with two vectors is two queries. Equal distances go by vec_id. Fewer
     candidates than k give all that were found. An empty table gives no rows;
     other columns are not read.
     """
