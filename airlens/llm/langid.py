@@ -24,6 +24,7 @@ from airlens.session import ensure_checkpoint_dir
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
 PER_LANG = 600            # bound of the fitting sample, per language
+LEAST = 0.3               # confidence below which a document is of no language (texts of two languages have about 0.5)
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.01, 0.01
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -256,7 +257,7 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
                         f"doc_id {kind}, held_out boolean, lang_pred string, score double"))
 
 
-def identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``docs`` without the rows of no language, or of a confidence below ``least``."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
 

@@ -1,6 +1,6 @@
 """The corpus pipeline: documents through five operators, each stage written and read again.
 
-Language ID drops documents of no language (or of a confidence below one half),
+Language ID drops documents of no language (or of a confidence below 0.3),
 the n-gram Jaccard join keeps one document of each component, decontamination
 drops documents that hold a benchmark window, the mix repeats or leaves out
 documents so that the sources reach their weights, and the token store is

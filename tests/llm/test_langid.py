@@ -26,7 +26,7 @@ def test_awkward_rows(spark):
     assert {r["lang_pred"] for r in got} <= {"en", "fr", "de", "und"}
     kept = langid.identified(docs)
     assert kept.columns == docs.columns
-    assert kept.count() == sum(r["lang_pred"] != "und" and r["score"] >= 0.5 for r in got)
+    assert kept.count() == sum(r["lang_pred"] != "und" and r["score"] >= langid.LEAST for r in got)
 
 
 def test_nothing_to_learn(spark):

@@ -32,7 +32,7 @@ def check(spark, docs, sf_dir):
     r0, r1, r2, r3, r4 = ([tuple(r) for r in d.select("doc_id", "text", "lang", "source").collect()]
                           for d in (d0, d1, d2, d3, d4))
     # language ID: what is told with confidence stays
-    told = langid.identify(d0).filter("lang_pred <> 'und' and score >= 0.5").count()
+    told = langid.identify(d0).filter(f"lang_pred <> 'und' and score >= {langid.LEAST}").count()
     assert len(r1) == told and not Counter(r1) - Counter(r0)
     assert all(any(map(str.isalpha, r[1])) for r in r1)
     # Jaccard: one of each component
