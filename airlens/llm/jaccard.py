@@ -465,12 +465,12 @@ def join_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
                       .select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: smallest doc_id (null last), then text hash.
 
     Rows without shingles all stay.
     """
-    j = classes_joined(docs).filter("n_shingles > 0").withColumn(
+    j = classes_joined(docs, k, percent).filter("n_shingles > 0").withColumn(
         "name", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
     first = j.groupBy("label").agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("m"))
     marked = j.join(first.filter("m > 1"), "label").select(

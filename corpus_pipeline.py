@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from airlens.llm import binary, decontaminate, jaccard, langid, mixing
 from airlens.llm.common import scratch, ship
 
+# near copies: 5-word shingles, a similarity of 0.8 or more (op4 by itself has its own contract)
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents whose language is told with confidence."""
@@ -25,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: one document of each component of linked documents."""
     ship(spark)
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,3 +109,21 @@ def test_one_of_each_stays(spark):
     blank = sum(1 for s in sets if not s)
     assert kept.count() == len(firsts) + blank
     assert jaccard.one_of_each(H.empty(spark)).count() == 0
+
+
+def test_linked_sets_share_a_tile_at_80_percent():
+    """The same at the pipeline stage's threshold."""
+    rng = np.random.default_rng(14)
+    bands = jaccard.Bands(80)
+    for _ in range(400):
+        n = int(np.exp(rng.uniform(np.log(2), np.log(900))))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        grow, m = rng.random() < 0.5, len(a)
+        most = m // 4 if grow else m // 5            # so many more, or fewer, is 0.8 or just above
+        more = rng.integers(0, 1 << 63, most, dtype=np.uint64)
+        b = np.unique(np.concatenate([a, more])) if grow else a[most:]
+        if len(a) == len(b):
+            continue
+        at = np.array([0, len(a), len(a) + len(b)])
+        key, own = jaccard.tile_keys(np.concatenate([a, b]), at, bands)
+        assert set(key[own == 0]) & set(key[own == 1])

@@ -81,3 +81,63 @@ def test_stages_on_awkward_rows(spark, tmp_path, rows):
     docs = H.awkward(spark) if rows == "awkward" else H.empty(spark)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     check(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+
+
+def similarity(a, b, k):
+    x, y = H.shingles(a, k), H.shingles(b, k)
+    return len(x & y) / len(x | y)
+
+
+def near_copies():
+    """Texts and copies at about the stage's threshold: text added, text cut, words edited."""
+    rnd = np.random.default_rng(12)
+    rows = []
+    for g in range(30):
+        n = int(rnd.integers(60, 400))
+        base = [f"g{g}w{i}" for i in range(n)]
+        for share in (0.20, 0.24, 0.26, 0.30):
+            add = [f"g{g}s{share}a{i}" for i in range(int(share * n))]
+            rows.append((base, base + add) if share < 0.26 else (base, add + base))
+            base = [w + "x" for w in base]
+        for share in (0.16, 0.19, 0.21, 0.25):
+            rows.append((base, base[int(share * n):]))
+            base = [w + "y" for w in base]
+        for share in (0.019, 0.021, 0.023, 0.025):
+            w = list(base)
+            for i in np.linspace(5, n - 6, max(1, round(share * n))).astype(int):
+                w[i] = "edited" + w[i]
+            rows.append((base, w))
+            base = [w + "z" for w in base]
+    return [(" ".join(a), " ".join(b)) for a, b in rows]
+
+
+def test_near_copies_at_the_stage_threshold(spark):
+    """The stage's rule is 5-word shingles and 0.8; pairs just above and just below tell."""
+    pairs = near_copies()
+    s5 = [similarity(a, b, 5) for a, b in pairs]
+    # the data tell the rule from 4 words and 0.85, and lie close on both sides of it
+    assert sum(0.8 <= x and similarity(a, b, 4) < 0.85 for x, (a, b) in zip(s5, pairs)) > 20
+    assert sum(0.8 <= x < 0.82 for x in s5) > 5 and sum(0.78 < x < 0.8 for x in s5) > 5
+    # exactly at the threshold (40 of 50 shingles) and one word under it
+    words = [f"q{i}" for i in range(54)]
+    pairs += [(" ".join(words), " ".join(words[:44])),
+              (" ".join(f"r{w}" for w in words), " ".join(f"r{w}" for w in words[:43]))]
+    rows = [H.row(i, t) for i, t in enumerate(t for p in pairs for t in p)]
+    got = {r["doc_id"] for r in corpus_pipeline.one_of_near_copies(
+        spark, spark.createDataFrame(rows, H.DOCS), "").select("doc_id").collect()}
+    label = H.components([H.shingles(r[1], 5) for r in rows], 80)
+    assert got == set(label)
+
+
+@pytest.mark.parametrize("table", ["documents", "awkward"])
+def test_near_copy_stage_is_brute_force(spark, table):
+    docs = (H.awkward(spark) if table == "awkward" else
+            spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    sets = [H.shingles(r[1], 5) for r in rows]
+    label = H.components(sets, 80)
+    # H.components takes the first row's index as the label; every set without shingles is alone
+    kept = corpus_pipeline.one_of_near_copies(spark, docs, "").select("doc_id", "text").collect()
+    assert len(kept) == len(set(label))
+    left = Counter(H.components([H.shingles(r["text"], 5) for r in kept], 80))
+    assert max(left.values()) == 1
