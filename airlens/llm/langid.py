@@ -7,6 +7,11 @@ temperature. Document frequencies are counted over all training documents; the
 regression is fitted on at most ``PER_LANG`` distinct training texts of each
 language (those of smallest hash), of which every fifth calibrates. Prediction
 is one pass over whole texts: the logits are sums of per-gram weights.
+
+A text is in a language if it is made of known n-grams (those in at least
+``COMMON`` of the fitting texts of some language): their share must reach ``KNOWN`` of the median share that the
+calibration texts of the predicted language have. No confidence tells that: the
+softmax of a text of unknown n-grams is as sharp as any.
 """
 
 from __future__ import annotations
@@ -24,7 +29,10 @@ from airlens.session import ensure_checkpoint_dir
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
 PER_LANG = 600            # bound of the fitting sample, per language
-LEAST = 0.3               # confidence below which a document is of no language (texts of two languages have about 0.5)
+KNOWN = 0.8               # share of known n-grams, against the calibration texts' median, below which a text is of no language
+COMMON = 0.005            # share of a language's fitting texts that hold a known n-gram
+ENOUGH = 10               # calibration texts in all below which nothing is known well enough to reject by it
+LEAST = 0.0               # least confidence; none is asked for, as it depends on the number of languages
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.01, 0.01
 _FACTORS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
@@ -165,25 +173,44 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 class Model:
-    """Per-gram logit weights (idf and scale folded in), bias, temperature and languages."""
+    """Per-gram logit weights (idf and scale folded in), bias, temperature, languages,
+    the known n-grams and the least share of them that a text of each language has."""
 
-    def __init__(self, langs, table, bias, heat):
+    def __init__(self, langs, table, bias, heat, known, floor):
         self.langs, self.table, self.bias, self.heat = langs, table, bias, heat
+        self.known, self.floor = known, floor
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Language and confidence of each text; ``und`` and 0 without a letter or a model."""
+        return self._told(texts, None)[:2]
+
+    def told(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """``predict``, and whether enough of each text's n-grams are known.
+
+        A share of n n-grams is uncertain by half of 1 / sqrt(n) at most; twice that
+        is allowed for, so that a short text does not go by chance.
+        """
+        lang, score, share, total, best = self._told(texts, self.known)
+        if not self.langs:
+            return lang, score, np.zeros(len(texts), bool)
+        return lang, score, share + 1 / np.sqrt(total) >= self.floor[best]
+
+    def _told(self, texts, known):
         ok = np.array([has_letter(t) for t in texts], bool)
-        if not self.langs or not ok.any():
-            return ["und"] * len(texts), np.zeros(len(texts))
         z, total = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        if not self.langs or not ok.any():
+            return ["und"] * len(texts), total, total, total + 1, np.zeros(len(texts), np.int64)
+        found = np.zeros(len(texts))
         for b, offs, own in grams_of([t if k else "a" for t, k in zip(texts, ok)]):
             np.add.at(total, own, np.add.reduceat(b < BUCKETS, offs[:-1], dtype=np.int64))
+            if known is not None:
+                np.add.at(found, own, np.add.reduceat(known[b], offs[:-1], dtype=np.int64))
             for c in range(len(self.langs)):
                 np.add.at(z[:, c], own, np.add.reduceat(self.table[:, c][b], offs[:-1], dtype=np.float64))
         p = _softmax((z / total[:, None] + self.bias) / self.heat)
         best = p.argmax(axis=1)
         lang = [self.langs[i] if k else "und" for i, k in zip(best.tolist(), ok.tolist())]
-        return lang, np.where(ok, p[np.arange(len(p)), best], 0.0)
+        return lang, np.where(ok, p[np.arange(len(p)), best], 0.0), found / total, total, best
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
@@ -213,7 +240,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     sample = sample.sort_values(["key", "lang"], kind="stable").reset_index(drop=True)
     langs = sorted(set(sample["lang"]))
     if not langs:
-        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0)
+        return Model([], np.zeros((BUCKETS + 1, 0), np.float32), np.zeros(0), 1.0,
+                     np.zeros(BUCKETS + 1, bool), np.zeros(0))
     index = {lang: i for i, lang in enumerate(langs)}
     rows = []
     for at, num, lang in zip(sample["at"], sample["num"], sample["lang"]):
@@ -228,7 +256,19 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
                        np.array([y for _, _, y in check]))
     table = np.zeros((BUCKETS + 1, len(langs)), np.float32, order="F")
     table[:BUCKETS] = w * (idf * scale)[:, None]
-    return Model(langs, table, bias, heat)
+    # by texts, not by weights: of a single language no weight is learned
+    seen, texts = np.zeros((BUCKETS + 1, len(langs)), np.int32), np.zeros(len(langs))
+    for at, _, y in fold:
+        seen[at, y] += 1
+        texts[y] += 1
+    known = (seen >= np.maximum(1, COMMON * texts)).any(axis=1)
+    share = np.array([num[known[at]].sum() / num.sum() for at, num in (
+        (np.asarray(a, np.int64), np.asarray(c, np.int64)) for a, c in zip(sample["at"][::5], sample["num"][::5]))])
+    own = np.array([y for _, _, y in check])
+    # a language without a calibration text rejects nothing
+    floor = np.array([KNOWN * np.median(share[own == c]) if (own == c).any() and len(own) >= ENOUGH else 0.0
+                      for c in range(len(langs))])
+    return Model(langs, table, bias, heat, known, floor)
 
 
 def _predictor(model):
@@ -258,14 +298,17 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
 
 
 def identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """``docs`` without the rows of no language, or of a confidence below ``least``."""
+    """``docs`` without the rows of no language: no letter, or too few known n-grams.
+
+    ``least`` is a confidence that a caller may ask for besides.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             for part in slices(batch, most=2 << 20):
-                lang, score = m.predict(_texts(part))
-                yield part.filter(pa.array([a != "und" and b >= least for a, b in zip(lang, score)],
-                                           pa.bool_()))
+                lang, score, known = m.told(_texts(part))
+                yield part.filter(pa.array([bool(a != "und" and b >= least and c)
+                                            for a, b, c in zip(lang, score, known)], pa.bool_()))
     return docs.mapInArrow(keep, docs.schema)

@@ -1,7 +1,7 @@
 """The corpus pipeline: documents through five operators, each stage written and read again.
 
-Language ID drops documents of no language (or of a confidence below 0.3),
-the n-gram Jaccard join keeps one document of each component, decontamination
+Language ID drops documents of no language (no letter, or too few known
+n-grams), the n-gram Jaccard join keeps one document of each component, decontamination
 drops documents that hold a benchmark window, the mix repeats or leaves out
 documents so that the sources reach their weights, and the token store is
 written and read back. Stages keep extra columns; each runs over all rows that
@@ -21,7 +21,7 @@ NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents whose language is told with confidence."""
+    """Operator 10: documents that are in one of the languages."""
     ship(spark)
     return langid.identified(docs)
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from airlens.llm import langid
 from tests.llm import helpers as H
@@ -57,3 +58,31 @@ def test_ftrl_is_sparse():
     w, _ = langid.fit_ftrl(rows, 2)
     assert w[0, 0] > 0 > w[0, 1] and w[1, 1] > 0 > w[1, 0]
     assert (w == 0).mean() > 0.9
+
+
+def gibberish():
+    rnd = np.random.default_rng(21)
+    def drawn(letters, n):
+        return "".join(rnd.choice(list(letters), n))
+    return ([drawn("qwxzjkvbpf     ", 600) for _ in range(5)]
+            + [drawn("abcdefghijklmnopqrstuvwxyz     ", 2000) for _ in range(5)]
+            + [drawn("ABCDEFGHIJabcdefghijKLMNOPQRSTUVWXYZklmnopqrstuvwxyz0123456789+/", 800) for _ in range(5)]
+            + [drawn([chr(c) for c in range(0x4E00, 0x9000)], 300) for _ in range(5)])
+
+
+@pytest.mark.parametrize("langs", [1, 2, 4])
+def test_lettered_gibberish_goes(spark, langs):
+    """Unlabelled gibberish goes and prose stays, of two languages too, however many are learned."""
+    table = spark.read.parquet(f"{TABLE}/documents.parquet")
+    names = sorted(r[0] for r in table.select("lang").distinct().collect())[:langs]
+    rows = [tuple(r) for r in table.select("doc_id", "text", "lang").collect() if r[2] in names]
+    first = [next(r[1] for r in rows if r[2] == n and len(r[1]) > 400)[:400] for n in names]
+    mixed = [a + " " + b for i, a in enumerate(first) for b in first[i + 1:]]
+    short = [" ".join(t.split()[:6]) for t in first]
+    bad = gibberish()
+    rows += [(10**6 + i, t, None) for i, t in enumerate(bad)]
+    rows += [(2 * 10**6 + i, t, None) for i, t in enumerate(mixed + short)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r[0] for r in langid.identified(docs).select("doc_id").collect()}
+    assert not {i for i in kept if 10**6 <= i < 2 * 10**6}
+    assert {r[0] for r in rows if not 10**6 <= r[0] < 2 * 10**6} <= kept
