@@ -15,6 +15,10 @@ the rest and the original vectors rank what is left in double precision.
 Equal vectors are one entry of the index with their smallest ids, so a vector
 that very many rows share is neither a hot bucket nor a hot key. The queries
 are taken in blocks of ``QUERY_BLOCK`` vectors, each block against all rows.
+
+The radius is learned, so it may hold too few rows of a query that is unlike the
+sample. Queries left with fewer rows than there are to give are probed again
+with all bits, which is exact.
 """
 
 from __future__ import annotations
@@ -220,23 +224,36 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
                .agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     q = v.filter(F.col("vec_id") % every == 0).withColumn("key", F.xxhash64("embedding"))
     wanted = q.select("key", "embedding").dropDuplicates(["key"])
-    blocks = max(1, -(-wanted.count() // query_block))
-    found = None
-    for b in range(blocks):
-        own = wanted if blocks == 1 else wanted.filter(F.pmod("key", F.lit(blocks)) == b)
-        own = own.toPandas()                        # about query_block vectors
-        if not len(own):
-            continue
-        x = np.stack(own["embedding"].to_numpy()).astype(np.float64)
-        limit = codes.limits(x, keep)
-        state = spark.sparkContext.broadcast(
-            (codes, own["key"].to_numpy(np.int64), x, limit, codes.radii(limit)))
-        hits = entries.mapInArrow(_shards(state, keep), "key long, vec_id long, score double")
-        found = hits if found is None else found.unionAll(hits)
-    if found is None:
-        return spark.createDataFrame([], schema)
     best = Window.partitionBy("key").orderBy("score", "vec_id")
-    top = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep)
+
+    def probed(wanted: DataFrame, every_bit: bool) -> DataFrame | None:
+        """(key, vec_id, score, r) of the nearest ``keep`` within each radius, or of all rows."""
+        blocks = max(1, -(-wanted.count() // query_block))
+        found = None
+        for b in range(blocks):
+            own = wanted if blocks == 1 else wanted.filter(F.pmod("key", F.lit(blocks)) == b)
+            own = own.toPandas()                    # about query_block vectors
+            if not len(own):
+                continue
+            x = np.stack(own["embedding"].to_numpy()).astype(np.float64)
+            limit = codes.limits(x, keep)
+            radius = codes.radii(np.full(len(x), np.inf) if every_bit else limit)
+            state = spark.sparkContext.broadcast((codes, own["key"].to_numpy(np.int64), x, limit, radius))
+            hits = entries.mapInArrow(_shards(state, keep), "key long, vec_id long, score double")
+            found = hits if found is None else found.unionAll(hits)
+        if found is not None:
+            found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep)
+        return found
+
+    top = probed(wanted, False)
+    if top is None:
+        return spark.createDataFrame([], schema)
+    top = top.checkpoint()
+    full = top.groupBy("key").count().filter(F.col("count") >= min(keep, v.count())).select("key")
+    short = wanted.join(full, "key", "left_anti").checkpoint()
+    again = probed(short, True)
+    if again is not None:
+        top = top.join(short.select("key"), "key", "left_anti").unionAll(again)
     near = (q.select(F.col("vec_id").alias("query_id"), "key").join(top, "key")
             .filter("query_id <> vec_id"))
     rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy("score", "vec_id"))

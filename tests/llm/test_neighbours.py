@@ -72,3 +72,21 @@ def test_few_or_no_rows(spark):
     assert neighbours.search(table(spark, [(0, [1.0, 2.0])])).count() == 0
     got = neighbours.search(table(spark, [(0, [1.0, 2.0]), (5, [1.0, 3.0])])).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 5, 1.0)]
+
+
+def test_clusters_of_unequal_scale_get_all_their_rows(spark):
+    """Tight far clusters teach a small radius; a few loose points about the mean need a wide one."""
+    rng = np.random.default_rng(3)
+    far = rng.normal(size=(4, 16)) * 100
+    far = np.concatenate([far, -far])
+    x = np.concatenate([far[rng.integers(8, size=3985)] + rng.normal(size=(3985, 16)) * 0.01,
+                        rng.normal(size=(15, 16)) * 6]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want = brute(rows, every=4)
+    assert any(np.linalg.norm(x[i]) < 100 for i in want)
+    got = neighbours.search(table(spark, rows), every=4, sample=1000).collect()
+    mine, recall = compare(got, want)
+    assert mine.keys() == want.keys()
+    assert all(len(mine[i]) == 10 for i in want)
+    assert recall >= 0.9
