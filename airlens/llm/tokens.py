@@ -24,6 +24,7 @@ from airlens.llm.common import utf8
 LIMIT = 4096
 _CACHE_MAX = 1_200_000
 _NONE = np.iinfo(np.int32).max
+LONG = 256                # symbols above which a sequence is merged by itself, with a heap
 _RUN = re.compile("▁*[^▁]+|▁+")
 
 
@@ -58,6 +59,7 @@ class RankMerger:
         key = np.array(left, np.int64) * self.base + np.array(right, np.int64)
         by = np.argsort(key)
         self.keys, self.to = key[by], np.array(to, np.int32)[by]
+        self.pair = dict(zip(self.keys.tolist(), self.to.tolist()))   # for merge_long
         bits = 18
         self.shift = np.uint64(64 - bits)
         slot = self._slot(self.keys)
@@ -145,8 +147,7 @@ class RankMerger:
         r = self._ranks(symbols[:-1].astype(np.int64), symbols[1:].astype(np.int64))
         heap = [(int(r[i]), int(i), sym[i], sym[i + 1]) for i in np.flatnonzero(r != _NONE)]
         heapq.heapify(heap)
-        pair = dict(zip(self.keys.tolist(), self.to.tolist())) if heap else {}
-        base, dead = int(self.base), bytearray(n)
+        pair, base, dead = self.pair, int(self.base), bytearray(n)
         while heap:
             k, i, a, b = heapq.heappop(heap)
             j = nxt[i]
@@ -186,7 +187,7 @@ class RankMerger:
         sums = np.zeros(len(code) + 1, np.int64)
         np.cumsum(extra, out=sums[1:])
         out = sums[start[1:]] - sums[start[:-1]]
-        short = n <= 256
+        short = n <= LONG
         if short.all():
             return out + self.merge(sym, start)
         pick = np.repeat(short, n)

@@ -31,3 +31,17 @@ def test_awkward_rows(spark):
     assert sorted((str(r["doc_id"]), *r[1:]) for r in got) == sorted(want)
     assert any(r["over_limit"] for r in got)
     assert tokens.count_tokens(H.empty(spark)).count() == 0
+
+
+def test_lengths_about_the_heap_threshold(monkeypatch):
+    """Pre-tokens on both sides of LONG count as the library's; the pair table is built once."""
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(al) for _ in range(n))
+             for n in range(tokens.LONG - 4, tokens.LONG + 5)
+             for al in ("a", "ab", "etaoinshrdlu", "日本語中国人大学", "é😀x")]
+    m = tokens.RankMerger(tokens.vocabulary("piece_bpe_32k.model"))
+    table, ways = m.pair, []
+    heap = m.merge_long
+    monkeypatch.setattr(m, "merge_long", lambda s: ways.append(len(s)) or heap(s))
+    assert m.counts(texts) == library(texts)
+    assert ways and min(ways) == tokens.LONG + 1 and m.pair is table
