@@ -5,7 +5,8 @@ n-grams (1 to 3 characters, ASCII and other letters lowered), trained with
 follow-the-regularised-leader and elastic-net penalties, then calibrated by one
 temperature. Document frequencies are counted over all training documents; the
 regression is fitted on at most ``PER_LANG`` distinct training texts of each
-language (those of smallest hash), of which every fifth calibrates. Prediction
+language (those of smallest hash; fewer if there are more than ``TOTAL //
+PER_LANG`` languages), of which every fifth calibrates. Prediction
 is one pass over whole texts: the logits are sums of per-gram weights.
 
 A text is in a language if it is made of known n-grams (those in at least
@@ -29,6 +30,8 @@ from airlens.session import ensure_checkpoint_dir
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
 PER_LANG = 600            # bound of the fitting sample, per language
+TOTAL = 24_000            # bound of the fitting sample over all languages, but FEWEST of each stay
+FEWEST = 5
 KNOWN = 0.8               # share of known n-grams, against the calibration texts' median, below which a text is of no language
 COMMON = 0.005            # share of a language's fitting texts that hold a known n-gram
 ENOUGH = 10               # calibration texts in all below which nothing is known well enough to reject by it
@@ -229,6 +232,8 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     # keys are uniform, so about 4 * per_lang of a language are below its threshold, and only
     # those meet to be ranked; a common language is no hot key
     names = train.select("key", "lang").distinct().checkpoint()
+    labels = names.select("lang").distinct().count()
+    per_lang = min(per_lang, max(FEWEST, TOTAL // max(labels, 1)))
     share = names.groupBy("lang").agg((F.lit(4.0 * per_lang) / F.count(F.lit(1))).alias("share"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     low = F.col("key").cast("double") / float(1 << 63) * 0.5 + 0.5 <= F.col("share")

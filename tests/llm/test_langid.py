@@ -86,3 +86,15 @@ def test_lettered_gibberish_goes(spark, langs):
     kept = {r[0] for r in langid.identified(docs).select("doc_id").collect()}
     assert not {i for i in kept if 10**6 <= i < 2 * 10**6}
     assert {r[0] for r in rows if not 10**6 <= r[0] < 2 * 10**6} <= kept
+
+
+def test_sample_is_bounded_over_all_labels(spark, monkeypatch):
+    """Many labels share the fitting sample; each is still learned."""
+    monkeypatch.setattr(langid, "TOTAL", 120, raising=False)
+    sizes, fit_ftrl, heat = [], langid.fit_ftrl, langid.temperature
+    monkeypatch.setattr(langid, "fit_ftrl", lambda rows, n: sizes.append(len(rows)) or fit_ftrl(rows, n))
+    monkeypatch.setattr(langid, "temperature", lambda z, y: sizes.append(len(y)) or heat(z, y))
+    rows = [(i, f"{chr(0x430 + i % 20) * 4} text {i}", f"l{i % 20:02}") for i in range(800)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 20 and sum(sizes) <= 120
+    assert model.predict([f"{chr(0x430 + 7) * 4} text"])[0] == ["l07"]
