@@ -28,7 +28,8 @@ NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-LOWER = np.arange(256, dtype=np.uint8)
+AS_IS = np.arange(256, dtype=np.uint8)
+LOWER = AS_IS.copy()
 LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -115,8 +116,8 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = NOT_SP
 
 
 def find_words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = NOT_SPACE,
-               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, offsets of the texts, first byte, length) of every word, A-Z lowered.
+               fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, offsets of the texts, first byte, length) of every word, its bytes by ``fold`` (A-Z lowered).
 
     Equal words have equal hashes, different words different ones but for a chance
     of about 2**-64 a pair. Bytes are worked on in blocks of about a megabyte that
@@ -128,14 +129,14 @@ def find_words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = NOT_SPA
     while a < total:
         b = min(total, a + _BLOCK)
         if b < total:
-            inside = ~is_word[LOWER[data[a:b]]]
+            inside = ~is_word[fold[data[a:b]]]
             cut = np.flatnonzero(inside)
             if len(cut):
                 b = a + int(cut[-1]) + 1
             else:
-                while b < total and is_word[LOWER[data[b]]]:
+                while b < total and is_word[fold[data[b]]]:
                     b += 1
-        d = LOWER[data[a:b]]
+        d = fold[data[a:b]]
         w = is_word[d]
         first = np.zeros(b - a + 1, bool)
         lo, hi = np.searchsorted(offs, a), np.searchsorted(offs, b)

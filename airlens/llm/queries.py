@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airlens.llm import (binary, decontaminate, jaccard, langid, lm, mixing, neighbours, secrets,
-                         sharding, tokens)
+from airlens.llm import (binary, chat, decontaminate, jaccard, langid, lm, mixing, neighbours, periods,
+                         secrets, sharding, spelling, tokens)
 from airlens.llm.common import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +35,12 @@ def queries() -> dict[str, Query]:
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op9_token_counts": _over("documents", tokens.count_tokens),
         "op10_language": _over("documents", langid.identify),
+        "op11_periodic_runs": _over("documents", periods.query),
+        "op12_chat_format": _over("conversations", chat.query),
+        "op13_spelling_variants": _over("documents", spelling.query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_ledger": secrets.ORACLE, "op8_winnowing": decontaminate.ORACLE}
+    return {"op1_secret_ledger": secrets.ORACLE, "op8_winnowing": decontaminate.ORACLE,
+            "op12_chat_format": chat.ORACLE}
