@@ -66,10 +66,36 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def copies(df: DataFrame, n: str, at: str, most: int = 4096) -> DataFrame:
+    """Every row as often as its column ``n`` says, numbered from 0 in ``at``.
+
+    A row that comes more than ``most`` times is dealt out to all tasks in between,
+    so no task makes more than its share. ``df`` is read twice.
+    """
+    few = df.filter(F.col(n) <= most).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / most)))
+    many = df.filter(F.col(n) > most).withColumn(at, part).repartition(partitions(df.sparkSession), F.xxhash64(n, at))
+    many = many.withColumn(at, F.explode(F.sequence(
+        F.col(at) * most, F.least(F.col(n), (F.col(at) + 1) * most) - 1)))
+    return few.filter(F.col(n) > 0).unionAll(many)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` does not have in any case, made from ``names``."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if column.null_count:

@@ -13,27 +13,30 @@ than e_i such parts also makes tiles of them, and a pair whose equal parts are
 all small consists of two such sets. A set makes tiles in its own band and, if
 a partner 1/t times as large would be in the next band, there too.
 
-Within tiles, each class is paired with the smallest and the largest class and
-with its nearest few by bitmaps; the pairs that hold make components. What
-remains are tiles with classes of several components. There every pair of
-different components is compared in blocks by bitmaps: the parity bitmaps of two
-sets differ in at most as many bits as the sets differ in elements, so the count
-bounds the overlap from above. What the bound lets through, and was not checked
-before, is checked on the exact sorted arrays (fetched for such classes only),
-and the components are completed. Every pair of different texts that could link
-is thus linked, in one component already, or refuted.
+Within tiles, each class is paired with the smallest class of the tile; the pairs
+that hold make components; so do the nearest neighbours of each class in a part
+of the tiles. What remains are tiles with classes of several components. There every pair of different components is compared in blocks by
+bitmaps: the parity bitmaps of two sets differ in at most as many bits as the
+sets differ in elements, so the count bounds the overlap from above. Of what the
+bound lets through, each class's nearest ``NEAREST`` in a block are checked on the
+exact sorted arrays (fetched for such classes only) and join components. A block
+that had more is compared again, now between fewer components and with four
+times as many per class, until none has more. Every pair of different texts that
+could link is thus linked, in one component already, or refuted, and a group of
+near copies costs pairs in proportion to its size and not to its square.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlens.llm.common import components, mix64, partitions, slices, utf8, word_hashes
+from airlens.llm.common import components, mix64, partitions, slices, unused, utf8, word_hashes
 from airlens.session import ensure_checkpoint_dir
 
 SHINGLE = 4
@@ -41,7 +44,10 @@ PERCENT = 85
 GROWTH = 1.5
 BITS = 8192               # most bits of a bitmap
 CELL = 512                # classes on one side of a block of a tile
-NEAREST = 4               # partners of a class in the first round
+NEAREST = 2               # partners of a class in a block in the first round
+FINE = 8                  # so many times the bits where a block had more pairs than that
+SOME = 8                  # one tile of so many tells the first links
+PAIRS = 1 << 20           # pairs of classes compared at a time
 FILTER_BITS = 26          # size of the membership filter of classes whose sets are fetched
 
 _STEP = mix64(np.arange(7, 7 + 16, dtype=np.uint64))
@@ -139,13 +145,17 @@ def tile_keys(x: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray,
     return np.concatenate(keys), np.concatenate(sets)
 
 
-def bitmap(x: np.ndarray) -> bytes:
+def bitmap(x: np.ndarray, fine: int = 1) -> bytes:
     """Parity bitmap of a set: each element flips one bit; bits follow the size."""
-    bits = min(BITS, max(64, 1 << int(len(x) - 1).bit_length()))
+    bits = min(BITS * min(fine, 4), max(64, 1 << int(len(x) - 1).bit_length()) * fine)
     b = np.bincount((x >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(b.astype(np.uint8)).tobytes()
 
 
+def _fine(x: np.ndarray) -> bytes:
+    return bitmap(x, FINE)
+
+
 def _fold(b: np.ndarray, size: int) -> np.ndarray:
     """Bitmaps brought to ``size`` bytes: bit i mod the smaller length, by exclusive or."""
     while b.shape[1] > size:
@@ -185,47 +195,50 @@ def _tiles(k, bands):
     return run
 
 
-def _wanted(sid: np.ndarray) -> np.ndarray:
-    """Place of a class in the membership filter: the top bits of its name, a hash."""
-    return (sid.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _wanted(th: np.ndarray) -> np.ndarray:
+    """Place of a text in the membership filter: the top bits of its hash."""
+    return (th.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _arrays(k, wanted):
-    """Sorted elements of the sets that the filter may hold."""
+def _arrays(k, wanted, pack):
+    """Sets of the texts that the filter may hold, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(wanted.value, bitorder="little")
         for batch in batches:
             sent: set[int] = set()
+            batch = batch.filter(pa.array(table[_wanted(batch.column("th").to_numpy())] > 0))
             for part in slices(batch):
                 x, at = shingle_sets(*utf8(part.column("text")), k)
                 sid = class_ids(x, at)
                 keep = []
-                for i in np.flatnonzero(table[_wanted(sid)] & (np.diff(at) > 0)).tolist():
+                for i in np.flatnonzero(np.diff(at) > 0).tolist():
                     if sid[i] not in sent:
                         sent.add(int(sid[i]))
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sid[keep]), pa.array([x[at[i]:at[i + 1]].tobytes() for i in keep], pa.binary())],
+                    [pa.array(sid[keep]), pa.array([pack(x[at[i]:at[i + 1]]) for i in keep], pa.binary())],
                     names=["sid", "elements"])
     return run
 
 
-def _elements(rows: DataFrame, sids: DataFrame, k: int) -> DataFrame:
-    """(sid, elements) of the classes in ``sids``, from one more pass over the texts.
+def _elements(rows: DataFrame, light: DataFrame, sids: DataFrame, k: int, pack=np.ndarray.tobytes) -> DataFrame:
+    """(sid, elements) of the classes in ``sids``, sorted or as ``pack`` has them, from one more pass over the texts.
 
-    The pass sends on only what a membership filter of ``2 ** FILTER_BITS`` bits
-    may hold: a fixed 8 MB that the driver collects and broadcasts, whatever the
-    input. The join after it is exact.
+    The pass makes sets only of texts that a membership filter of ``2 ** FILTER_BITS``
+    bits may hold (one text of each class): a fixed 8 MB that the driver collects
+    and broadcasts, whatever the input. The join after it is exact.
     """
-    slot = F.shiftrightunsigned("sid", 64 - FILTER_BITS) + 1      # these functions count from 1
-    parts = sids.select(F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")) \
+    slot = F.shiftrightunsigned("th", 64 - FILTER_BITS) + 1      # these functions count from 1
+    parts = light.join(sids, "sid", "left_semi").select(
+        F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p")) \
         .groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     wanted = np.zeros(((1 << FILTER_BITS) >> 3) + 4096, np.uint8)
     for r in parts:
         at = (r["b"] - 1) * 4096
         wanted[at:at + 4096] = np.frombuffer(r["bits"], np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(wanted)
-    return (rows.select("text").mapInArrow(_arrays(k, shared), "sid long, elements binary")
+    return (rows.select("text", F.xxhash64("text").alias("th"))
+            .mapInArrow(_arrays(k, shared, pack), "sid long, elements binary")
             .join(sids.select(F.col("sid").alias("s2")), F.col("sid") == F.col("s2"), "left_semi")
             .dropDuplicates(["sid"]))
 
@@ -301,56 +314,97 @@ def _allowed(na, nb, differ, percent):
     return 100 * (na + nb - differ) >= percent * (na + nb + differ)
 
 
-def _cell(side, n, label, sid, bits, diagonal, percent, nearest):
-    """Pairs of different components in one block of a tile that sizes and bitmaps allow.
-
-    ``nearest`` gives each row only so many partners, of fewest differing bits (0: all).
-    """
-    left = np.flatnonzero(side == 0)
-    right = left if diagonal else np.flatnonzero(side == 1)
-    size = min(map(len, bits))
-    b = np.concatenate([_fold(_bytes2d([v]), size) for v in bits])
-    a_out, b_out = [], []
-    for i in left:
-        j = right[(label[right] != label[i])
-                  & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-        if diagonal:
-            j = j[j > i]
-        if len(j):
-            differ = np.bitwise_count(b[j] ^ b[i]).sum(axis=1, dtype=np.int64)
-            ok = _allowed(n[i], n[j], differ, percent)
-            j = j[ok]
-            if nearest and len(j) > nearest:
-                j = j[np.argpartition(differ[ok], nearest)[:nearest]]
-            a_out.append(np.minimum(sid[i], sid[j]))
-            b_out.append(np.maximum(sid[i], sid[j]))
-    return a_out, b_out
+def _differing(u, v, data, offs):
+    """Number of differing bits of the bitmaps of rows u and v, the longer one folded."""
+    size = np.diff(offs)
+    least = np.minimum(size[u], size[v])
+    out = np.zeros(len(u), np.int64)
+    place = np.zeros(len(size), np.int64)
+    longer = None                                    # rows of a longer bitmap, folded to this size
+    for w in np.unique(size)[::-1].tolist():
+        own = np.flatnonzero(size == w)
+        b = data[offs[own][:, None] + np.arange(w)]
+        if longer is not None:
+            b = np.concatenate([b, _fold(longer, w)])
+            own = np.concatenate([own, held])
+        longer, held = b, own
+        place[own] = np.arange(len(own))
+        pick = np.flatnonzero(least == w)
+        words = np.ascontiguousarray(b.view(np.uint64).T)
+        x, y = place[u[pick]], place[v[pick]]
+        count = np.zeros(len(pick), np.uint16)
+        for row in words:
+            count += np.bitwise_count(row[x] ^ row[y])
+        out[pick] = count
+    return out
+
+
+def _triangles(edge):
+    """Every u < v of each stretch of rows, in lists of about ``PAIRS``."""
+    behind = np.repeat(edge[1:], np.diff(edge)) - np.arange(edge[-1]) - 1
+    part = np.cumsum(behind) // PAIRS
+    cut = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(behind)]
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        m = behind[lo:hi]
+        u = np.repeat(np.arange(lo, hi), m)
+        yield u, u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(m) - m, m)
 
 
 def _cells(percent, nearest):
-    """The pairs of every block; rows come sorted, a block in consecutive rows."""
-    names = ["key", "i", "j", "side", "n", "label", "sid"]
+    """The pairs of every block, and the tiles of blocks that had more; a block's rows follow one another.
+
+    A block of side 2 is a whole tile. Others have rows of side 0, which are not of
+    the tile's largest component, and rows of side 1, of which those that are not
+    either are met by smaller ones only.
+    """
+    names = ["key", "i", "j", "side", "minor", "n", "label", "sid"]
+
+    def blocks(edge, col):
+        whole = col["side"][edge[:-1]] == 2
+        for k in np.flatnonzero(np.r_[whole, False] & ~np.r_[False, whole]).tolist():
+            end = k + int(np.argmin(np.r_[whole[k:], False]))
+            for u, v in _triangles(edge[k:end + 1] - edge[k]):
+                yield u + edge[k], v + edge[k]
+        for k in np.flatnonzero(~whole).tolist():
+            at = np.arange(edge[k], edge[k + 1])
+            left, right = at[col["side"][at] == 0], at[col["side"][at] == 1]
+            for lo in range(0, len(left), max(1, PAIRS // max(1, len(right)))):
+                part = left[lo:lo + max(1, PAIRS // max(1, len(right)))]
+                u, v = np.repeat(part, len(right)), np.tile(right, len(part))
+                ok = ~col["minor"][v] | (col["sid"][u] < col["sid"][v])
+                yield u[ok], v[ok]
 
     def pairs(held):
-        col = {c: held.column(c).to_numpy() for c in names}
-        bits = held.column("bits").to_pylist()
+        col = {c: held.column(c).to_numpy(zero_copy_only=False) for c in names}
+        data, offs = utf8(held.column("bits"))
         new = np.zeros(held.num_rows, bool)
         new[:1] = True
         for c in ("key", "i", "j"):
             new[1:] |= col[c][1:] != col[c][:-1]
         edge = np.r_[np.flatnonzero(new), held.num_rows]
-        done: set[tuple[int, int]] = set()
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            if hi - lo < 2:
-                continue
-            s = slice(lo, hi)
-            a, b = _cell(col["side"][s], col["n"][s], col["label"][s], col["sid"][s], bits[s],
-                         col["i"][lo] == col["j"][lo], percent, nearest)
-            for x, y in zip(a, b):
-                done.update(zip(x.tolist(), y.tolist()))
+        block = np.cumsum(new) - 1
+        rows, more = [], []
+        for u, v in blocks(edge, col):
+            least, most = np.minimum(col["n"][u], col["n"][v]), np.maximum(col["n"][u], col["n"][v])
+            ok = (col["label"][u] != col["label"][v]) & (100 * least >= percent * most)
+            u, v = u[ok], v[ok]
+            differ = _differing(u, v, data, offs)
+            ok = _allowed(col["n"][u], col["n"][v], differ, percent)
+            u, v, differ = u[ok], v[ok], differ[ok]
+            # of each u the nearest few
+            order = np.lexsort((differ, u))
+            u, v = u[order], v[order]
+            start = np.r_[0, np.flatnonzero(np.diff(u)) + 1]
+            rank = np.arange(len(u)) - np.repeat(start, np.diff(np.r_[start, len(u)])) if len(u) else u
+            near = rank < nearest
+            more.append(col["key"][edge[block[u[~near]]]])
+            rows.append(np.stack([col["sid"][u[near]], col["sid"][v[near]], differ[order][near]]))
+        found = np.unique(np.concatenate([np.empty((3, 0), np.int64), *rows], axis=1), axis=1)
+        tiles = np.unique(np.concatenate([np.empty(0, np.int64), *more]))
+        none = [None]
         return pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in done], pa.int64()), pa.array([y for _, y in done], pa.int64())],
-            names=["a", "b"])
+            [*(pa.array(c.tolist() + none * len(tiles), pa.int64()) for c in found),
+             pa.array(none * found.shape[1] + tiles.tolist(), pa.int64())], names=["a", "b", "differ", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -386,26 +440,62 @@ def _labels(links: DataFrame, labels: DataFrame | None) -> DataFrame:
             .select("sid", F.coalesce("new", "label").alias("label")).checkpoint())
 
 
-def _open_pairs(known: DataFrame, light: DataFrame, percent: int, nearest: int) -> DataFrame:
-    """Pairs of different labels, within the tiles of (key, sid, label), that bitmaps allow."""
-    open_ = (known.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"),
-                                      F.count(F.lit(1)).alias("m"))
-             .filter("l0 <> l1 and m > 2")              # of two classes, both ends are checked
-             .select("key", F.ceil(F.col("m") / CELL).cast("int").alias("blocks")))
-    cells = (known.join(open_, "key").join(light, "sid")
-             .withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
-                     "sid", "label", "n", "bits"))
-    return (cells.repartition(partitions(known.sparkSession), "key", "i", "j")
-            .sortWithinPartitions("key", "i", "j", "sid")
-            .mapInArrow(_cells(percent, nearest), "a long, b long"))
-
-
-def classes_joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Every row's doc_id, text hash th, n_shingles and class sid, with its component's label."""
-    ensure_checkpoint_dir(docs.sparkSession)
+def _open_pairs(tiles: DataFrame, labels: DataFrame, light: DataFrame, percent: int, nearest: int) -> DataFrame:
+    """(a, b, differ) of different components within tiles that bitmaps allow, or key of a tile with more.
+
+    A tile of more than ``CELL`` classes is dealt into blocks: the classes that are
+    not of its largest component against all.
+    """
+    n = partitions(tiles.sparkSession)
+    tile = tiles.join(labels, "sid", "left").select(
+        "key", "sid", F.coalesce("label", "sid").alias("label")).repartition(n, "key")
+    per = tile.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    open_ = (per.groupBy("key").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("labels"),
+                                    F.max_by("label", "c").alias("main"), F.max("c").alias("most"))
+             .filter("labels > 1 and m > 2")            # of two classes, both are checked already
+             .select("key", "main", F.ceil(F.col("m") / CELL).cast("int").alias("all"),
+                     F.ceil((F.col("m") - F.col("most")) / CELL).cast("int").alias("minors")))
+    rows = (tile.join(open_.hint("shuffle_hash"), "key")
+            .withColumn("minor", F.col("label") != F.col("main")).join(light.drop("th"), "sid"))
+    dealt = F.xxhash64("sid")
+    own, small = F.pmod(dealt, F.col("all")).cast("int"), F.pmod(dealt, F.col("minors")).cast("int")
+
+    def to(i, j, side):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+
+    zero = F.lit(0)
+    left = F.transform(F.sequence(zero, F.col("all") - 1), lambda j: to(small, j, 0))
+    right = F.transform(F.sequence(zero, F.col("minors") - 1), lambda i: to(i, own, 1))
+    where = (F.when(F.col("all") == 1, F.array(to(zero, zero, 2)))
+             .when(F.col("minor"), F.concat(left, right)).otherwise(right))
+    cells = (rows.withColumn("at", F.explode(where))
+             .select("key", "at.i", "at.j", "at.side", "minor", "n", "label", "sid", "bits"))
+    return (cells.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "sid")
+            .mapInArrow(_cells(percent, nearest), "a long, b long, differ long, key long"))
+
+
+class Joined(NamedTuple):
+    rows: DataFrame           # doc_id, th (text hash), n_shingles, sid (class) of every row
+    labels: DataFrame         # sid, label of the classes that are linked
+    tested: DataFrame         # a, b, ok of the pairs of classes compared exactly
+
+    def of_components(self, value: Column) -> DataFrame:
+        """(sid, least, rows): of the class's component the least value and the number of rows.
+
+        Rows are aggregated by class first, so neither a large class nor a large
+        component lies in one task.
+        """
+        per = (self.rows.filter("n_shingles > 0").groupBy("sid")
+               .agg(F.min(value).alias("least"), F.count(F.lit(1)).alias("rows"))
+               .join(self.labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
+        whole = per.groupBy("label").agg(F.min("least").alias("least"), F.sum("rows").alias("rows"))
+        return per.select("sid", "label").join(whole, "label").drop("label")
+
+
+def classes_joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Joined:
+    """Every row's class, and the component of every class that has a link."""
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
     kind = dict(docs.dtypes)["doc_id"]
     bands = Bands(percent)
     text = F.coalesce("text", F.lit(""))
@@ -413,39 +503,56 @@ def classes_joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     named = rows.withColumn("th", F.xxhash64("text")).mapInArrow(
         _classes(k), f"doc_id {kind}, th long, n_shingles long, sid long, bits binary").checkpoint()
 
-    tiles = rows.select("text").mapInArrow(_tiles(k, bands), "key long, sid long")
-    whole = Window.partitionBy("key")
-    shared = (tiles.withColumns({"lo": F.min("sid").over(whole), "hi": F.max("sid").over(whole)})
-              .filter("lo <> hi").distinct().checkpoint())
-    light = (named.select("sid", F.col("n_shingles").alias("n"), "bits")
+    # tiles of two classes or more; the tiles are shuffled once and read for both uses
+    tiles = rows.select("text").mapInArrow(_tiles(k, bands), "key long, sid long").repartition(
+        partitions(spark), "key")
+    several = (tiles.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
+               .filter("lo <> hi").select("key", "lo"))
+    shared = tiles.join(several.hint("shuffle_hash"), "key").distinct().checkpoint()
+    light = (named.select("sid", F.col("n_shingles").alias("n"), "th", "bits")
              .join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]).checkpoint())
 
-    star = (shared.select(F.col("lo").alias("a"), F.col("sid").alias("b"))
-            .unionAll(shared.select(F.col("sid").alias("a"), F.col("hi").alias("b")))
-            .filter("a <> b").distinct())
-    # and each class with its nearest few, in a quarter of the tiles (near copies share many, and
-    # this need not be whole), so that groups of near copies grow together without all their pairs
-    near = _open_pairs(shared.filter(F.pmod("key", F.lit(4)) == 0).select(
-        "key", "sid", F.col("sid").alias("label")), light, percent, NEAREST)
-    close = _sifted(star.unionAll(near).distinct(), light, percent).checkpoint()
-    sets = _elements(rows, _ends(close), k).checkpoint()
+    star = shared.select(F.col("lo").alias("a"), F.col("sid").alias("b")).filter("a <> b").distinct()
+    close = _sifted(star, light, percent).checkpoint()
+    sets = _elements(rows, light, _ends(close), k).checkpoint()
     tested = _checked(close, sets, percent)
     labels = _labels(tested, None)
-
+    shared = shared.select("key", "sid")
+
+    def found(out, few):
+        """The tiles' pairs out, compared exactly: each class's nearest only, or all that are left."""
+        nonlocal sets, tested, labels
+        rest = out.filter("key is null")
+        if few:
+            rest = rest.groupBy("a").agg(F.min_by("b", "differ").alias("b"))
+        rest = (rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+                .join(tested, ["a", "b"], "left_anti").checkpoint())
+        if rest.isEmpty():
+            return
+        missing = _ends(rest).join(sets, "sid", "left_anti").checkpoint()
+        if not missing.isEmpty():
+            sets = sets.unionAll(_elements(rows, light, missing, k).checkpoint())
+        now = _checked(rest, sets, percent)
+        tested = tested.unionAll(now)
+        if not now.filter("ok").isEmpty():
+            labels = _labels(now, labels)
+
+    # near copies share many tiles: some of them tell most links, with a pair or two per class
+    found(_open_pairs(shared.filter(F.pmod("key", F.lit(SOME)) == 0), labels, light, percent, 1), True)
     # every pair left in tiles that still hold several components
-    known = (shared.select("key", "sid").join(labels, "sid", "left")
-             .select("key", "sid", F.coalesce("label", "sid").alias("label")))
-    rest = (_open_pairs(known, light, percent, 0).distinct()
-            .join(tested, ["a", "b"], "left_anti").checkpoint())
-    if rest.count():
-        missing = _ends(rest).join(sets, "sid", "left_anti")
-        if missing.count():
-            sets = sets.unionAll(_elements(rows, missing, k)).checkpoint()
-        found = _checked(rest, sets, percent)
-        if found.filter("ok").count():
-            labels = _labels(found, labels)
-    return (named.drop("bits").join(labels, "sid", "left")
-            .withColumn("label", F.coalesce("label", "sid")))
+    left, nearest, fine = shared, NEAREST, None
+    while True:
+        out = _open_pairs(left, labels, light if fine is None else fine, percent, nearest).checkpoint()
+        found(out, False)
+        more = out.filter("key is not null").select("key").distinct()
+        if more.isEmpty():
+            break
+        left, nearest = shared.join(more, "key", "left_semi").checkpoint(), nearest * 4
+        if fine is None:                             # later rounds are over parts of these tiles
+            some = left.select("sid").distinct().checkpoint()
+            fine = light.drop("bits").join(
+                _elements(rows, light, some, k, _fine).withColumnRenamed("elements", "bits"), "sid").checkpoint()
+    return Joined(named.drop("bits"), labels, tested)
 
 
 def join_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -457,29 +564,31 @@ def join_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     table gives no rows; other columns are not read.
     """
     j = classes_joined(docs, k, percent)
-    names = (j.filter("n_shingles > 0").groupBy("label")
-             .agg(F.min("doc_id").alias("component_id")))
-    return (j.filter("n_shingles > 0").join(names, "label")
-            .select("doc_id", "n_shingles", "component_id")
-            .unionAll(j.filter("n_shingles = 0")
+    names = j.of_components(F.col("doc_id"))
+    return (j.rows.filter("n_shingles > 0").join(names, "sid")
+            .select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+            .unionAll(j.rows.filter("n_shingles = 0")
                       .select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))
 
 
 def one_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component: smallest doc_id (null last), then text hash.
 
-    Rows without shingles all stay.
+    Rows without shingles all stay. Of rows alike in doc_id and text that come
+    first in their component one stays, whatever their other columns hold. Other
+    columns are kept and may have any names.
     """
-    j = classes_joined(docs, k, percent).filter("n_shingles > 0").withColumn(
-        "name", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
-    first = j.groupBy("label").agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("m"))
-    marked = j.join(first.filter("m > 1"), "label").select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), (F.col("name") == F.col("first")).alias("win"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (
-        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_th"))
-    kept = docs.join(marked.filter("not win").select("_id", "_th").distinct().hint("shuffle_hash"),
+    j = classes_joined(docs, k, percent)
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    first = j.of_components(name).filter("rows > 1")
+    c_id, c_th = unused(docs, "id", "th")
+    marked = j.rows.filter("n_shingles > 0").join(first, "sid").select(
+        F.col("doc_id").alias(c_id), F.col("th").alias(c_th), (name == F.col("least")).alias("win"))
+    same = docs["doc_id"].eqNullSafe(F.col(c_id)) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(c_th))
+    kept = docs.join(marked.filter("not win").select(c_id, c_th).distinct().hint("shuffle_hash"),
                      same, "left_anti")
-    again = marked.filter("win").groupBy("_id", "_th").count().filter("count > 1").select("_id", "_th")
+    again = marked.filter("win").groupBy(c_id, c_th).count().filter("count > 1").select(c_id, c_th)
     if again.isEmpty():
         return kept
     # a row that comes again as the first of its component stays once

@@ -127,3 +127,29 @@ def test_linked_sets_share_a_tile_at_80_percent():
         at = np.array([0, len(a), len(a) + len(b)])
         key, own = jaccard.tile_keys(np.concatenate([a, b]), at, bands)
         assert set(key[own == 0]) & set(key[own == 1])
+
+
+def near_group(m):
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(200)]
+    for i in range(m):
+        w = list(base)
+        for k in rng.choice(200, int(rng.integers(1, 9)), replace=False):
+            w[k] = f"c{i}_{k}"
+        yield i, " ".join(w)
+
+
+def test_pairs_of_a_group_of_near_copies_follow_its_size(spark):
+    """Texts around the threshold, half of them linked: no more than 8 pairs a text, at any size."""
+    for m in (300, 1200):
+        docs = spark.createDataFrame(list(near_group(m)), "doc_id long, text string")
+        assert jaccard.classes_joined(docs, 5, 80).tested.count() <= 8 * m
+
+
+def test_a_tile_with_a_large_component_is_dealt_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL", 16)
+    monkeypatch.setattr(jaccard, "NEAREST", 1)
+    rows = list(near_group(150))
+    got = jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    label = H.components([H.shingles(t, 5) for _, t in rows], 80)
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label))

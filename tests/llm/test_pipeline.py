@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from airlens.llm import langid
@@ -36,10 +37,10 @@ def check(spark, docs, sf_dir):
     assert len(r1) == told and not Counter(r1) - Counter(r0)
     assert all(any(map(str.isalpha, r[1])) for r in r1)
     # Jaccard: one of each component
-    sets = [H.shingles(r[1]) for r in r1]
-    label = H.components(sets)
+    label = H.components([H.shingles(r[1], corpus_pipeline.NEAR_WORDS) for r in r1], corpus_pipeline.NEAR_PERCENT)
     assert len(r2) == len(set(label))
-    kept = Counter(H.components([H.shingles(r[1]) for r in r2]))
+    kept = Counter(H.components([H.shingles(r[1], corpus_pipeline.NEAR_WORDS) for r in r2],
+                                corpus_pipeline.NEAR_PERCENT))
     assert not r2 or max(kept.values()) == 1
     # decontamination: exactly the rows without a window
     bench = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
@@ -141,3 +142,20 @@ def test_near_copy_stage_is_brute_force(spark, table):
     assert len(kept) == len(set(label))
     left = Counter(H.components([H.shingles(r["text"], 5) for r in kept], 80))
     assert max(left.values()) == 1
+
+
+NAMES = ["id", "_id", "th", "_th", "sid", "label", "least", "rows", "win", "hit_id", "_hit_id", "hit_text", "_hit_text",
+         "spans", "items", "h", "n", "source_of", "times", "copy", "copies", "_mix_id", "_mix_copies", "target", "key"]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    rows = [(r[0], r[1], r[3], *range(len(NAMES))) for r in H.awkward_rows()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(
+        f"{n} int" for n in NAMES)).withColumn("lang", F.lit("en"))
+    for stage in (corpus_pipeline.one_of_near_copies, corpus_pipeline.drop_contaminated, corpus_pipeline.mix_sources):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = [r.asDict() for r in out.collect()]
+        assert got and all([r[n] for n in NAMES] == list(range(len(NAMES))) for r in got)
