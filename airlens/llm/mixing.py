@@ -2,7 +2,7 @@
 
 Each source's target words over its words give the same expected number of
 copies q for all its documents: floor(q) copies for sure, and one more with
-probability p. Pivotal rounding settles the p's: two documents meet, probability
+probability p. (Rows alike in doc_id, source and text are one unit with n q copies.) Pivotal rounding settles the p's: two documents meet, probability
 mass (in words) moves from one to the other, in a direction drawn so that
 neither is favoured, until one of them is 0 or 1; the other goes on. The words
 taken by a pair never change, so a source's total ends within half of one
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from airlens.llm.common import copies, unused
 from airlens.session import ensure_checkpoint_dir
 
 BLOCK = 128
@@ -86,14 +87,15 @@ def _meet(acc: Column, e: Column) -> Column:
 
 
 def mix(docs: DataFrame, block: int = BLOCK, seed: int = 6) -> DataFrame:
-    """One row per document: source, size, source_size, target, copies, taken.
+    """One row per document (rows alike: one, with their number n): source, size, source_size, target, copies, taken.
 
     The number of levels follows from the largest source's number of documents.
     What each level settles is written to the shared checkpoint folder. The one
     document left per source is rounded to the nearer side. Draws are hashes of
     doc_id, text and level, so reruns agree. A null source is a source of its
     own (last in order); a null or empty text, and a source without words, take
-    nothing; repeated rows share one decision; an empty table gives no rows;
+    nothing; n rows alike get n times the copies for sure, and one fraction is
+    rounded for all of them; an empty table gives no rows;
     other columns are not read.
     """
     ensure_checkpoint_dir(docs.sparkSession)
@@ -102,11 +104,12 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 6) -> DataFrame:
     s = src.withColumnRenamed("source", "s0")
     q = F.col("target") / F.col("source_size")
     r = (u.join(s, F.col("source").eqNullSafe(F.col("s0"))).drop("s0")
-         .withColumn("base", F.when(F.col("size") > 0, F.floor(q + 1e-12)).otherwise(0))
-         .withColumn("p", F.when(F.col("size") > 0, F.greatest(q - F.col("base"), F.lit(0.0)))
+         .withColumn("q", F.col("n") * q)              # copies of the unit
+         .withColumn("base", F.when(F.col("size") > 0, F.floor(F.col("q") + 1e-12)).otherwise(0))
+         .withColumn("p", F.when(F.col("size") > 0, F.greatest(F.col("q") - F.col("base"), F.lit(0.0)))
                      .otherwise(0.0))
          .withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
-         .withColumn("mass", (F.col("size") * F.col("n")).cast("double")))
+         .withColumn("mass", F.col("size").cast("double")))
     keep = ["doc_id", "source", "h", "size", "n", "source_size", "target", "base", "p"]
     parts = [r.filter("p <= 0").select(*keep)]
     left = r.filter("p > 0")
@@ -137,26 +140,35 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 6) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
         out = out.unionAll(x)
-    copies = (F.col("base") + F.col("p")).cast("long")
+    total = (F.col("base") + F.col("p")).cast("long")
     return out.select("doc_id", "source", "h", "size", "source_size", "target", "n",
-                      copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+                      total.alias("copies"), (total * F.col("size")).alias("taken"))
 
 
 def documents_taken(docs: DataFrame) -> DataFrame:
-    """``docs``, each row as often as the mix takes it."""
+    """``docs``, each row as often as the mix takes it.
+
+    Other columns are kept and may have any names; rows alike in doc_id, source and
+    text are repeated as one of them.
+    """
+    c_id, c_source, c_h, c_n, c_times, c_copy = unused(docs, "id", "source_of", "h", "n", "times", "copy")
     m = mix(docs).filter("copies > 0").select(
-        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"),
-        F.col("h").alias("_mix_h"), F.col("copies").alias("_mix_copies"))
+        F.col("doc_id").alias(c_id), F.col("source").alias(c_source), F.col("h").alias(c_h),
+        F.col("n").alias(c_n), F.col("copies").alias(c_times))
     # an inner join on the whole unit; the small side is the one without texts
-    on = (F.col("doc_id").eqNullSafe(F.col("_mix_id"))
-          & F.col("source").eqNullSafe(F.col("_mix_source"))
-          & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_mix_h")))
-    return (docs.join(m.hint("shuffle_hash"), on)
-            .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))))
-            .select(*[docs[c] for c in docs.columns]))
+    on = (docs["doc_id"].eqNullSafe(F.col(c_id)) & docs["source"].eqNullSafe(F.col(c_source))
+          & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(c_h)))
+    once = docs.join(m.filter(F.col(c_n) == 1).hint("shuffle_hash"), on)
+    alike = docs.join(m.filter(F.col(c_n) > 1).hint("shuffle_hash"), on).dropDuplicates([c_id, c_source, c_h])
+    out = (once.withColumn(c_copy, F.explode(F.sequence(F.lit(1), F.col(c_times).cast("int")))).drop(c_copy)
+           .unionAll(copies(alike, c_times, c_copy).drop(c_copy)))
+    return out.drop(c_id, c_source, c_h, c_n, c_times)
 
 
 def query(docs: DataFrame) -> DataFrame:
-    m = mix(docs)
-    return (m.withColumn("same", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-            .select("doc_id", "size", "source_size", "target", "taken", "source", "copies"))
+    """One row per row of ``docs``; a unit's copies are dealt to its rows as evenly as can be."""
+    rows = copies(mix(docs), "n", "row")
+    own = F.floor(F.col("copies") / F.col("n")) + (F.col("row") < F.col("copies") % F.col("n")).cast("long")
+    return (rows.withColumn("copies", own)
+            .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
+                    "source", "copies"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airlens.llm import mixing
+from airlens.llm.common import copies
 from tests.conftest import SF_SMALL
 from tests.llm import helpers as H
 
@@ -59,7 +60,7 @@ def test_many_small_documents_meet_the_target_closely(spark):
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string")))
         .alias("source"))
     got = mixing.mix(docs, block=8).groupBy("source").agg(
-        F.sum(F.col("taken") * F.col("n")).alias("t"), F.first("target").alias("target")).collect()
+        F.sum("taken").alias("t"), F.first("target").alias("target")).collect()
     assert len(got) == 8
     for r in got:
         assert abs(r["t"] - r["target"]) <= 20
@@ -72,10 +73,32 @@ def test_awkward_rows(spark):
     out = mixing.documents_taken(docs)
     assert out.columns == docs.columns
     copies = {str((r["doc_id"], r["source"], r["h"])): (r["copies"], r["n"]) for r in mixing.mix(docs).collect()}
-    assert out.count() == sum(c * n for c, n in copies.values())
+    assert out.count() == sum(c for c, n in copies.values())
     assert mixing.documents_taken(H.empty(spark)).count() == 0
 
 
 def test_no_python_in_the_plan(spark):
     plan = mixing.query(H.awkward(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval", plan)
+
+
+def test_rows_alike_reach_their_target_too(spark):
+    rows = [H.row(1, "one two three", source="a")] * 400 + [
+        H.row(10 + i, "w " * (i % 7 + 1), source="b") for i in range(300)]
+    got = mixing.query(spark.createDataFrame(rows, H.DOCS)).collect()
+    _, target, taken, most = check(rows, got)
+    for s in target:
+        assert abs(taken[s] - target[s]) <= most[s] / 2 + 1
+    alike = [r["copies"] for r in got if r["source"] == "a"]
+    assert len(alike) == 400 and max(alike) - min(alike) <= 1
+    out = mixing.documents_taken(spark.createDataFrame(rows, H.DOCS))
+    assert out.filter("source = 'a'").count() == sum(alike)
+
+
+def test_copies_are_numbered_without_a_gap(spark):
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 10), ("d", 9), ("e", 27)], "k string, n long")
+    got = {}
+    for r in copies(df, "n", "at", 9).collect():
+        got.setdefault(r["k"], []).append(r["at"])
+    assert {k: sorted(v) for k, v in got.items()} == {
+        "b": [0], "c": list(range(10)), "d": list(range(9)), "e": list(range(27))}
