@@ -114,6 +114,7 @@ def findings(docs: DataFrame, ledger: str, rules=None, path_col: str = "doc_id")
     now = F.coalesce(*[F.when(F.col("rule") == n, v) for n, (v, _) in rules.items()])
     rank = F.coalesce(*[F.when(F.col("rule") == n, i) for i, n in enumerate(rules)])
     hits = (read_ledger(docs.sparkSession, ledger).filter(F.col("rule_version") == now)
+            .dropDuplicates(["blob", "rule"])      # two runs may both have scanned it
             .filter(F.size("spans") > 0)
             .select("blob", F.transform("spans", lambda s: F.struct(
                 s["start"].alias("start"), rank.alias("rank"), F.col("rule").alias("rule"),

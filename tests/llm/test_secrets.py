@@ -50,3 +50,15 @@ def test_ledger_scans_only_unseen_pairs(spark):
     rows = secrets.findings(first.unionAll(later), ledger, rules).collect()
     kinds = {(r["path"], tuple(s["rule"] for s in r["spans"])) for r in rows}
     assert kinds == {(1, ("assign", "hex")), (1, ("access", "hex")), (2, ("hex",)), (3, ("assign", "hex"))}
+
+
+def test_two_writers_of_the_same_pair(spark):
+    """Both saw the blob unseen: the ledger has the pair twice, the findings once."""
+    ledger = scratch(spark, "ledger")
+    docs = spark.createDataFrame([H.row(1, "token=abcdefgh"), H.row(None, "token=abcdefgh")], H.DOCS)
+    secrets.update_ledger(docs, ledger)
+    rows = secrets.read_ledger(spark, ledger)
+    spark.createDataFrame(rows.collect(), secrets.LEDGER).write.mode("append").parquet(ledger)
+    assert secrets.read_ledger(spark, ledger).count() == 2 * 3
+    got = secrets.query(docs, ledger).collect()
+    assert [(r["n_assign"], r["spans"]) for r in got] == [(1, "assign:0:14")] * 2
