@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airlens.llm.common import scratch
+from airlens.llm.common import copies, scratch
 from airlens.session import ensure_checkpoint_dir
 
 SLOTS = 8192
@@ -27,8 +27,10 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         F.col("doc_id"),
         (F.octet_length(text).cast("long") + 16).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"))
-    return base.withColumn("virtual_slot", F.pmod(
-        F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
+    # rows alike are counted, and numbered in the hash, so that they spread over the slots
+    alike = base.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    return copies(alike, "n", "copy").withColumn("virtual_slot", F.pmod(
+        F.xxhash64("doc_id", "text_crc32", "size", "copy"), F.lit(slots)).cast("int")).drop("n", "copy")
 
 
 def slot_loads(recs: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
@@ -115,8 +117,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS,
     measured bytes. ``slot`` numbers a shard's records from 0 without a gap:
     rows before the virtual slot plus the place in it, so the numbering needs
     thousands of small windows, not one per shard. Nulls: a null text has size
-    16; a null doc_id is an ordinary value. Repeated rows each get a place, in
-    no particular order among themselves. An empty table gives no rows. Other
+    16; a null doc_id is an ordinary value. Repeated rows each get a place; they are
+    hashed with their number, so they spread over the slots like other rows. An empty table gives no rows. Other
     columns are not read. A row larger than a shard's share stays whole, so that
     shard is larger than the mean.
     """

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 
 from airlens.llm import sharding
@@ -36,3 +38,20 @@ def test_rebalancing_edits_few_slots():
     load = np.bincount(second, weights=size, minlength=40)
     assert load.max() - load.min() <= 10
     assert (first != second).mean() < 0.5
+
+
+def test_rows_alike_spread_over_the_shards(spark):
+    rows = [(None, None)] * 20_000 + [(i, "x" * (i % 30)) for i in range(20_000)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(load) == 40 and load.max() - load.min() <= 46
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    assert (got["doc_id"].isna()).sum() == 20_000
+
+
+def test_sizes_and_crc_are_brute_force(spark):
+    rows = H.awkward_rows()
+    want = sorted((str(r[0]), len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
+    got = sharding.assign(H.awkward(spark)).collect()
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
