@@ -206,7 +206,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
 
     A null id, or a vector that is null, zero, holds a null or non-finite component
     or is not of the commonest length, takes no part. A row that comes again counts
-    once; a query's own id is no candidate; an id with two vectors is two queries. Equal distances go by vec_id. Fewer
+    once; a query's own row is no candidate; an id with two vectors is two queries, and
+    each of the two a candidate of the other. Equal distances go by vec_id. Fewer
     candidates than k give all that were found. An empty table gives no rows;
     other columns are not read.
     """
@@ -217,7 +218,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
     if not len(fit):
         return spark.createDataFrame([], schema)
     codes = Codes(np.stack(fit["embedding"].to_numpy()).astype(np.float64))
-    keep = k + 1                                    # the query's own id may be among them
+    keep = k + 1                                    # the query's own row is among them
     first = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     # the limit applies before the shuffle; then at most k + 1 ids a vector
     entries = (v.withColumn("r", first).filter(F.col("r") <= keep).groupBy("embedding")
@@ -255,7 +256,7 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, sample: int = SAM
     if again is not None:
         top = top.join(short.select("key"), "key", "left_anti").unionAll(again)
     near = (q.select(F.col("vec_id").alias("query_id"), "key").join(top, "key")
-            .filter("query_id <> vec_id"))
+            .filter("query_id <> vec_id or score > 0"))      # all but the query's own row
     rank = F.row_number().over(Window.partitionBy("query_id", "key").orderBy("score", "vec_id"))
     return (near.withColumn("rank", rank).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -90,3 +90,16 @@ def test_clusters_of_unequal_scale_get_all_their_rows(spark):
     assert mine.keys() == want.keys()
     assert all(len(mine[i]) == 10 for i in want)
     assert recall >= 0.9
+
+
+def test_an_id_with_two_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6).tolist(), 1, None, None) for i in range(1, 100)]
+    x = rng.normal(size=6)
+    rows += [(0, x.tolist(), 1, None, None), (0, (x + 1e-3).tolist(), 1, None, None)]
+    got = neighbours.search(spark.createDataFrame(rows, SCHEMA)).collect()
+    ranks = sorted(r["rank"] for r in got)
+    assert ranks == sorted([*range(1, 11)] * 2)
+    # the other row of the id is the nearest of each
+    assert [r["vec_id"] for r in got if r["rank"] == 1] == [0, 0]
+    assert all(r["score"] > 0 for r in got)
