@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlens.llm.common import ALNUM, mix64, slices, utf8, word_hashes
+from airlens.llm.common import ALNUM, mix64, slices, unused, utf8, word_hashes
+from airlens.session import ensure_checkpoint_dir
 
 WINDOW = 10
 KGRAM = 5
@@ -59,50 +60,50 @@ def winnow(h: np.ndarray, window: int = WINDOW, k: int = KGRAM) -> np.ndarray:
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h, at = word_hashes(*utf8(batch.column("text")), ALNUM)
-        n, prints, windows = np.diff(at), [], []
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        item, sizes, prints, windows = [], [], [], []
+        for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
             w = h[a:b]
             size = min(WINDOW, b - a)
-            full = grams(w, size) if size else np.empty(0, np.uint64)
-            windows.append(full.view(np.int64))
-            prints.append((winnow(w) if size == WINDOW else full).view(np.int64))
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("item_id"), pa.array(n), pa.array(prints, kind), pa.array(windows, kind)],
-            names=["item_id", "n", "prints", "windows"])
-
-
-def benchmark_prints(bench: DataFrame) -> DataFrame:
-    """item_id (as a string), words, fingerprints and window hashes of each item with words."""
+            if size:
+                full = grams(w, size)
+                item.append(np.full(len(full), k))
+                sizes.append(np.full(len(full), size))
+                windows.append(full)
+                prints.append(winnow(w)[:len(full)] if size == WINDOW else full)
+        if item:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item_id").take(pa.array(np.concatenate(item))), pa.array(np.concatenate(sizes)),
+                 *(pa.array(np.concatenate(x).view(np.int64)) for x in (prints, windows))],
+                names=["item_id", "size", "print", "win"])
+
+
+def benchmark_windows(bench: DataFrame) -> DataFrame:
+    """item_id (as a string), length, fingerprint and hash of every window of each item, each once."""
     rows = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
                         F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_items, "item_id string, n long, prints array<long>, "
-                                   "windows array<long>").filter("n > 0")
+    return rows.mapInArrow(_items, "item_id string, size long, print long, win long").distinct()
 
 
 class Table:
-    """One block of the benchmark: per window length the fingerprints, windows and their items."""
+    """One block of windows: per window length the fingerprints, windows and their items."""
 
     def __init__(self, rows):
         self.by_length: dict[int, tuple] = {}
-        lengths = {min(r["n"], WINDOW) for r in rows}
-        for size in sorted(lengths):
-            own = [r for r in rows if min(r["n"], WINDOW) == size]
-            prints = np.unique(np.concatenate([np.array(r["prints"], np.int64) for r in own])
-                               .view(np.uint64))
-            win = np.concatenate([np.array(r["windows"], np.int64) for r in own]).view(np.uint64)
-            item = np.repeat(np.arange(len(own)), [len(r["windows"]) for r in own])
+        codes, self.names = rows["item_id"].factorize()
+        for size in sorted(rows["size"].unique().tolist()):
+            own = (rows["size"] == size).to_numpy()
+            prints = np.unique(rows["print"].to_numpy(np.int64)[own].view(np.uint64))
+            win, item = rows["win"].to_numpy(np.int64)[own].view(np.uint64), codes[own]
             order = np.lexsort((item, win))
             maybe = np.zeros(1 << 20, bool)
             maybe[prints >> np.uint64(44)] = True
-            self.by_length[size] = (maybe, prints, win[order], item[order],
-                                    [r["item_id"] for r in own])
+            self.by_length[size] = (maybe, prints, win[order], item[order])
 
-    def hits(self, h: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, int, list[list[str]]]]:
-        """Per window length: hit places (within ``h``), the length, and each place's items."""
+    def hits(self, h: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per window length: hit places (within ``h``), the length, and where their items lie in the last array."""
         out = []
         end = np.repeat(at[1:], np.diff(at))
-        for size, (maybe, prints, win, item, names) in self.by_length.items():
+        for size, (maybe, prints, win, item) in self.by_length.items():
             f = winnow(h) if size == WINDOW else grams(h, size)
             s = np.flatnonzero(maybe[f >> np.uint64(44)])
             s = s[s + size <= end[s]]
@@ -113,11 +114,18 @@ class Table:
             w = grams(h, size, s)                        # extended to the whole window
             lo, hi = np.searchsorted(win, w, "left"), np.searchsorted(win, w, "right")
             hit = hi > lo
-            out.append((s[hit], size, [[names[i] for i in item[a:b]]
-                                       for a, b in zip(lo[hit].tolist(), hi[hit].tolist())]))
+            out.append((s[hit], size, lo[hit], hi[hit], item))
         return out
 
 
+def _items_of(docs, lo, hi, item):
+    """(doc, item) pairs, each once; a window that a document holds often is looked up once."""
+    docs, lo, hi = np.unique(np.stack([docs, lo, hi]), axis=1)
+    n = hi - lo
+    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.unique(np.stack([np.repeat(docs, n), item[at]]), axis=1).T.tolist()
+
+
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -130,10 +138,11 @@ def _finder(table):
                 n = part.num_rows
                 spans: dict[int, list] = {}
                 items: dict[int, set] = {}
-                for places, size, names in t.hits(h, at):
+                for places, size, lo, hi, item in t.hits(h, at):
                     docs = np.searchsorted(at, places, "right") - 1
-                    for d, p, own in zip(docs.tolist(), (places - at[docs]).tolist(), names):
-                        items.setdefault(d, set()).update(own)
+                    for d, i in _items_of(docs, lo, hi, item):
+                        items.setdefault(d, set()).add(t.names[i])
+                    for d, p in zip(docs.tolist(), (places - at[docs]).tolist()):
                         s = spans.setdefault(d, [])
                         if s and s[-1]["start"] <= p <= s[-1]["end"]:
                             s[-1]["end"] = max(s[-1]["end"], p + size)
@@ -151,17 +160,18 @@ def find_spans(docs: DataFrame, bench: DataFrame, block_windows: int = BLOCK_WIN
     """(doc_id, th, n_words, spans, items): th is a hash of the text; spans count words."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    prints = benchmark_prints(bench)
-    total = prints.agg(F.sum(F.size("windows"))).first()[0] or 0
+    ensure_checkpoint_dir(spark)
+    windows = benchmark_windows(bench).checkpoint()
+    total = windows.count()
     blocks = max(1, -(-total // block_windows))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
     found = []
     for b in range(blocks):
         # about block_windows windows: what is collected and broadcast has that bound
-        own = prints if blocks == 1 else prints.filter(
-            F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        table = spark.sparkContext.broadcast(Table(own.collect()))
+        own = windows if blocks == 1 else windows.filter(
+            F.pmod(F.xxhash64("item_id", "win"), F.lit(blocks)) == b)
+        table = spark.sparkContext.broadcast(Table(own.toPandas()))
         found.append(rows.mapInArrow(_finder(table), f"doc_id {kind}, th long, n_words long, "
                                      "spans array<struct<start:int,end:int>>, items array<string>"))
     if blocks == 1:
@@ -199,11 +209,12 @@ def decontaminate(docs: DataFrame, bench: DataFrame, block_windows: int = BLOCK_
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated rows."""
+    """``docs`` without the contaminated rows; other columns are kept and may have any names."""
+    c_id, c_text = unused(docs, "hit_id", "hit_text")
     hit = (find_spans(docs, bench).filter(F.size("spans") > 0)
-           .select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_text")).distinct())
-    return docs.join(hit.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (
-        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hit_text")), "left_anti")
+           .select(F.col("doc_id").alias(c_id), F.col("th").alias(c_text)).distinct())
+    return docs.join(hit.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(c_id)) & (
+        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(c_text)), "left_anti")
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

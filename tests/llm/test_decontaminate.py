@@ -1,3 +1,5 @@
+import random
+
 import hashlib
 
 import pytest
@@ -61,3 +63,21 @@ def test_empty_tables(spark):
     assert decontaminate.decontaminate(H.empty(spark), bench).count() == 0
     none = decontaminate.decontaminate(H.awkward(spark), bench.limit(0)).collect()
     assert len(none) == len(H.awkward_rows()) and not any(r["contaminated"] for r in none)
+
+
+def test_blocks_are_bounded_whatever_the_ids(spark):
+    """One id for many items, one long item: blocks are dealt by window."""
+    rnd = random.Random(2)
+    vocab = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rnd.choice(vocab) for _ in range(40)) for _ in range(20)]
+    long = " ".join(rnd.choice(vocab) for _ in range(900))
+    items = [(None, t) for t in texts[:10]] + [("same", t) for t in texts[10:]] + [("long", long), ("short", "w1 w2 w3")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    docs = [(i, texts[i] + " x " + long[i * 40:i * 40 + 200]) for i in range(20)] + [(99, "nothing here"), (98, None)]
+    windows = decontaminate.benchmark_windows(bench).count()
+    assert windows == len({(i or "", tuple(t.split()[s:s + 10])) for i, t in items for s in range(max(1, len(t.split()) - 9))})
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(df, bench, block_windows=200).collect()}
+    for i, t in docs:
+        n, hit, found = H.covered(t, [(k or "", x) for k, x in items])
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"]) == (n, hit, len(found))
