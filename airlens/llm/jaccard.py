@@ -47,7 +47,8 @@ CELL = 512                # classes on one side of a block of a tile
 NEAREST = 2               # partners of a class in a block in the first round
 FINE = 8                  # so many times the bits where a block had more pairs than that
 SOME = 8                  # one tile of so many tells the first links
-PAIRS = 1 << 20           # pairs of classes compared at a time
+PAIRS = 1 << 18           # pairs of classes compared at a time
+SLICE = 2 << 20           # bytes of text made into sets at a time
 FILTER_BITS = 26          # size of the membership filter of classes whose sets are fetched
 
 _STEP = mix64(np.arange(7, 7 + 16, dtype=np.uint64))
@@ -167,7 +168,7 @@ def _fold(b: np.ndarray, size: int) -> np.ndarray:
 def _classes(k):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 x, at = shingle_sets(*utf8(part.column("text")), k)
                 bits = [bitmap(x[a:b]) if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -181,7 +182,7 @@ def _tiles(k, bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sent: set[int] = set()                   # copies in one batch make their tiles once
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 x, at = shingle_sets(*utf8(part.column("text")), k)
                 sid = class_ids(x, at)
                 _, first = np.unique(sid, return_index=True)
@@ -203,11 +204,12 @@ def _wanted(th: np.ndarray) -> np.ndarray:
 def _arrays(k, wanted, pack):
     """Sets of the texts that the filter may hold, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(wanted.value, bitorder="little")
+        table = wanted.value
         for batch in batches:
             sent: set[int] = set()
-            batch = batch.filter(pa.array(table[_wanted(batch.column("th").to_numpy())] > 0))
-            for part in slices(batch):
+            at = _wanted(batch.column("th").to_numpy())
+            batch = batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+            for part in slices(batch, most=SLICE):
                 x, at = shingle_sets(*utf8(part.column("text")), k)
                 sid = class_ids(x, at)
                 keep = []
