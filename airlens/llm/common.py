@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import uuid
@@ -80,6 +81,16 @@ def copies(df: DataFrame, n: str, at: str, most: int = 4096) -> DataFrame:
     return few.filter(F.col(n) > 0).unionAll(many)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps removed.
+
+    Spark's cleaner removes them when the driver's collector finds that no plan uses
+    them any more; left alone, that is long after, as the driver makes little garbage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlens.llm.common import components, mix64, partitions, slices, unused, utf8, word_hashes
+from airlens.llm.common import components, mix64, partitions, release, slices, unused, utf8, word_hashes
 from airlens.session import ensure_checkpoint_dir
 
 SHINGLE = 4
@@ -48,7 +48,7 @@ NEAREST = 2               # partners of a class in a block in the first round
 FINE = 8                  # so many times the bits where a block had more pairs than that
 SOME = 8                  # one tile of so many tells the first links
 PAIRS = 1 << 18           # pairs of classes compared at a time
-SLICE = 2 << 20           # bytes of text made into sets at a time
+SLICE = 1 << 20           # bytes of text made into sets at a time
 FILTER_BITS = 26          # size of the membership filter of classes whose sets are fetched
 
 _STEP = mix64(np.arange(7, 7 + 16, dtype=np.uint64))
@@ -511,14 +511,18 @@ def classes_joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     several = (tiles.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
                .filter("lo <> hi").select("key", "lo"))
     shared = tiles.join(several.hint("shuffle_hash"), "key").distinct().checkpoint()
+    del tiles, several
+    release(spark)
     light = (named.select("sid", F.col("n_shingles").alias("n"), "th", "bits")
              .join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]).checkpoint())
 
     star = shared.select(F.col("lo").alias("a"), F.col("sid").alias("b")).filter("a <> b").distinct()
     close = _sifted(star, light, percent).checkpoint()
+    release(spark)
     sets = _elements(rows, light, _ends(close), k).checkpoint()
     tested = _checked(close, sets, percent)
     labels = _labels(tested, None)
+    release(spark)
     shared = shared.select("key", "sid")
 
     def found(out, few):
@@ -538,6 +542,7 @@ def classes_joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
         tested = tested.unionAll(now)
         if not now.filter("ok").isEmpty():
             labels = _labels(now, labels)
+        release(spark)
 
     # near copies share many tiles: some of them tell most links, with a pair or two per class
     found(_open_pairs(shared.filter(F.pmod("key", F.lit(SOME)) == 0), labels, light, percent, 1), True)
@@ -545,6 +550,7 @@ def classes_joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     left, nearest, fine = shared, NEAREST, None
     while True:
         out = _open_pairs(left, labels, light if fine is None else fine, percent, nearest).checkpoint()
+        release(spark)
         found(out, False)
         more = out.filter("key is not null").select("key").distinct()
         if more.isEmpty():
