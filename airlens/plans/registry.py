@@ -40,10 +40,12 @@ def _catalog() -> dict[str, Entry]:
 
 def _modules() -> list[dict[str, Entry]]:
     regs = [_catalog()]
-    from airlens.operators import examples, evaluation, corpus, bulletins, relational, blocks
+    from airlens.operators import (blocks, bulletins, corpus, evaluation, examples, lattice, relational,
+                                   temporal)
     from airlens.sources import files
     from airlens.streaming import incremental
-    for mod in (examples, evaluation, corpus, bulletins, relational, blocks, files, incremental):
+    for mod in (examples, evaluation, corpus, bulletins, relational, blocks, files, incremental,
+                temporal, lattice):
         regs.append(mod.registry())
     return regs
 
