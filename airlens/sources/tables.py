@@ -86,8 +86,41 @@ class Tables:
     sf_dir: str
     _frames: dict = field(default_factory=dict)
 
+    @classmethod
+    def of(cls, spark: SparkSession, readings: DataFrame, states: DataFrame | None = None,
+           funding: DataFrame | None = None, city_states: DataFrame | None = None) -> Tables:
+        """The catalog's tables from the caller's own frames.
+
+        ``readings`` has ts (timestamp), station, city, state, pm25 and pm10 (NaN is
+        missing); further columns are kept and ``year`` is added if it is not there.
+        ``states`` has state, population, area_km2, is_ut; ``funding`` state, city,
+        rel_fy1..3, total_released, utilised; ``city_states`` city, state (default:
+        as the readings have them). Queries that need a frame not given fail by name.
+        """
+        need = {"readings": (readings, ("ts", "station", "city", "state", "pm25", "pm10")),
+                "states": (states, ("state", "population", "area_km2", "is_ut")),
+                "funding": (funding, ("state", "city", "rel_fy1", "rel_fy2", "rel_fy3", "total_released", "utilised")),
+                "city_states": (city_states, ("city", "state"))}
+        frames = {}
+        for name, (df, columns) in need.items():
+            if df is not None:
+                missing = [c for c in columns if c not in df.columns]
+                if missing:
+                    raise ValueError(f"{name} lacks the columns {missing}")
+                frames[name] = df
+        r = frames["readings"].withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        for c in ("pm25", "pm10"):
+            r = r.withColumn(c, F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")))
+        if "year" not in r.columns:
+            r = r.withColumn("year", F.year("ts"))
+        frames["readings"] = r
+        frames.setdefault("city_states", r.select("city", "state").distinct())
+        return cls(spark, "", frames)
+
     # -- base tables ---------------------------------------------------------
     def base(self, name: str) -> DataFrame:
+        if not self.sf_dir:
+            raise ValueError(f"this query needs the base table {name}, which the caller's frames do not have")
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -132,6 +165,8 @@ class Tables:
     def _materialised(self, name: str, builder, partition_by: str | None = None) -> DataFrame:
         if name in self._frames:
             return self._frames[name]
+        if not self.sf_dir:
+            raise ValueError(f"this query needs {name}, which was not given")
         root = f"{store_root(self.spark)}/{_fingerprint(self.spark, self.sf_dir)}"
 
         def build(folder: str) -> None:
