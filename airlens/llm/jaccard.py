@@ -196,6 +196,38 @@ def _tiles(k, bands):
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, sid, lo) of the tiles of two classes or more, with their smallest class, each row once.
+
+    Rows come sorted by key and sid. Of the tile that a batch ends in, only its first
+    and last class are held, so a tile may be of any size.
+    """
+    held = None                                      # key, first and last class, whether it has two
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, sid = (batch.column(c).to_numpy() for c in ("key", "sid"))
+        if held is not None and key[0] == held[0]:
+            key, sid = np.r_[held[0], key], np.r_[held[2], sid]
+        else:
+            held = None
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+        key, sid = key[new], sid[new]
+        start = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
+        size = np.diff(np.r_[start, len(key)])
+        lo = np.repeat(sid[start], size)
+        several = np.repeat(size > 1, size)
+        if held is not None:
+            lo[:size[0]] = held[1]
+            if held[3]:                              # its last class went out before
+                several[:size[0]] = True
+                several[0] = False
+        last = len(key) - 1
+        held = (key[last], lo[last], sid[last], bool(lo[last] != sid[last]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (key, sid, lo)], names=["key", "sid", "lo"])
+
+
 def _wanted(th: np.ndarray) -> np.ndarray:
     """Place of a text in the membership filter: the top bits of its hash."""
     return (th.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
@@ -505,13 +537,9 @@ def classes_joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     named = rows.withColumn("th", F.xxhash64("text")).mapInArrow(
         _classes(k), f"doc_id {kind}, th long, n_shingles long, sid long, bits binary").checkpoint()
 
-    # tiles of two classes or more; the tiles are shuffled once and read for both uses
-    tiles = rows.select("text").mapInArrow(_tiles(k, bands), "key long, sid long").repartition(
-        partitions(spark), "key")
-    several = (tiles.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"))
-               .filter("lo <> hi").select("key", "lo"))
-    shared = tiles.join(several.hint("shuffle_hash"), "key").distinct().checkpoint()
-    del tiles, several
+    shared = (rows.select("text").mapInArrow(_tiles(k, bands), "key long, sid long")
+              .repartition(partitions(spark), "key").sortWithinPartitions("key", "sid")
+              .mapInArrow(_shared, "key long, sid long, lo long").checkpoint())
     release(spark)
     light = (named.select("sid", F.col("n_shingles").alias("n"), "th", "bits")
              .join(shared.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]).checkpoint())

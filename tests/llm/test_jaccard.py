@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from airlens.llm import jaccard
@@ -153,3 +154,17 @@ def test_a_tile_with_a_large_component_is_dealt_into_blocks(spark, monkeypatch):
     got = jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
     label = H.components([H.shingles(t, 5) for _, t in rows], 80)
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label))
+
+
+def test_shared_tiles_whatever_the_batches():
+    rng = np.random.default_rng(3)
+    rows = sorted(zip(rng.integers(0, 40, 300).tolist(), rng.integers(-9, 9, 300).tolist()))
+    by = {}
+    for k, s in rows:
+        by.setdefault(k, set()).add(s)
+    want = sorted((k, s, min(v)) for k, v in by.items() if len(v) > 1 for s in v)
+    for step in (1, 2, 3, 7, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows[i:i + step])], names=["key", "sid"])
+                   for i in range(0, 300, step)]
+        got = [t for b in jaccard._shared(iter(batches)) for t in zip(*(c.to_pylist() for c in b.columns))]
+        assert sorted(got) == want
