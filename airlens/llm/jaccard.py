@@ -43,7 +43,7 @@ SHINGLE = 4
 PERCENT = 85
 GROWTH = 1.5
 BITS = 8192               # most bits of a bitmap
-CELL = 512                # classes on one side of a block of a tile
+CELL = 8192               # classes on one side of a block of a tile
 NEAREST = 2               # partners of a class in a block in the first round
 FINE = 8                  # so many times the bits where a block had more pairs than that
 SOME = 8                  # one tile of so many tells the first links
