@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlens.llm.common import find_words, partitions, scratch, slices, utf8
+from airlens.llm.common import find_words, partitions, returning, scratch, slices, utf8
 
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = 60 // COUNTS
@@ -38,7 +38,8 @@ ESCAPE = 15
 RUN = 256
 BLOCK_IDS = 1 << 17
 END_ID = 1
-_CACHE_MAX = 900_000
+_CACHE_MAX = 400_000
+SLICE = 2 << 20           # bytes of text encoded at a time
 
 _MARKS = b".,;:!?|)*$&%#"
 _BITS = np.array([max(1, x.bit_length()) for x in range(1 << 16)], np.uint8)
@@ -246,7 +247,7 @@ def _writer(file: str | None, end_id: int | None, block_ids: int):
         block = start = held = 0
         docs, parts, size = [], [], []
         for batch in batches:
-            for piece in slices(batch, most=4 << 20):
+            for piece in returning(slices(batch, most=SLICE)):
                 ids, at = enc.ids(*utf8(piece.column("text")))
                 n = np.diff(at) + len(end)
                 names = piece.column("doc_id").to_pylist()

@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import io
 import os
@@ -212,6 +213,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
         i = min(j, n)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc only
+
+
+def returning(parts):
+    """The parts of a batch; after each, memory that the worker has freed goes back to the system.
+
+    Arrow's pool and the C heap keep it otherwise, for as long as the worker is used,
+    so that an executor holds the peaks of all its workers' earlier steps at once.
+    """
+    for part in parts:
+        yield part
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
 def _are_stars(e: DataFrame) -> bool:
     """Whether every u has one v, and no v is a u."""
     nodes = (e.select("u", F.lit(1).alias("up"), F.lit(0).alias("down"))

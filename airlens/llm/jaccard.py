@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlens.llm.common import components, mix64, partitions, release, slices, unused, utf8, word_hashes
+from airlens.llm.common import components, mix64, partitions, release, returning, slices, unused, utf8, word_hashes
 from airlens.session import ensure_checkpoint_dir
 
 SHINGLE = 4
@@ -168,7 +168,7 @@ def _fold(b: np.ndarray, size: int) -> np.ndarray:
 def _classes(k):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, most=SLICE):
+            for part in returning(slices(batch, most=SLICE)):
                 x, at = shingle_sets(*utf8(part.column("text")), k)
                 bits = [bitmap(x[a:b]) if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
@@ -182,7 +182,7 @@ def _tiles(k, bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sent: set[int] = set()                   # copies in one batch make their tiles once
-            for part in slices(batch, most=SLICE):
+            for part in returning(slices(batch, most=SLICE)):
                 x, at = shingle_sets(*utf8(part.column("text")), k)
                 sid = class_ids(x, at)
                 _, first = np.unique(sid, return_index=True)
@@ -241,7 +241,7 @@ def _arrays(k, wanted, pack):
             sent: set[int] = set()
             at = _wanted(batch.column("th").to_numpy())
             batch = batch.filter(pa.array((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
-            for part in slices(batch, most=SLICE):
+            for part in returning(slices(batch, most=SLICE)):
                 x, at = shingle_sets(*utf8(part.column("text")), k)
                 sid = class_ids(x, at)
                 keep = []
