@@ -38,8 +38,9 @@ ESCAPE = 15
 RUN = 256
 BLOCK_IDS = 1 << 17
 END_ID = 1
-_CACHE_MAX = 400_000
-SLICE = 2 << 20           # bytes of text encoded at a time
+_CHUNKS_MAX = 600_000
+_STEMS_MAX = 150_000      # a chunk's ids are kept with it; stems serve chunks that differ in marks only
+SLICE = 4 << 20           # bytes of text encoded at a time
 
 _MARKS = b".,;:!?|)*$&%#"
 _BITS = np.array([max(1, x.bit_length()) for x in range(1 << 16)], np.uint8)
@@ -168,9 +169,9 @@ class ChunkEncoder:
 
     def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of many texts given as bytes and offsets."""
-        if len(self.chunks) > _CACHE_MAX:
+        if len(self.chunks) > _CHUNKS_MAX:
             self.chunks.clear()
-        if len(self.stems) > _CACHE_MAX:
+        if len(self.stems) > _STEMS_MAX:
             self.stems.clear()
         n = len(offs) - 1
         raw = data.tobytes()
