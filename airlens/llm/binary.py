@@ -45,8 +45,15 @@ SLICE = 4 << 20           # bytes of text encoded at a time
 _MARKS = b".,;:!?|)*$&%#"
 _BITS = np.array([max(1, x.bit_length()) for x in range(1 << 16)], np.uint8)
 
-BLOCKS = ("part int, block int, start_in_part long, doc_ids array<long>, n_tokens array<int>, "
-          "run_offsets array<int>, words binary, escapes array<long>")
+
+
+def blocks(kind: str = "bigint") -> str:
+    """Columns of the store's files for documents whose doc_id has this type."""
+    return (f"part int, block int, start_in_part long, doc_ids array<{kind}>, n_tokens array<int>, "
+            "run_offsets array<int>, words binary, escapes array<long>")
+
+
+BLOCKS = blocks()
 
 
 def encode_runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,10 +234,10 @@ def _encoder(file: str) -> ChunkEncoder:
     return _encoders[file]
 
 
-def _block(part, block, start, doc_ids, lengths, ids) -> pa.RecordBatch:
+def _block(part, block, start, doc_ids, lengths, ids, kind) -> pa.RecordBatch:
     words, offs, escapes = encode_runs(ids)
     one = [part, block, start, doc_ids, lengths, offs, words.astype("<u8").tobytes(), escapes]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()),
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(kind), pa.list_(pa.int32()),
              pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one, kinds)],
                                       names=["part", "block", "start_in_part", "doc_ids", "n_tokens",
@@ -248,6 +255,7 @@ def _writer(file: str | None, end_id: int | None, block_ids: int):
         block = start = held = 0
         docs, parts, size = [], [], []
         for batch in batches:
+            kind = batch.schema.field("doc_id").type
             for piece in returning(slices(batch, most=SLICE)):
                 ids, at = enc.ids(*utf8(piece.column("text")))
                 n = np.diff(at) + len(end)
@@ -264,11 +272,11 @@ def _writer(file: str | None, end_id: int | None, block_ids: int):
                     size += n[a:b].tolist()
                     held += int(n[a:b].sum())
                     if held >= block_ids:
-                        yield _block(part, block, start, docs, size, np.concatenate(parts))
+                        yield _block(part, block, start, docs, size, np.concatenate(parts), kind)
                         block, start, held, docs, parts, size = block + 1, start + held, 0, [], [], []
                     a = b
         if docs:
-            yield _block(part, block, start, docs, size, np.concatenate(parts))
+            yield _block(part, block, start, docs, size, np.concatenate(parts), kind)
     return write
 
 
@@ -282,7 +290,7 @@ def write_store(docs: DataFrame, path: str, file: str | None = None, end_id: int
     n = partitions(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     (rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-     .mapInArrow(_writer(file, end_id, block_ids), BLOCKS).write.parquet(path))
+     .mapInArrow(_writer(file, end_id, block_ids), blocks(dict(docs.dtypes)["doc_id"])).write.parquet(path))
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,17 +310,18 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "part", "start", "n_tokens", "ids_crc32"])
 
 
-def read_store(blocks: DataFrame) -> DataFrame:
+def read_store(store: DataFrame) -> DataFrame:
     """Documents of a store: doc_id, start, n_tokens, ids_crc32 from the decoded ids.
 
     ``start`` adds the totals of the partitions before; that table has one row
     per written partition.
     """
-    totals = blocks.groupBy("part").agg(F.sum(F.expr(
+    totals = store.groupBy("part").agg(F.sum(F.expr(
         "aggregate(n_tokens, 0L, (a, x) -> a + x)")).alias("ids"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    docs = blocks.mapInArrow(_reader, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
+    kind = store.schema["doc_ids"].dataType.elementType.simpleString()
+    docs = store.mapInArrow(_reader, f"doc_id {kind}, part int, start long, n_tokens long, ids_crc32 long")
     return (docs.join(F.broadcast(base), "part")
             .select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32"))
 
@@ -323,8 +332,8 @@ def query(docs: DataFrame, path: str | None = None) -> DataFrame:
     A null or empty text is the end id alone; repeated rows are documents of
     their own, side by side; a null doc_id comes first; an empty table makes a
     store without blocks and a result without rows; other columns are not read.
-    A text longer than a block is a block of its own.
+    A text longer than a block is a block of its own. The doc_id keeps its type.
     """
     path = path or scratch(docs.sparkSession, "token_store")
     write_store(docs, path)
-    return read_store(docs.sparkSession.read.schema(BLOCKS).parquet(path))
+    return read_store(docs.sparkSession.read.schema(blocks(dict(docs.dtypes)["doc_id"])).parquet(path))

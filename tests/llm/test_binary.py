@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from airlens.llm import binary
 from airlens.llm.common import scratch
@@ -79,3 +80,15 @@ def test_query_on_documents_and_empty(spark):
         start += n
     assert got == want
     assert binary.query(H.empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_doc_id_keeps_its_type(spark, kind):
+    rows = [("1", "one two"), (None, "three"), ("20", None), ("20", "a  b"), ("3", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = binary.query(docs)
+    assert dict(got.dtypes)["doc_id"] == kind
+    to = int if kind == "int" else str
+    want = [(None if i is None else to(i), t or "") for i, t in rows]
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in got.collect()) == sorted(
+        (str(i), n, c) for i, n, c in brute(want))
