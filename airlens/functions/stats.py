@@ -53,42 +53,80 @@ def _bucket(v: Column) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1024)
 
 
+# plain statistics that follow from the counts per value
+_COUNTED = ("mean", "sum", "nunique")
+
+
 def group_stats(df: DataFrame, key: Column, stats: dict[str, tuple[str, Column | str]]) -> DataFrame:
     """(lbl, one column per name): statistics of ``df`` per ``key``.
 
     Quantiles: rows are counted per (group, measure, value), map-side first;
     counts per bucket of values, a small table, say which buckets hold the two
     ranks; the values of those alone are put in order. Work on one group is
-    spread over its values, whatever share of all rows it has.
+    spread over its values, whatever share of all rows it has. Mean, sum and
+    distinct count come from the same counts, so the rows are read once: both
+    uses of the counts have the same plan up to their shuffle, which is reused
+    (every join below is null-safe, as an inferred null filter would go into one
+    of them only). Std and variance beside quantiles are a second reading.
     """
-    plain = {n: agg(s, c) for n, (s, c) in stats.items() if s not in QUANTILES}
     quant = {n: (QUANTILES[s], c) for n, (s, c) in stats.items() if s in QUANTILES}
-    base = df.groupBy(key.alias("lbl")).agg(
-        *[e.alias(n) for n, e in plain.items()] or [F.count(F.lit(1)).alias("_n")])
+    plain = {n: (s, c) for n, (s, c) in stats.items() if s not in QUANTILES}
     if not quant:
-        return base.select("lbl", *stats)
-    rows = df.select(key.alias("lbl"), F.explode(F.array(*[F.struct(
-        F.lit(n).alias("m"), F.lit(q).alias("q"),
-        (F.col(c) if isinstance(c, str) else c).cast("double").alias("v"))
-        for n, (q, c) in quant.items()])).alias("x")).select("lbl", "x.*").where(F.col("v").isNotNull())
-    counts = rows.groupBy("lbl", "m", "q", "v").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "b", _bucket(F.col("v")))
+        return df.groupBy(key.alias("lbl")).agg(*[agg(s, c).alias(n) for n, (s, c) in plain.items()]) \
+            .select("lbl", *stats)
+    measures: list = []              # one per column, though several statistics may ask for it
+    number = {}
+    for n, (s, c) in stats.items():
+        if s in QUANTILES or s in _COUNTED:
+            same = [i for i, m in enumerate(measures) if m is c or (isinstance(m, str) and isinstance(c, str) and m == c)]
+            if not same:
+                measures.append(c)
+            number[n] = same[0] if same else len(measures) - 1
+    cols = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in measures]
+    if len(cols) == 1:
+        rows = df.select(key.alias("lbl"), F.lit(0).alias("m"), cols[0].alias("v"))
+    else:
+        rows = df.select(key.alias("lbl"), F.posexplode(F.array(*cols)).alias("m", "v"))
+    counts = rows.groupBy("lbl", "m", "v").agg(F.count(F.lit(1)).alias("n")).select(
+        "lbl", "m", "v", F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0).alias("n"),
+        _bucket(F.col("v")).alias("b"))
+    buckets = counts.groupBy("lbl", "m", "b").agg(
+        F.sum("n").alias("nb"), F.sum(F.col("v") * F.col("n")).alias("total"), F.count("v").alias("values"))
+
+    def counted(name: str, stat: str) -> Column:
+        mine = F.col("m") == number[name]
+        total, n = F.sum(F.when(mine, F.col("total"))), F.sum(F.when(mine, F.col("nb")))
+        if stat == "mean":
+            return F.when(n > 0, total / n)
+        return F.coalesce(total, F.lit(0.0)) if stat == "sum" else F.sum(F.when(mine, F.col("values")))
+
     group = Window.partitionBy("lbl", "m")
-    runs = counts.groupBy("lbl", "m", "q", "b").agg(F.sum("n").alias("nb")).select(
-        "lbl", "m", "b",
-        (F.sum("nb").over(group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("nb")).alias("before"),
-        "nb", (F.col("q") * (F.sum("nb").over(group) - 1)).alias("at"))
+    asked = F.array(*[F.struct(F.lit(number[n]).alias("m"), F.lit(n).alias("name"), F.lit(q).alias("q"))
+                      for n, (q, _) in quant.items()])
+    runs = buckets.select(
+        "lbl", "m", "b", "nb", F.sum("nb").over(group).alias("all"),
+        (F.sum("nb").over(group.orderBy(F.col("b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+         - F.col("nb")).alias("before"))
+    points = runs.select("*", F.explode(F.filter(asked, lambda x: x["m"] == F.col("m"))).alias("ask")).select(
+        F.col("lbl").alias("hl"), F.col("m").alias("hm"), F.col("b").alias("hb"), "nb", "before",
+        F.col("ask.name").alias("name"), (F.col("ask.q") * (F.col("all") - 1)).alias("at"))
     lo, hi = F.floor("at"), F.ceil("at")
-    held = runs.where((F.col("before") <= hi) & (F.col("before") + F.col("nb") > lo))
-    inner = Window.partitionBy("lbl", "m", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    same = (F.col("lbl").eqNullSafe(F.col("hl"))) & (F.col("m") == F.col("hm")) & (F.col("b") == F.col("hb"))
-    up_to = F.col("before") + F.sum("n").over(inner)
-    ranked = counts.join(held.select(F.col("lbl").alias("hl"), F.col("m").alias("hm"), F.col("b").alias("hb"),
-                                     "before", "at"), same).withColumn("up_to", up_to)
-    ends = ranked.groupBy("lbl", "m").agg(
+    held = points.where((F.col("before") <= hi) & (F.col("before") + F.col("nb") > lo)).drop("nb")
+    same = (F.col("lbl").eqNullSafe(F.col("hl")) & F.col("m").eqNullSafe(F.col("hm"))
+            & F.col("b").eqNullSafe(F.col("hb")))
+    inner = Window.partitionBy("lbl", "name", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(held, same).withColumn("up_to", F.col("before") + F.sum("n").over(inner))
+    ends = ranked.groupBy("lbl", "name").agg(
         F.first("at").alias("at"), F.min(F.when(F.col("up_to") > lo, F.col("v"))).alias("v0"),
         F.min(F.when(F.col("up_to") > hi, F.col("v"))).alias("v1"))
     value = F.col("v0") + (F.col("at") - lo) * (F.col("v1") - F.col("v0"))
     wide = ends.withColumn("value", value).groupBy(F.col("lbl").alias("wl")).agg(*[
-        F.max(F.when(F.col("m") == n, F.col("value"))).alias(n) for n in quant])
-    return base.join(wide, F.col("lbl").eqNullSafe(F.col("wl")), "left").select("lbl", *stats)
+        F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in quant])
+    shown = [counted(n, s).alias(n) for n, (s, _) in plain.items() if n in number]
+    base = buckets.groupBy("lbl").agg(*shown) if shown else buckets.select("lbl").distinct()
+    out = base.join(wide, F.col("lbl").eqNullSafe(F.col("wl")), "left").drop("wl")
+    apart = {n: sc for n, sc in plain.items() if n not in number}
+    if apart:
+        more = df.groupBy(key.alias("pl")).agg(*[agg(s, c).alias(n) for n, (s, c) in apart.items()])
+        out = out.join(more, F.col("lbl").eqNullSafe(F.col("pl")), "left")
+    return out.select("lbl", *stats)

@@ -68,16 +68,14 @@ def month_day(m: int, d: int) -> Column:
     return (F.month(TS) == m) & (F.dayofmonth(TS) == d)
 
 
-# years whose months become ranges of their own; other years are read as a whole
-SPAN_YEARS = range(1990, 2031)
-
-
-def in_any_year(months, day: int | None = None) -> Column:
-    """The stretches of time that hold these months (or one day of them) in any
-    year, as ``ts`` ranges: implied by the month predicate it accompanies, and
-    pushed to the parquet reader, so row groups of other months are skipped."""
+def in_any_year(months, years, day: int | None = None) -> Column:
+    """The stretches of time that hold these months (or one day of them), as ``ts``
+    ranges, one or two for each of ``years``, the years that are stored
+    (``Tables.stored_years``): implied by the month predicate it accompanies, and
+    pushed to the parquet reader, so row groups of other months are skipped. With
+    no years known it is always true."""
     spans: list[list[dt.date]] = []
-    for y in SPAN_YEARS:
+    for y in sorted(years):
         for m in sorted(months):
             nxt = dt.date(y + m // 12, m % 12 + 1, 1)
             if day is None:
@@ -91,8 +89,9 @@ def in_any_year(months, day: int | None = None) -> Column:
                 spans[-1][1] = b
             else:
                 spans.append([a, b])
-    out = ((F.col(TS) < _ts(dt.date(SPAN_YEARS[0], 1, 1)))
-           | (F.col(TS) >= _ts(dt.date(SPAN_YEARS[-1] + 1, 1, 1))))
+    if not years:
+        return F.lit(True)
+    out = F.lit(False)
     for a, b in spans:
         out = out | ((F.col(TS) >= _ts(a)) & (F.col(TS) < _ts(b)))
     return out

@@ -31,26 +31,26 @@ def _sql_profile(where, table="readings"):
 # --- predicates on readings: (id, spark condition builder, SQL condition) ---------
 AS_OF = dt.date(2001, 11, 30)
 _P = [
-    ("P1", lambda r: tf.in_year(1998, r), tf.sql_in_year(1998)),
-    ("P2", lambda r: tf.month_is(2) & tf.in_any_year((2,)), "month(ts) = 2"),
-    ("P3", lambda r: tf.on_date(1999, 1, 14, r), tf.sql_on_date(1999, 1, 14)),
-    ("P4", lambda r: tf.month_day(12, 31) & tf.in_any_year((12,), 31), "month(ts) = 12 and day(ts) = 31"),
-    ("P5", lambda r: tf.month_in((12, 1, 2)) & tf.in_any_year((12, 1, 2)), "month(ts) in (12, 1, 2)"),
-    ("P6", lambda r: tf.year_in((1996, 2000), r), "year(ts) in (1996, 2000)"),
-    ("P7", lambda r: tf.in_years(1997, 1999, r), "year(ts) between 1997 and 1999"),
-    ("P8", lambda r: tf.last_n_years(2001, 3, r), "year(ts) >= 1998"),
-    ("P9", lambda r: tf.last_days(AS_OF, 5 * 365, r),
+    ("P1", lambda r, years: tf.in_year(1998, r), tf.sql_in_year(1998)),
+    ("P2", lambda r, years: tf.month_is(2) & tf.in_any_year((2,), years), "month(ts) = 2"),
+    ("P3", lambda r, years: tf.on_date(1999, 1, 14, r), tf.sql_on_date(1999, 1, 14)),
+    ("P4", lambda r, years: tf.month_day(12, 31) & tf.in_any_year((12,), years, 31), "month(ts) = 12 and day(ts) = 31"),
+    ("P5", lambda r, years: tf.month_in((12, 1, 2)) & tf.in_any_year((12, 1, 2), years), "month(ts) in (12, 1, 2)"),
+    ("P6", lambda r, years: tf.year_in((1996, 2000), r), "year(ts) in (1996, 2000)"),
+    ("P7", lambda r, years: tf.in_years(1997, 1999, r), "year(ts) between 1997 and 1999"),
+    ("P8", lambda r, years: tf.last_n_years(2001, 3, r), "year(ts) >= 1998"),
+    ("P9", lambda r, years: tf.last_days(AS_OF, 5 * 365, r),
      f"ts >= timestamp '{(AS_OF - dt.timedelta(days=1825)).isoformat()}'"),
-    ("P10", lambda r: tf.weekday_is(4), "isodow(ts) - 1 = 4"),
-    ("P11", lambda r: (F.col("state") == "NATION_7") & (F.col("city") == "NATION_7/BUILDING"),
+    ("P10", lambda r, years: tf.weekday_is(4), "isodow(ts) - 1 = 4"),
+    ("P11", lambda r, years: (F.col("state") == "NATION_7") & (F.col("city") == "NATION_7/BUILDING"),
      "state = 'NATION_7' and city = 'NATION_7/BUILDING'"),
-    ("P12", lambda r: F.col("pm25").isNotNull(), "pm25 is not null"),
-    ("P13", lambda r: F.col("pm10") > 75, "pm10 > 75"),
+    ("P12", lambda r, years: F.col("pm25").isNotNull(), "pm25 is not null"),
+    ("P13", lambda r, years: F.col("pm10") > 75, "pm10 > 75"),
 ]
 
 
 def _pred_entry(cond, sql):
-    return Entry(lambda t: _profile(t.readings.where(cond(t.readings))), _sql_profile(sql))
+    return Entry(lambda t: _profile(t.readings.where(cond(t.readings, t.stored_years))), _sql_profile(sql))
 
 
 def p14(t):

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from airlens.functions import timefx as tf
 from airlens.functions.arith import pdiv, rnd, sql_pdiv
 from airlens.functions.stats import QUANTILES, agg, group_stats, sql_agg
-from airlens.operators.rank import nth, sql_nth, sql_top_k, top_k
+from airlens.operators.rank import nth, nth_of_counts, sql_nth, sql_top_k, top_k
 from airlens.sources.tables import Tables
 
 # Positions as the templates enumerate them (negative = len(df) - k).
@@ -111,7 +111,7 @@ def t12(t, pm="pm10", year=1999, positions=SIX):
     """The nth pm value itself in a year."""
     r = t.readings
     rows = r.where(tf.in_year(year, r) & F.col(pm).isNotNull()).select(F.col(pm).alias("v"))
-    return nth(rows, [("v", True)], positions, [rnd(F.col("v"), 6).alias("value")])
+    return nth_of_counts(rows, [("v", True)], positions, [rnd(F.col("v"), 6).alias("value")])
 
 
 def t12_sql(pm="pm10", year=1999, positions=SIX):
@@ -125,7 +125,8 @@ def t27(t, city="NATION_1/BUILDING", pm="pm25", last_years=3, as_of_year=2001, p
     rows = r.where((F.col("city") == city) & tf.last_n_years(as_of_year, last_years, r)
                    & F.col(pm).isNotNull()).select(
         F.col(pm).alias("v"), F.to_date("ts").cast("string").alias("lbl"))
-    return _ranked(rows, positions)
+    return nth_of_counts(rows, [("v", True), ("lbl", True)], positions,
+                         [F.col("lbl").alias("answer"), rnd(F.col("v").cast("double"), 9).alias("value")])
 
 
 def t27_sql(city="NATION_1/BUILDING", pm="pm25", last_years=3, as_of_year=2001, positions=SIX):
@@ -232,7 +233,7 @@ def t13_sql(pm="pm25", positions=SIX):
 
 def t14(t, pm="pm10", month=7, stat="median", positions=SIX):
     """Asks for a month, answers the year with the nth statistic in that month."""
-    return _grs(t, lambda r: tf.month_is(month) & tf.in_any_year((month,)), F.year("ts"), stat, pm, positions)
+    return _grs(t, lambda r: tf.month_is(month) & tf.in_any_year((month,), t.stored_years), F.year("ts"), stat, pm, positions)
 
 
 def t14_sql(pm="pm10", month=7, stat="median", positions=SIX):
@@ -277,7 +278,7 @@ def t18_sql(loc="city", pm="pm25", year=1998, positions=SIX):
 
 def t19(t, loc="state", pm="pm10", positions=SIX):
     """Location by nth mean on 31 December across all years."""
-    return _grs(t, lambda r: tf.month_day(12, 31) & tf.in_any_year((12,), 31), loc, "mean", pm, positions, dropna=True)
+    return _grs(t, lambda r: tf.month_day(12, 31) & tf.in_any_year((12,), t.stored_years, 31), loc, "mean", pm, positions, dropna=True)
 
 
 def t19_sql(loc="state", pm="pm10", positions=SIX):
@@ -473,13 +474,16 @@ def t36_sql(year=1998, pm="pm25", limits=(15, 30, 45, 60, 75, 90), city="NATION_
 
 def t28(t, loc="city", pm="pm25", positions=SIX):
     """Location with the fewest readings equal to the nth pm value."""
-    r = t.readings.where(F.col(pm).isNotNull())
-    vals = nth(r.select(F.col(pm).alias("v")), [("v", True)], positions, ["v"])
+    # readings of one value and location as one row: ranked, and looked up again
+    each = t.readings.where(F.col(pm).isNotNull()).groupBy(F.col(pm).alias("v"), F.col(loc).alias("lbl")).agg(
+        F.count(F.lit(1)).alias("n"))
+    vals = nth_of_counts(each.select("v", "n"), [("v", True)], positions, [F.col("v").alias("at")], "n")
     # vals has one row per position: broadcasting it is bounded by len(positions).
-    hits = r.join(F.broadcast(vals), r[pm] == vals.v).where(F.col(loc).isNotNull())
-    counts = hits.groupBy("pos", F.col(loc).alias("lbl")).agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("pos").agg(F.min(F.struct("n", "lbl")).alias("m"))
-    return best.select("pos", F.col("m.lbl").alias("answer"), F.col("m.n").alias("value"))
+    hits = each.join(F.broadcast(vals), F.col("v").eqNullSafe(F.col("at")))
+    counts = hits.groupBy("pos", "lbl").agg(F.sum("n").alias("n"))
+    # not a filter: it would go below one use of the counts and end their sharing
+    best = counts.groupBy("pos").agg(F.min(F.when(F.col("lbl").isNotNull(), F.struct("n", "lbl"))).alias("m"))
+    return best.where(F.col("m").isNotNull()).select("pos", F.col("m.lbl").alias("answer"), F.col("m.n").alias("value"))
 
 
 def t28_sql(loc="city", pm="pm25", positions=SIX):

@@ -56,6 +56,35 @@ def nth(df: DataFrame, keys: Sequence[Key], positions: Sequence[int],
     return res
 
 
+def nth_of_counts(df: DataFrame, keys: Sequence[Key], positions: Sequence[int],
+                  out: Sequence[str | Column], times: str | None = None) -> DataFrame:
+    """``nth`` where rows alike in ``keys`` are interchangeable: they are counted
+    first (map-side, then by one shuffle that both directions read), so ``df`` is
+    read once. The ends of a ranking need at most as many counts as positions; a
+    count stands for that many places. ``times``: a column of counts that ``df``
+    already has. ``out`` uses the columns of ``keys``."""
+    names = [c for c, _ in keys]
+    n = F.count(F.lit(1)) if times is None else F.sum(times)
+    counts = df.groupBy(*names).agg(n.alias("times"))
+    parts = []
+    for wanted, order, forward in ((sorted({p for p in positions if p >= 0}), _fwd(keys), True),
+                                   (sorted({-p for p in positions if p < 0}), _rev(keys), False)):
+        if not wanted:
+            continue
+        top = counts.orderBy(*order).limit(max(wanted) + forward)
+        end = F.sum("times").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        # places from this end, counted from 0 forward and from 1 backward
+        places = F.array(*[F.lit(w) for w in wanted])
+        first = F.col("end") - F.col("times") + (0 if forward else 1)
+        top = top.withColumn("end", end).withColumn("place", F.explode(F.filter(
+            places, lambda w: (w >= first) & (w < first + F.col("times")))))
+        parts.append(top.select((F.col("place") if forward else -F.col("place")).cast("int").alias("pos"), *out))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
 def top_k(df: DataFrame, keys: Sequence[Key], k: int) -> DataFrame:
     """``sort_values(...).head(k)`` -- the first k rows of the sorted list."""
     return df.orderBy(*_fwd(keys)).limit(k)

@@ -85,6 +85,8 @@ class Tables:
     spark: SparkSession
     sf_dir: str
     _frames: dict = field(default_factory=dict)
+    _paths: dict = field(default_factory=dict)
+    _years: tuple[int, ...] | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, readings: DataFrame, states: DataFrame | None = None,
@@ -133,6 +135,21 @@ class Tables:
     def readings(self) -> DataFrame:
         return self._materialised("readings", build_readings, partition_by="year")
 
+    @property
+    def stored_years(self) -> tuple[int, ...]:
+        """The years of the stored readings, by the names of their folders; none
+        for the caller's own frames, whose layout is not known."""
+        if "readings" in self._frames and "readings" not in self._paths:
+            return ()
+        self.readings
+        if self._years is None:
+            p, fs = _hadoop_fs(self.spark, self._paths["readings"])
+            names = [st.getPath().getName() for st in fs.listStatus(p)]
+            years = [n.removeprefix("year=") for n in names if n.startswith("year=")]
+            # readings without a time are in no year, and no month holds them
+            self._years = tuple(sorted(int(y) for y in years if y.isdigit()))
+        return self._years
+
     @property
     def states(self) -> DataFrame:
         return self._materialised("states", build_states)
@@ -179,6 +196,7 @@ class Tables:
             path = published(self.spark, f"{root}/{name}", build)
         df = self.spark.read.parquet(path)
         self._frames[name] = df
+        self._paths[name] = path
         return df
 
 
