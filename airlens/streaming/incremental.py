@@ -8,13 +8,16 @@ own folder, so nothing counts twice. The reductions are associative, and the
 reader finishes them over all batches. No watermark drops anything: a bulletin
 or reading that arrives years late changes its day like any other.
 
-The checkpoint belongs to the input snapshot: a run that stopped is taken up
-where it stood, and a finished one has nothing left to do.
+A sink belongs to its caller: ``bulletin_stream`` and ``exceedance_stream`` on the
+sink of an earlier run take up where it stood, or find nothing left to do. The
+queries S1 and S2 stream the whole snapshot into a sink of their own each time, so
+that a query is always the whole work, and sessions cannot meet in one checkpoint.
 """
 
 from __future__ import annotations
 
 import threading
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,9 +66,14 @@ def exceedance_stream(spark, readings_dir: str, sink: str, limit: float = 15.0,
             .agg(F.sum("n").alias("n_exceed")))
 
 
+def fresh_sink(t, name: str) -> str:
+    return _dir(t, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
 def landed(t, name: str, build, order: str) -> str:
     """The arrival folder of a stream input, landed once per snapshot by one write,
-    each file a stretch of time."""
+    each file a stretch of time. If two sessions land it at once there are two
+    folders alike, and either serves."""
     return published(t.spark, _dir(t, name), lambda folder: build().repartitionByRange(order)
                      .write.parquet(folder))
 
@@ -75,7 +83,7 @@ def s1(t):
     excluded city included."""
     with _LOCK:
         cells_dir = landed(t, "s1_cells", lambda: b._all_cells(t), "date")
-        first = bulletin_stream(t.spark, cells_dir, _dir(t, "s1"))
+    first = bulletin_stream(t.spark, cells_dir, fresh_sink(t, "s1"))
     good, _ = b.with_state(first, b._all_city_states(t))
     return good.select("date", "city", "state", "aqi", "pollutant", "quality", "n_stations")
 
@@ -87,7 +95,7 @@ def s2(t):
     with _LOCK:
         src_dir = landed(t, "s2_readings", lambda: t.readings.select(
             "ts", "station", "city", "state", "pm25", "pm10"), "ts")
-        return exceedance_stream(t.spark, src_dir, _dir(t, "s2"))
+    return exceedance_stream(t.spark, src_dir, fresh_sink(t, "s2"))
 
 
 S2_SQL = ("select cast(ts as date) as date, city, count(*) as n_exceed from readings "
