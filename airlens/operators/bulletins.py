@@ -239,16 +239,18 @@ def last_per_table_records(cells: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.transform("records", lambda x, i: F.struct(
         x["key"].alias("key"), i.alias("i"), x.alias("rec"))))
     none = F.slice(F.array(F.lit(None).cast("string")), 1, 1)
-    keys = F.transform(ordered, lambda x: x["key"])
+    keys = F.transform("ordered", lambda x: x["key"])
     # the key one place before and after: a shifted copy, so the arrays meet by place
     n = F.size("records")
-    before = F.concat(none, F.slice(keys, 1, F.greatest(n - 1, F.lit(0))))
-    after = F.concat(F.slice(keys, 2, F.greatest(n - 1, F.lit(0))), none)
-    mark = lambda shifted: F.filter(F.zip_with(ordered, F.slice(shifted, 1, n), lambda x, k: F.struct(
+    before = F.concat(none, F.slice("keys", 1, F.greatest(n - 1, F.lit(0))))
+    after = F.concat(F.slice("keys", 2, F.greatest(n - 1, F.lit(0))), none)
+    mark = lambda shifted: F.filter(F.zip_with("ordered", F.slice(shifted, 1, n), lambda x, k: F.struct(
         x.alias("x"), (x["key"] != k).alias("differs"))), lambda z: F.coalesce(z["differs"], F.lit(True)))
     kept = F.zip_with(mark(before), mark(after),
                       lambda first, last: last["x"]["rec"].withField("pos", first["x"]["i"]))
-    e = _exploded(parse_tables(cells), kept)
+    # columns of their own, so a page is sorted once
+    parsed = parse_tables(cells).withColumn("ordered", ordered).withColumn("keys", keys)
+    e = _exploded(parsed, kept)
     return e.select("date", "page", "layout", F.col("r.pos").alias("pos"),
                     F.col("r.key").alias("city_raw"), F.col("r.aqi").alias("aqi"),
                     F.col("r.pollutant").alias("pollutant"), F.col("r.quality").alias("quality"),

@@ -23,7 +23,7 @@ def scans_of_readings(plan: str) -> int:
 
 @pytest.mark.parametrize("name, build", [
     ("G10", blocks.g10), ("T4", catalog.t4), ("T8", catalog.t8), ("T9", catalog.t9),
-    ("T12", catalog.t12), ("T28", catalog.t28),
+    ("T28", catalog.t28),
     ("T27", lambda t: catalog.t27(t, city=t.readings.select(F.min("city")).first()[0], last_years=9))])
 def test_readings_are_read_once(spark, name, build):
     plan = final_plan(build(tables(spark, SF_SMALL)))
