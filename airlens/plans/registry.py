@@ -40,12 +40,12 @@ def _catalog() -> dict[str, Entry]:
 
 def _modules() -> list[dict[str, Entry]]:
     regs = [_catalog()]
-    from airlens.operators import (blocks, bulletins, changes, corpus, evaluation, examples, lattice, relational,
+    from airlens.operators import (blocks, bulletins, changes, corpus, evaluation, examples, lattice, relational, sketches,
                                    temporal)
     from airlens.sources import files
     from airlens.streaming import incremental
     for mod in (examples, evaluation, corpus, bulletins, relational, blocks, files, incremental,
-                temporal, lattice, changes):
+                temporal, lattice, changes, sketches):
         regs.append(mod.registry())
     return regs
 

@@ -73,7 +73,12 @@ def fresh_sink(t, name: str) -> str:
 def landed(t, name: str, build, order: str) -> str:
     """The arrival folder of a stream input, landed once per snapshot by one write,
     each file a stretch of time. If two sessions land it at once there are two
-    folders alike, and either serves."""
+    folders alike, and either serves. The caller's own frames have no snapshot to
+    name them by, so they land anew each time."""
+    if not t.sf_dir:
+        folder = fresh_sink(t, name)
+        build().repartitionByRange(order).write.parquet(folder)
+        return folder
     return published(t.spark, _dir(t, name), lambda folder: build().repartitionByRange(order)
                      .write.parquet(folder))
 

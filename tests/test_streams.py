@@ -32,3 +32,15 @@ def test_a_sink_resumes_and_late_rows_count(spark, tmp_path):
     want = [("2020-01-01", "b", 1), ("2020-01-05", "a", 2)]
     assert _rows(inc.exceedance_stream(spark, src, sink)) == want
     assert _rows(inc.exceedance_stream(spark, src, sink)) == want
+
+
+def test_own_frames_do_not_share_what_is_stored(spark):
+    from airlens.operators import sketches
+    from airlens.sources.tables import Tables
+    for n in (1, 3):
+        r = spark.createDataFrame([("2020-01-01 10:00:00", "st", "a", "S", 20.0 * n, 1.0)] * n,
+                                  "ts string, station string, city string, state string, pm25 double, pm10 double")
+        t = Tables.of(spark, r.withColumn("ts", F.to_timestamp_ntz("ts")))
+        assert _rows(inc.s2(t)) == [("2020-01-01", "a", n)]
+        got = sketches.k4(t).first()
+        assert got["n"] == n and abs(got["median"] - 20 * n) <= sketches.ERROR * 20 * n
