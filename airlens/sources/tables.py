@@ -41,7 +41,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-STORE_VERSION = "4"  # bump when a stored table's layout or derivation changes
+STORE_VERSION = "5"  # bump when a stored table's layout or derivation changes
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
@@ -216,37 +216,57 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
 # Builders (Spark jobs that derive the reference tables from the base tables)
 # ---------------------------------------------------------------------------
 
+ROWS_A_TASK = 600_000     # readings that one task sorts (about 100 MB)
+
+
+def tasks_for(rows: DataFrame, rows_a_task: int = ROWS_A_TASK) -> int:
+    """Tasks of a shuffle of these rows: the session's number, more if they would get too many rows.
+
+    Rows of stored tables are counted from the Parquet footers. With a fixed number the
+    rows of a task grow with the input, and sorts spill as soon as they do not fit.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-rows.count() // rows_a_task))
+
+
 def build_readings(t: Tables) -> DataFrame:
     """Daily station readings: lineitem x orders x customer x nation.
 
     The dimension side (customer x nation) is joined to orders first; the
     single lineitem shuffle is on ``l_orderkey``. The output is range-clustered
-    on ``ts`` so files and row groups hold narrow time spans.
+    on ``ts`` so files and row groups hold narrow time spans. What can be derived
+    from other columns (city, year) is, after the last shuffle.
     """
     nation = t.nation.select("n_nationkey", "n_name")
     customer = t.customer.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     orders = t.orders.select("o_orderkey", "o_custkey")
-    lineitem = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity",
-                                 "l_extendedprice", "l_shipdate")
-    cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-    ord_loc = orders.join(cust, orders.o_custkey == cust.c_custkey)
-    rows = lineitem.join(ord_loc, lineitem.l_orderkey == ord_loc.o_orderkey)
-    out = rows.select(
-        F.col("l_shipdate").alias("ts"),
-        F.col("c_name").alias("station"),
-        F.concat(F.col("n_name"), F.lit("/"), F.col("c_mktsegment")).alias("city"),
-        F.col("n_name").alias("state"),
-        F.when(F.col("l_linenumber") == 7, F.lit(None).cast("double"))
-         .otherwise(F.col("l_quantity")).alias("pm25"),
-        (F.col("l_extendedprice") / 1000).alias("pm10"),
-    )
     # NaN means "missing" in the reference's float columns: store it as NULL.
-    for c in ("pm25", "pm10"):
-        out = out.withColumn(c, F.when(F.isnan(c), None).otherwise(F.col(c)))
-    out = out.withColumn("year", F.year("ts"))
+    pm25 = F.when(F.col("l_linenumber") == 7, F.lit(None).cast("double")).otherwise(F.col("l_quantity"))
+    pm10 = F.col("l_extendedprice") / 1000
+    lineitem = t.lineitem.select("l_orderkey", F.col("l_shipdate").alias("ts"), *[
+        F.when(F.isnan(c), None).otherwise(c).alias(name) for name, c in (("pm25", pm25), ("pm10", pm10))])
+    n = tasks_for(t.lineitem)
+    more = n > int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    if more:
+        lineitem = lineitem.repartition(n, "l_orderkey")
+    if more and t.customer.count() > ROWS_A_TASK:
+        orders, customer = orders.repartition(n, "o_custkey"), customer.repartition(n, "c_custkey")
+    cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
+    ord_loc = orders.join(cust, orders.o_custkey == cust.c_custkey).select(
+        "o_orderkey", "c_name", "c_mktsegment", "n_name")
+    if more:
+        ord_loc = ord_loc.repartition(n, "o_orderkey")
+    rows = lineitem.join(ord_loc, lineitem.l_orderkey == ord_loc.o_orderkey).select(
+        "ts", "c_name", "c_mktsegment", "n_name", "pm25", "pm10")
     # range-cluster on time; the row hash splits a hot day across partitions
-    return (out.repartitionByRange(F.col("ts"), F.xxhash64("station", "city", "pm25", "pm10"))
-            .sortWithinPartitions("ts"))
+    keys = (F.col("ts"), F.xxhash64("c_name", "n_name", "c_mktsegment", "pm25", "pm10"))
+    dealt = rows.repartitionByRange(n, *keys) if more else rows.repartitionByRange(*keys)
+    # in the order that the writer needs for its folders, so that it does not sort again
+    return dealt.select(
+        "ts", F.col("c_name").alias("station"),
+        F.concat(F.col("n_name"), F.lit("/"), F.col("c_mktsegment")).alias("city"),
+        F.col("n_name").alias("state"), "pm25", "pm10", F.year("ts").alias("year"),
+    ).sortWithinPartitions("year", "ts")
 
 
 def build_states(t: Tables) -> DataFrame:
