@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlens.plans.registry import Entry
+from airlens.sources.tables import tasks_for
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's): header rows of each layout,
@@ -345,8 +346,10 @@ EPOCH = "1995-01-01"
 
 def source_city_days(t) -> DataFrame:
     """City-day aggregates the bulletins report (from readings)."""
-    r = t.readings
-    g = r.groupBy(F.to_date("ts").alias("d"), "city").agg(
+    # dealt by the key before the stations are counted: a scan's task may have tens of millions
+    # of readings, nearly as many (day, city, station), and would hold them all
+    r = t.readings.select(F.to_date("ts").alias("d"), "city", "state", "station", "pm25", "pm10")
+    g = r.repartition(tasks_for(t.readings), "d", "city").groupBy("d", "city").agg(
         F.max("state").alias("state"), F.avg("pm25").alias("a25"), F.avg("pm10").alias("a10"),
         F.count_distinct("station").alias("n_st"))
     aqi = F.round(F.greatest(F.coalesce(F.col("a25") * 4, F.lit(0.0)),
