@@ -1,13 +1,13 @@
 """Answers to all variants of many template shapes in one job, and cubes, by a lattice of partial aggregates.
 
-The readings are read and aggregated once, to the finest cells (station, city,
-state, year, month, weekday) with mergeable partials (count, sum, least, greatest).
-Coarser cells come from finer ones: city cells from station cells, state cells from
-city cells, time cells from state cells. A shape of question is a row of a parameter
-table for one level: what it ranks (its label) and what its variants fix (its scope).
-Each cell adds its partials to the variants of its level's shapes; every variant's
-places from both ends are a ``row_number() <= k`` that Spark limits before the
-shuffle, so no variant's labels are sorted whole.
+Cells hold mergeable partials (count, sum, least, greatest). Station cells would be
+nearly as many as the readings, so the station shapes come from the readings dealt
+by station, each aggregated in place; city cells come from the readings, merged before
+the shuffle; state cells from city cells, time cells from state cells. A shape of
+question is a row of a parameter table for one level: what it ranks (its label) and
+what its variants fix (its scope). Each cell adds its partials to the variants of its
+level's shapes. Of every variant's labels a task keeps the places from both ends
+of each statistic, so what is shuffled and sorted are these few.
 
 Sums are decimals of six places, so they are exact and the order in which partials
 are merged changes no answer.
@@ -15,11 +15,16 @@ are merged changes no answer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airlens.sources.tables import tasks_for
 
 POLLUTANTS = ("pm25", "pm10")
 STATS = ("mean", "max", "min", "n")
@@ -43,22 +48,30 @@ SHAPES["time"] = [("year_by_all", "year", ()), ("year_by_month", "year", ("month
                   ("season_by_year", "season", ("year",))]
 
 _TIME = ["year", "month", "season", "weekday"]
-_LEVELS = {"station": ["station", "city", "state", *_TIME], "city": ["city", "state", *_TIME],
-           "state": ["state", *_TIME], "time": _TIME}
+_LEVELS = {"city": ["city", "state", *_TIME], "state": ["state", *_TIME], "time": _TIME}
 _MERGE = {"n": F.sum, "s": F.sum, "lo": F.min, "hi": F.max}
+ROWS_A_TASK = 150_000     # readings that a task has by station, about as many cells for each of the six shapes
+MOST = 1 << 20            # rows a task holds at most
 
 
-def finest(readings: DataFrame) -> DataFrame:
-    """Partials of every (station, city, state, year, month, weekday), in one pass."""
+def dated(readings: DataFrame) -> DataFrame:
+    """The readings with the columns that cells are made by, their values exact."""
     month = F.month("ts")
     season = F.lit(None).cast("string")
     for name, months in SEASONS.items():
         season = F.when(month.isin(*months), name).otherwise(season)
-    exact = {p: F.col(p).cast(EXACT) for p in POLLUTANTS}
-    parts = [c for p, x in exact.items() for c in (
-        F.count(x).alias(f"{p}_n"), F.sum(x).alias(f"{p}_s"), F.min(x).alias(f"{p}_lo"), F.max(x).alias(f"{p}_hi"))]
-    return readings.groupBy("station", "city", "state", F.year("ts").alias("year"), month.alias("month"),
-                            season.alias("season"), F.dayofweek("ts").alias("weekday")).agg(*parts)
+    place = [c for c in ("station", "city", "state") if c in readings.columns]
+    exact = readings.select(*place, F.year("ts").alias("year"), month.alias("month"), season.alias("season"),
+                            F.dayofweek("ts").alias("weekday"), *[F.col(p).cast(EXACT).alias(f"{p}_x") for p in POLLUTANTS])
+    # rounded once: the least and greatest of these are those of the exact values
+    return exact.select("*", *[F.col(f"{p}_x").cast("double").alias(f"{p}_d") for p in POLLUTANTS])
+
+
+def cells(rows: DataFrame, keys: list) -> DataFrame:
+    """Partials of every combination of the keys, from dated readings."""
+    return rows.groupBy(*keys).agg(*[c for p in POLLUTANTS for c in (
+        F.count(f"{p}_x").alias(f"{p}_n"), F.sum(f"{p}_x").alias(f"{p}_s"),
+        F.min(f"{p}_d").alias(f"{p}_lo"), F.max(f"{p}_d").alias(f"{p}_hi"))])
 
 
 def merged(cells: DataFrame, keys: list) -> DataFrame:
@@ -70,21 +83,132 @@ def _text(names) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]) if names else F.lit("")
 
 
+_YEAR0 = 300_000          # added to a year; 0 is none
+_BITS = {"year": 16, "month": 12, "season": 8, "weekday": 4}     # where each is in a scope's number, the shape above
+
+
+def _numbered(i: int, scope: tuple[str, ...]) -> Column:
+    """The number of the variant of station shape ``i`` that a reading is in."""
+    season = F.coalesce(F.array_position(F.array(*map(F.lit, SEASONS)), F.col("season")), F.lit(0))
+    of = {"year": F.coalesce(F.col("year") + _YEAR0, F.lit(0)), "month": F.coalesce("month", F.lit(0)),
+          "season": season, "weekday": F.coalesce("weekday", F.lit(0))}
+    return reduce(lambda n, c: n + F.shiftleft(of[c].cast("long"), _BITS[c]), scope, F.lit(i << 40).cast("long"))
+
+
+def _named(v: DataFrame) -> DataFrame:
+    """``v`` with shape and scope for the number ``k``."""
+    part = {c: F.shiftright("k", n).bitwiseAND(0xFFFFF if c == "year" else 0xF) for c, n in _BITS.items()}
+    season = F.get(F.array(F.lit(None).cast("string"), *map(F.lit, SEASONS)), part["season"].cast("int"))
+    of = {c: F.when(x > 0, x - _YEAR0 if c == "year" else x) for c, x in part.items()} | {"season": season}
+    v = v.select("*", *[of[c].alias(c) for c in _TIME])
+    shape, scope = F.lit(None).cast("string"), F.lit("")
+    for i, (name, _, names) in enumerate(SHAPES["station"]):
+        here = F.shiftright("k", 40) == i
+        shape, scope = F.when(here, name).otherwise(shape), F.when(here, _text(names)).otherwise(scope)
+    return v.select(shape.alias("shape"), scope.alias("scope"), "pollutant", "stat", "value", "label")
+
+
+def station_variants(readings: DataFrame, tasks: int) -> DataFrame:
+    """(k, label) with the partials of the station shapes: the only shuffle deals the readings by station."""
+    rows = dated(readings.where(F.col("station").isNotNull()).select("station", "ts", *POLLUTANTS)
+                 .repartition(tasks, "station"))
+    k = F.explode(F.array(*[_numbered(i, scope) for i, (_, _, scope) in enumerate(SHAPES["station"])]))
+    return (cells(rows.select("station", *[f"{p}_{x}" for p in POLLUTANTS for x in "xd"], k.alias("k")), ["station", "k"])
+            .withColumn("label", F.col("station").cast("string")).drop("station"))
+
+
 def variants(readings: DataFrame) -> DataFrame:
-    """(shape, scope, label) with the merged partials: one row per label of every variant."""
-    cells, out = finest(readings), []
+    """(shape, scope, label) with the merged partials of the other levels: one row per label of every variant."""
+    parts, out = None, []
     for level, keys in _LEVELS.items():
-        if level != "station":
-            cells = merged(cells, keys)
+        parts = cells(dated(readings.drop("station")), keys) if parts is None else merged(parts, keys)
         rows = F.explode(F.array(*[F.struct(F.lit(n).alias("shape"), _text(scope).alias("scope"),
                                             F.col(label).cast("string").alias("label"))
                                    for n, label, scope in SHAPES[level]]))
-        v = cells.withColumn("v", rows).select("v.*", *[c for c in cells.columns if "_" in c])
+        v = parts.withColumn("v", rows).select("v.*", *[c for c in parts.columns if "_" in c])
         out.append(merged(v.where(F.col("label").isNotNull()), ["shape", "scope", "label"]))
     return reduce(DataFrame.unionByName, out)
 
 
-def answers(readings: DataFrame, places: int = PLACES) -> DataFrame:
+_RANKED = [(p, s) for p in POLLUTANTS for s in STATS]
+
+
+def _rank(label: pa.Array) -> np.ndarray:
+    return pc.rank(label, sort_keys="ascending", tiebreaker="dense").to_numpy()
+
+
+def _sorted_ends(g: np.ndarray, x: np.ndarray, rank: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the places at both ends of each group, in order; where each group begins in them)."""
+    order = np.lexsort((rank, x, g))
+    start = np.r_[0, np.flatnonzero(np.diff(g[order])) + 1]
+    size = np.diff(np.r_[start, len(order)])
+    at = np.arange(len(order)) - np.repeat(start, size)
+    order = order[(at < places) | (at >= np.repeat(size, size) - places)]
+    return order, np.r_[0, np.flatnonzero(np.diff(g[order])) + 1]
+
+
+def _both_ends(places: int):
+    """Of the labels of each variant ``k`` in a task those at both ends of every statistic.
+
+    Once a group has enough, a value beyond its last place at both ends is passed over.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: dict = {}
+        low, high = np.empty((len(_RANKED), 0)), np.empty((len(_RANKED), 0))
+        first = True
+        held: list[list] = [[] for _ in _RANKED]     # (group, value, label) of each statistic
+
+        def limited(j: int) -> None:
+            g, x = (np.concatenate([h[k] for h in held[j]]) for k in (0, 1))
+            label = pa.concat_arrays([h[2] for h in held[j]])
+            keep, start = _sorted_ends(g, x, _rank(label), places)
+            g, x = g[keep], x[keep]
+            held[j] = [(g, x, label.take(pa.array(keep)))]
+            enough = np.diff(np.r_[start, len(g)]) >= places
+            low[j, g[start[enough]]] = x[start[enough] + places - 1]
+            last = np.r_[start[1:], len(g)][enough]
+            high[j, g[start[enough]]] = x[last - places]
+
+        def told() -> Iterator[pa.RecordBatch]:
+            names = np.array(list(ids))
+            for j, (p, s) in enumerate(_RANKED):
+                if held[j]:
+                    limited(j)
+                    g, x, label = held[j][0]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[g].tolist()), pa.array([p] * len(g), pa.string()),
+                         pa.array([s] * len(g), pa.string()), pa.array(x, mask=np.isinf(x)), label],
+                        names=["k", "pollutant", "stat", "value", "label"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("k").dictionary_encode()
+            g = np.array([ids.setdefault(k, len(ids)) for k in key.dictionary.to_pylist()])[key.indices.to_numpy()]
+            new = len(ids) - low.shape[1]
+            low = np.concatenate([low, np.full((len(_RANKED), new), np.inf)], axis=1)
+            high = np.concatenate([high, np.full((len(_RANKED), new), -np.inf)], axis=1)
+            label = batch.column("label")
+            rank = _rank(label)
+            for j, (p, s) in enumerate(_RANKED):
+                # one without a value comes last
+                x = pc.fill_null(batch.column(f"{p}_{s}"), np.inf).to_numpy()
+                at = np.flatnonzero((x <= low[j, g]) | (x >= high[j, g]))
+                if not len(at):
+                    continue
+                at = at[_sorted_ends(g[at], x[at], rank[at], places)[0]]
+                held[j].append((g[at], x[at], label.take(pa.array(at))))
+                if first or len(held[j]) > 8:
+                    limited(j)
+            first = False
+            if sum(len(h[0]) for hs in held for h in hs) > MOST:
+                yield from told()
+                held = [[] for _ in _RANKED]
+        yield from told()
+    return run
+
+
+def answers(readings: DataFrame, places: int = PLACES, tasks: int | None = None) -> DataFrame:
     """shape, scope, pollutant, stat, pos, answer, value: the labels at both ends of every variant.
 
     Labels are ordered by the value, then by name; one without a reading has no mean, greatest or least value and comes last.
@@ -92,21 +216,30 @@ def answers(readings: DataFrame, places: int = PLACES) -> DataFrame:
     def stat(p, s):
         n = F.col(f"{p}_n")
         return {"mean": F.when(n > 0, F.col(f"{p}_s").cast("double") / n), "max": F.col(f"{p}_hi"),
-                "min": F.col(f"{p}_lo"), "n": n.cast("double")}[s]
+                "min": F.col(f"{p}_lo"), "n": n}[s].cast("double").alias(f"{p}_{s}")
 
-    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("pollutant"), F.lit(s).alias("stat"),
-                                        stat(p, s).cast("double").alias("value"))
-                               for p in POLLUTANTS for s in STATS]))
-    v = variants(readings).select("shape", "scope", "label", rows.alias("r")).select("shape", "scope", "label", "r.*")
+    tasks = tasks or tasks_for(readings, ROWS_A_TASK)
     key = ["shape", "scope", "pollutant", "stat"]
-    ends = ((Window.partitionBy(*key).orderBy(F.col("value").asc_nulls_last(), F.col("label").asc()), 1),
-            (Window.partitionBy(*key).orderBy(F.col("value").desc_nulls_first(), F.col("label").desc()), -1))
-    out = []
-    for w, sign in ends:
-        top = v.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= places)
-        pos = F.col("rn") - 1 if sign > 0 else -F.col("rn")
-        out.append(top.select(*key, pos.cast("int").alias("pos"), F.col("label").alias("answer"), "value"))
-    return out[0].unionAll(out[1])
+
+    def ends(v, kind):
+        return v.select("k", "label", *[stat(p, s) for p, s in _RANKED]).mapInArrow(
+            _both_ends(places), f"k {kind}, pollutant string, stat string, value double, label string")
+
+    stations = _named(ends(station_variants(readings, tasks), "long"))
+    # a shape's name has no bar
+    others = ends(variants(readings).withColumn("k", F.concat("shape", F.lit("|"), "scope")), "string")
+    others = others.withColumn("shape", F.substring_index("k", "|", 1)).withColumn(
+        "scope", F.substr("k", F.length("shape") + 2)).drop("k")
+    few = stations.unionByName(others)
+    # of each variant 2 * places a task, each label once
+    ranked = F.sort_array(F.collect_set(F.struct(F.col("value").isNull().alias("none"), "value", "label")))
+    n = F.size("a")
+    up = F.transform(F.slice("a", 1, places), lambda x, i: F.struct(i.alias("pos"), x.alias("x")))
+    down = F.transform(F.slice(F.reverse("a"), 1, places), lambda x, i: F.struct((-1 - i).alias("pos"), x.alias("x")))
+    return (few.groupBy(*key).agg(ranked.alias("a")).where(n > 0)
+            .select(*key, F.explode(F.concat(up, down)).alias("r"))
+            .select(*key, F.col("r.pos").cast("int").alias("pos"), F.col("r.x.label").alias("answer"),
+                    F.col("r.x.value").alias("value")))
 
 
 def v1(t):
@@ -150,13 +283,14 @@ def cube(readings: DataFrame) -> DataFrame:
     """Every grouping set of state, city, year and pollutant, from one table of partials.
 
     The sets are made of the finest partials, one row per state, city, year and
-    pollutant, so what is copied per set does not grow with the readings of a cell.
+    pollutant, so what is copied per set does not grow with the readings of a cell,
+    and a task holds as many cells as there are, whatever the number of stations.
     """
-    cells = merged(finest(readings), ["state", "city", "year"])
+    parts = cells(dated(readings.drop("station")), ["state", "city", "year"])
     long = F.explode(F.array(*[F.struct(F.lit(p).alias("pollutant"), F.col(f"{p}_n").alias("n"),
                                         F.col(f"{p}_s").alias("s"), F.col(f"{p}_hi").alias("hi"))
                                for p in POLLUTANTS]))
-    return (cells.select("state", "city", "year", long.alias("l")).select("state", "city", "year", "l.*")
+    return (parts.select("state", "city", "year", long.alias("l")).select("state", "city", "year", "l.*")
             .cube("state", "city", "year", "pollutant")
             .agg(F.grouping_id().cast("bigint").alias("gid"), F.sum("n").alias("n"), F.sum("s").alias("s"),
                  F.max("hi").alias("hi")))
