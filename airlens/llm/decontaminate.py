@@ -23,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlens.llm.common import ALNUM, mix64, slices, unused, utf8, word_hashes
+from airlens.llm.common import ALNUM, mix64, returning, slices, unused, utf8, word_hashes
 from airlens.session import ensure_checkpoint_dir
 
 WINDOW = 10
 KGRAM = 5
 BLOCK_WINDOWS = 1 << 20
+SLICE = 2 << 20           # bytes of text looked through at a time
 
 _STEP = mix64(np.arange(101, 101 + 64, dtype=np.uint64))
 
@@ -133,7 +134,7 @@ def _finder(table):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
         for batch in batches:
-            for part in slices(batch):
+            for part in returning(slices(batch, most=SLICE)):
                 h, at = word_hashes(*utf8(part.column("text")), ALNUM)
                 n = part.num_rows
                 spans: dict[int, list] = {}

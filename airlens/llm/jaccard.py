@@ -280,7 +280,7 @@ def _elements(rows: DataFrame, light: DataFrame, sids: DataFrame, k: int, pack=n
 def _overlaps(percent):
     """Exact test of (a, x, b, y): 100 * intersection >= percent * union."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in returning(batches):
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -323,7 +323,7 @@ def _bytes2d(values: list[bytes]) -> np.ndarray:
 def _sift(percent):
     """Pairs whose bitmaps allow enough overlap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in returning(batches):
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
             ba, bb = batch.column("ba").to_pylist(), batch.column("bb").to_pylist()
             keep = np.zeros(batch.num_rows, bool)
@@ -442,7 +442,7 @@ def _cells(percent, nearest):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
+        for batch in returning(batches):
             if not batch.num_rows:
                 continue
             held = batch if held is None else pa.concat_batches([held, batch])

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlens.llm.common import slices
+from airlens.llm.common import returning, slices
 from airlens.session import ensure_checkpoint_dir
 
 BUCKETS = 1 << 15
@@ -103,7 +103,7 @@ def held_out(doc_id: Column) -> Column:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(BUCKETS + 1, np.int64), 0
     for batch in batches:
-        for part in slices(batch, most=1 << 20):
+        for part in returning(slices(batch, most=1 << 20)):
             n += part.num_rows
             now, seen = -1, np.zeros(BUCKETS + 1, bool)
             for b, offs, own in grams_of(_texts(part)):
@@ -122,7 +122,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.int32())
     for batch in batches:
-        for part in slices(batch, most=1 << 20):
+        for part in returning(slices(batch, most=1 << 20)):
             sums = [np.zeros(BUCKETS + 1, np.int64)] * part.num_rows
             for b, offs, own in grams_of(_texts(part)):
                 for r, i in enumerate(own.tolist()):
@@ -280,7 +280,7 @@ def _predictor(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for part in slices(batch, most=1 << 19):
+            for part in returning(slices(batch, most=1 << 19)):
                 lang, score = m.predict(_texts(part))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array(lang, pa.string()),
@@ -312,7 +312,7 @@ def identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for part in slices(batch, most=1 << 19):
+            for part in returning(slices(batch, most=1 << 19)):
                 lang, score, known = m.told(_texts(part))
                 yield part.filter(pa.array([bool(a != "und" and b >= least and c)
                                             for a, b, c in zip(lang, score, known)], pa.bool_()))

@@ -1,3 +1,5 @@
+import importlib
+import inspect
 import zlib
 from collections import Counter
 
@@ -159,3 +161,13 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
         assert out.columns == docs.columns
         got = [r.asDict() for r in out.collect()]
         assert got and all([r[n] for n in NAMES] == list(range(len(NAMES))) for r in got)
+
+
+@pytest.mark.parametrize("module, name", [("langid", "_frequencies"), ("langid", "_counts"), ("langid", "_predictor"),
+                                          ("langid", "identified"), ("decontaminate", "_finder"), ("jaccard", "_overlaps"),
+                                          ("jaccard", "_sift"), ("jaccard", "_cells")])
+def test_steps_give_freed_memory_back(module, name):
+    """Workers serve every stage, so each step has to return what it frees."""
+    step = getattr(importlib.import_module(f"airlens.llm.{module}"), name)
+    assert "returning(" in inspect.getsource(step)
+
