@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlens.llm.common import find_words, partitions, returning, scratch, slices, utf8
+from airlens.llm.common import find_words, kept, partitions, returning, scratch, slices, utf8
 
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = 60 // COUNTS
@@ -40,7 +40,7 @@ BLOCK_IDS = 1 << 17
 END_ID = 1
 _CHUNKS_MAX = 600_000
 _STEMS_MAX = 150_000      # a chunk's ids are kept with it; stems serve chunks that differ in marks only
-SLICE = 4 << 20           # bytes of text encoded at a time
+SLICE = 2 << 20           # bytes of text encoded at a time
 
 _MARKS = b".,;:!?|)*$&%#"
 _BITS = np.array([max(1, x.bit_length()) for x in range(1 << 16)], np.uint8)
@@ -225,15 +225,6 @@ class ChunkEncoder:
         return out, bounds
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def _encoder(file: str) -> ChunkEncoder:
-    if file not in _encoders:
-        _encoders[file] = ChunkEncoder(file)
-    return _encoders[file]
-
-
 def _block(part, block, start, doc_ids, lengths, ids, kind) -> pa.RecordBatch:
     words, offs, escapes = encode_runs(ids)
     one = [part, block, start, doc_ids, lengths, offs, words.astype("<u8").tobytes(), escapes]
@@ -250,13 +241,14 @@ def _writer(file: str | None, end_id: int | None, block_ids: int):
 
         from airlens.llm.tokens import vocabulary
         part = TaskContext.get().partitionId()
-        enc = _encoder(file or vocabulary("word_bpe_49k.json"))
+        name = file or vocabulary("word_bpe_49k.json")
+        enc = kept(name, lambda: ChunkEncoder(name))
         end = np.array([] if end_id is None else [end_id], "<u4")
         block = start = held = 0
         docs, parts, size = [], [], []
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            for piece in returning(slices(batch, most=SLICE)):
+            for piece in returning(slices(batch, most=SLICE), keep=name):
                 ids, at = enc.ids(*utf8(piece.column("text")))
                 n = np.diff(at) + len(end)
                 names = piece.column("doc_id").to_pylist()

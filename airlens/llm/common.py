@@ -214,14 +214,25 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20):
 
 
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc only
+_kept: dict[str, object] = {}
 
 
-def returning(parts):
+def kept(name: str, make):
+    """What a worker keeps from task to task under this name (an encoder and its caches), made when it is missing."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def returning(parts, keep: str | None = None):
     """The parts of a batch; after each, memory that the worker has freed goes back to the system.
 
     Arrow's pool and the C heap keep it otherwise, for as long as the worker is used,
-    so that an executor holds the peaks of all its workers' earlier steps at once.
+    so that an executor holds the peaks of all its workers' earlier steps at once. For
+    the same reason what other steps have ``kept`` is let go first, all but ``keep``.
     """
+    for name in [k for k in _kept if k != keep]:
+        del _kept[name]
     for part in parts:
         yield part
         pa.default_memory_pool().release_unused()

@@ -2,13 +2,16 @@ import importlib
 import inspect
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from airlens.llm import langid
+from airlens.llm import binary, common, jaccard, langid
 from airlens.llm.common import scratch
 from tests.conftest import SF_SMALL
 from tests.llm import helpers as H
@@ -171,3 +174,27 @@ def test_steps_give_freed_memory_back(module, name):
     step = getattr(importlib.import_module(f"airlens.llm.{module}"), name)
     assert "returning(" in inspect.getsource(step)
 
+
+
+def test_a_step_lets_go_of_what_another_step_kept(monkeypatch):
+    """The token encoder's caches stay for the tasks of its own step only."""
+    monkeypatch.setattr(common, "_kept", {})
+    made = []
+    for _ in range(2):
+        assert common.kept("encoder", lambda: made.append(1) or "caches") == "caches"
+        assert list(common.returning([1, 2], keep="encoder")) == [1, 2]
+    assert made == [1]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b c"], "th": [1]})
+    assert [b.num_rows for b in jaccard._classes(2)([batch])] == [1]
+    assert not common._kept
+
+
+def test_the_writer_keeps_its_encoder_from_task_to_task(monkeypatch):
+    monkeypatch.setattr(common, "_kept", {})
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words here", "more words"]})
+    write = binary._writer(None, 1, 10)
+    first = list(write([batch]))
+    held = list(common._kept.values())
+    assert len(held) == 1 and held[0].chunks
+    assert list(write([batch])) == first and common._kept and list(common._kept.values())[0] is held[0]
