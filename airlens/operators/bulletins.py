@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlens.plans.registry import Entry
-from airlens.sources.tables import tasks_for
+from airlens.sources.tables import ROWS_A_TASK, tasks_for
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's): header rows of each layout,
@@ -344,12 +344,16 @@ PAGE_ROWS = 20
 EPOCH = "1995-01-01"
 
 
-def source_city_days(t) -> DataFrame:
-    """City-day aggregates the bulletins report (from readings)."""
+def source_city_days(t, every: int = 1) -> DataFrame:
+    """City-day aggregates the bulletins report (from readings), of every so many days from ``EPOCH``."""
     # dealt by the key before the stations are counted: a scan's task may have tens of millions
     # of readings, nearly as many (day, city, station), and would hold them all
-    r = t.readings.select(F.to_date("ts").alias("d"), "city", "state", "station", "pm25", "pm10")
-    g = r.repartition(tasks_for(t.readings), "d", "city").groupBy("d", "city").agg(
+    readings = t.readings
+    if every > 1:
+        # of the readings, as no condition on the day gets past the window below
+        readings = readings.where(F.datediff(F.to_date("ts"), F.lit(EPOCH)) % every == 0)
+    r = readings.select(F.to_date("ts").alias("d"), "city", "state", "station", "pm25", "pm10")
+    g = r.repartition(tasks_for(t.readings, ROWS_A_TASK * every), "d", "city").groupBy("d", "city").agg(
         F.max("state").alias("state"), F.avg("pm25").alias("a25"), F.avg("pm10").alias("a10"),
         F.count_distinct("station").alias("n_st"))
     aqi = F.round(F.greatest(F.coalesce(F.col("a25") * 4, F.lit(0.0)),
@@ -669,6 +673,7 @@ def more_registry():
 # --- duplicates: an extra page on every 17th day (B8, B13, B16) ----------------------------
 
 EXTRA_PAGE = 99
+LATE_EVERY = 17           # days
 
 
 def extra_cells(t) -> DataFrame:
@@ -677,7 +682,7 @@ def extra_cells(t) -> DataFrame:
     plus an ``Aurangabad`` row and one under an alias. Last-row-wins (B8) keeps the originals, the
     exclusion (B13) drops Aurangabad, first-page-wins (B16) prefers the
     regular pages."""
-    s = source_city_days(t).where((F.col("dn") % 17 == 0) & (F.col("r") < 3))
+    s = source_city_days(t, LATE_EVERY).where(F.col("r") < 3)
     row = lambda q, a: F.array(F.col("city"), q, a.cast("string"), F.col("pollutant"),
                                F.col("n_st").cast("string"))
     per_city = s.select(F.col("d").cast("string").alias("date"), "r",
