@@ -21,6 +21,7 @@ executor, and reads from any store that Spark reads.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airlens.llm.common import find_words, kept, partitions, returning, scratch, slices, utf8
+from airlens.llm.common import LOWER, find_words, kept, partitions, returning, scratch, slices, utf8
 
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = 60 // COUNTS
@@ -38,11 +39,15 @@ ESCAPE = 15
 RUN = 256
 BLOCK_IDS = 1 << 17
 END_ID = 1
-_CHUNKS_MAX = 600_000
-_STEMS_MAX = 150_000      # a chunk's ids are kept with it; stems serve chunks that differ in marks only
+_CHUNKS_MAX = 1_000_000   # about 30 bytes each
+_TOGETHER = 512           # words that the library encodes as one text
 SLICE = 2 << 20           # bytes of text encoded at a time
 
-_MARKS = b".,;:!?|)*$&%#"
+# letters and a run of these marks, which starts no contraction, are two pre-tokens
+_MARKS = np.isin(np.arange(256), list(b".,;:!?|)*$&%#"))
+_LETTER = np.isin(np.arange(256), np.arange(0x61, 0x7B))
+_LATIN = re.compile("[a-zß-öø-ÿ]+")
+_ODD = np.isin(np.arange(256), (0xCA, 0xCC, 0xCD))
 _BITS = np.array([max(1, x.bit_length()) for x in range(1 << 16)], np.uint8)
 
 
@@ -127,98 +132,149 @@ def decode_runs(words: np.ndarray, escapes: np.ndarray | None = None) -> np.ndar
     return out
 
 
+class Chunks:
+    """Ids of chunks by their hashes, in arrays: the hashes in order, and where each chunk's ids stand."""
+
+    def __init__(self, kind):
+        self.keys, self.begin, self.length = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.again = np.empty(0, bool)       # met since it was kept
+        self.pool = np.empty(0, kind)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, whether it is kept) of ascending keys."""
+        place = np.searchsorted(self.keys, keys)
+        old = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        old[inside] = self.keys[place[inside]] == keys[inside]
+        self.again[place[old]] = True
+        return place, old
+
+    def keep(self, keys: np.ndarray, ids: np.ndarray, begin: np.ndarray, number: np.ndarray, most: int) -> None:
+        """Keep more chunks (keys ascending); over ``most`` those that were met once are let go first."""
+        if len(self.keys) + len(keys) > most:
+            stay = np.flatnonzero(self.again)
+            if len(stay) > most // 2:
+                stay = stay[:0]
+            size = self.length[stay].astype(np.int64)
+            to = np.cumsum(size) - size
+            self.pool = self.pool[np.repeat(self.begin[stay] - to, size) + np.arange(size.sum())]
+            self.keys, self.begin, self.length = self.keys[stay], to, self.length[stay]
+            self.again = np.zeros(len(stay), bool)
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.begin = np.insert(self.begin, where, begin + len(self.pool))
+        self.length = np.insert(self.length, where, number)
+        self.again = np.insert(self.again, where, False)
+        self.pool = np.concatenate([self.pool, ids])
+
+
 class ChunkEncoder:
-    """Token ids of whole texts from a tokenizers file, by distinct white-space chunks.
+    """Token ids of whole texts from a tokenizers file, by distinct chunks.
 
-    The tokenizer's pre-tokenizer drops white space and no special token holds
-    any, so a text's ids are those of its chunks in order, and the library
-    encodes only chunks that a worker has not seen. Chunks are told apart by
-    64-bit hashes of their bytes with ASCII letters lowered, as the tokenizer
+    The tokenizer's pre-tokenizer drops white space, parts letters and digits from
+    marks, and no special token holds white space; so a text's ids are those of its
+    words, each without the marks at its end, and of these marks, in order. The
+    library encodes only chunks that a worker does not keep. Chunks are told apart
+    by 64-bit hashes of their bytes with ASCII letters lowered, as the tokenizer
     lowers them; a text where that could differ (a combining mark that might
-    compose with a lowered letter, the start of a special token) is encoded
-    whole.
+    compose with a lowered letter, the start of a special token) is encoded whole.
+    In words of a to z and small Latin-1 letters only, the tokenizer's normaliser
+    changes nothing and its pre-tokenizer cuts at spaces alone, so they go to the
+    library's model with that rule in their place.
     """
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
         self.t = Tokenizer.from_file(file)
+        self.plain = Tokenizer(self.t.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.t.get_vocab_size() + 1, bool)
         for piece, i in self.t.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
-        self.chunks: dict[int, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        enc = self.t.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in enc]
-
-    def _stems(self, words: list[bytes]) -> None:
-        """Encode distinct chunks; plain words many at a time, cut where a word ends."""
-        text = [w.decode("utf-8") for w in words]
-        plain = [i for i, t in enumerate(text) if t.isalpha()]
-        other = [i for i, t in enumerate(text) if not t.isalpha()]
-        for i in range(0, len(plain), 256):
-            some = plain[i:i + 256]
-            ids = np.array(self.t.encode(" ".join([text[k] for k in some]),
-                                         add_special_tokens=False).ids, "<u4")
+        self.kind = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
+        self.chunks = Chunks(self.kind)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for i in range(0, len(texts), 4096)
+                for e in self.t.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False)]
+
+    def _together(self, tokenizer, words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+        """(place of the first, ids, numbers of ids) of many words at a time; no numbers if one is several pre-tokens."""
+        for i in range(0, len(words), _TOGETHER):
+            some = words[i:i + _TOGETHER]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(some):
-                other += some
-                continue
-            raw, a = ids.tobytes(), 0
-            for k, b in zip(some, (cut * 4).tolist()):
-                self.stems[words[k]] = raw[a:b]
-                a = b
-        for i in range(0, len(other), 10_000):
-            some = other[i:i + 10_000]
-            self.stems.update(zip([words[k] for k in some], self._library([text[k] for k in some])))
+            one_each = len(cut) == len(some) and cut[-1] == len(ids)
+            yield i, ids, np.diff(cut, prepend=0) if one_each else None
+
+    def _encoded(self, raw: bytes, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(ids, where they begin, number of ids) of the chunks at these places."""
+        at = np.cumsum(size) - size
+        d = data[np.repeat(start - at, size) + np.arange(size.sum())]
+        plain = np.bitwise_and.reduceat(_LETTER[LOWER[d]] | (d >= 0x80), at)
+        high = np.bitwise_or.reduceat(d >= 0x80, at)
+        words = [raw[a:b].lower().decode("utf-8") for a, b in zip(start.tolist(), (start + size).tolist())]
+        latin = np.zeros(len(at), bool)
+        latin[high] = [_LATIN.fullmatch(words[i]) is not None for i in np.flatnonzero(high).tolist()]
+        alpha = np.zeros(len(at), bool)
+        alpha[high & ~latin] = [words[i].isalpha() for i in np.flatnonzero(high & ~latin).tolist()]
+        number = np.zeros(len(at), np.int64)
+        found, order, rest = [], [], [np.flatnonzero(~(plain & ~high | latin | alpha))]
+        for tokenizer, group in ((self.plain, np.flatnonzero(plain & ~high | latin)), (self.t, np.flatnonzero(alpha))):
+            for i, ids, n in self._together(tokenizer, [words[k] for k in group.tolist()]):
+                own = group[i:i + _TOGETHER]
+                if n is None:
+                    rest.append(own)
+                    continue
+                number[own] = n
+                found.append(ids)
+                order.append(own)
+        other = np.concatenate(rest)
+        whole = self._library([words[k] for k in other.tolist()])
+        number[other] = [len(x) for x in whole]
+        order = np.concatenate([*order, other])
+        begin = np.empty(len(at), np.int64)
+        begin[order] = np.cumsum(number[order]) - number[order]
+        return np.concatenate([*found, *whole]).astype(self.kind), begin, number
 
     def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of many texts given as bytes and offsets."""
-        if len(self.chunks) > _CHUNKS_MAX:
-            self.chunks.clear()
-        if len(self.stems) > _STEMS_MAX:
-            self.stems.clear()
-        n = len(offs) - 1
-        raw = data.tobytes()
-        odd = np.isin(data, (0xCA, 0xCC, 0xCD))
+        n, raw = len(offs) - 1, data.tobytes()
+        odd = _ODD[data]
         odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
         doc = np.unique(np.searchsorted(offs, np.flatnonzero(odd), "right") - 1).tolist()
-        h, at, start, size = find_words(data, offs)
+        h, at, start, size = find_words(data, offs, tail=_MARKS)
         code, distinct = pd.factorize(h)
-        some = np.empty(len(distinct), np.int64)
-        some[code[::-1]] = np.arange(len(h) - 1, -1, -1)
-        keys, chunks = distinct.tolist(), self.chunks
-        new = [i for i, k in enumerate(keys) if k not in chunks]
-        if new:
-            first, last = start[some].tolist(), (start[some] + size[some]).tolist()
-            words = [raw[first[i]:last[i]].lower() for i in new]
-            # letters and a run of marks that starts no contraction are two pre-tokens
-            stem = [w.rstrip(_MARKS) for w in words]
-            stem = [t if t and len(t) < len(w) and t.decode("utf-8").isalpha() else w
-                    for t, w in zip(stem, words)]
-            tail = [w[len(t):] for t, w in zip(stem, words)]
-            self._stems(list(({*stem, *tail} - {b""}) - self.stems.keys()))
-            stems = self.stems
-            for i, t, m in zip(new, stem, tail):
-                chunks[keys[i]] = stems[t] + stems[m] if m else stems[t]
-        own = [chunks[k] for k in keys]
-        pool = np.frombuffer(b"".join(own), "<u4")
-        length = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        begin = np.cumsum(length) - length
+        by = np.argsort(distinct)
+        chunks = self.chunks
+        place, old = chunks.find(distinct[by])
+        begin, length = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+        begin[by[old]], length[by[old]] = chunks.begin[place[old]], chunks.length[place[old]]
+        pool, new = chunks.pool, by[~old]
+        if len(new):
+            some = np.empty(len(distinct), np.int64)
+            some[code[::-1]] = np.arange(len(h) - 1, -1, -1)
+            ids, first, number = self._encoded(raw, data, start[some[new]], size[some[new]])
+            begin[new], length[new] = first + len(pool), number
+            pool = np.concatenate([pool, ids])
+            chunks.keep(distinct[new], ids, first, number, _CHUNKS_MAX)
         per = length[code]
         to = np.zeros(len(h) + 1, np.int64)
         np.cumsum(per, out=to[1:])
-        out = pool[np.repeat(begin[code] - to[:-1], per) + np.arange(to[-1])]
+        out = pool[np.repeat(begin[code] - to[:-1], per) + np.arange(to[-1])].astype(np.uint32)
         bounds = to[at]
         if doc:                              # texts that have to be encoded whole
             whole = self._library([raw[offs[d]:offs[d + 1]].decode("utf-8") for d in doc])
             parts, a = [], 0
             count = np.diff(bounds)
             for d, x in zip(doc, whole):
-                parts += [out[a:bounds[d]], np.frombuffer(x, "<u4")]
-                a, count[d] = bounds[d + 1], len(x) // 4
+                parts += [out[a:bounds[d]], x]
+                a, count[d] = bounds[d + 1], len(x)
             out = np.concatenate([*parts, out[a:]])
             bounds = np.zeros(n + 1, np.int64)
             np.cumsum(count, out=bounds[1:])

@@ -37,6 +37,7 @@ LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BLOCK = 1 << 20
+_TAIL = 16                # most bytes that are cut off a word's end
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -153,13 +154,32 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = NOT_SP
     return find_words(data, offs, is_word)[:2]
 
 
+def _tails(d: np.ndarray, start: np.ndarray, end: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Where the last bytes of words that are in ``tail`` begin, if a letter or digit stands before them."""
+    k = np.flatnonzero(tail[d[end - 1]])
+    first, k = start[k], end[k] - 1
+    for _ in range(_TAIL):
+        more = (k > first) & tail[d[k - 1]]
+        if not more.any():
+            break
+        k = k - more
+    k = k[k > first]
+    last = d[k - 1]
+    ascii_ = ALNUM[last] & (last < 0x80)
+    latin = (last >= 0x80) & (d[np.maximum(k - 2, 0)] == 0xC3) & (last != 0x97) & (last != 0xB7)
+    return k[ascii_ | latin]
+
+
 def find_words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = NOT_SPACE,
-               fold: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+               fold: np.ndarray = LOWER, tail: np.ndarray | None = None,
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, offsets of the texts, first byte, length) of every word, its bytes by ``fold`` (A-Z lowered).
 
     Equal words have equal hashes, different words different ones but for a chance
     of about 2**-64 a pair. Bytes are worked on in blocks of about a megabyte that
-    end between words, so memory does not follow the longest text.
+    end between words, so memory does not follow the longest text. Up to ``_TAIL``
+    bytes of the table ``tail`` at a word's end are a word of their own if an ASCII
+    letter or digit or a Latin-1 letter stands before them.
     """
     total = len(data)
     hashes, where, size = [], [], []
@@ -186,6 +206,9 @@ def find_words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = NOT_SPA
         nxt = np.empty_like(w)
         nxt[-1], nxt[:-1] = False, w[1:]
         end = np.flatnonzero(w & (~nxt | first[1:])) + 1
+        if tail is not None and len(start):
+            cut = _tails(d, start, end, tail)
+            start, end = np.sort(np.r_[start, cut]), np.sort(np.r_[end, cut])
         if len(start):
             up, down = _power_tables(b - a)
             sums = np.zeros(b - a + 1, np.uint64)

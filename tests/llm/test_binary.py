@@ -47,6 +47,55 @@ def test_chunks_are_the_library():
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == library_ids(texts)
 
 
+def encoded(enc, texts):
+    raw = [t.encode() for t in texts]
+    offs = np.r_[0, np.cumsum([len(r) for r in raw])]
+    ids, at = enc.ids(np.frombuffer(b"".join(raw), np.uint8), offs)
+    return [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+
+
+def test_words_with_other_marks_are_encoded_once():
+    """Marks at a word's end, an upper-case letter or another text need no further call of the library."""
+    enc = binary.ChunkEncoder(vocabulary("word_bpe_49k.json"))
+    texts = ["word straße été 7", "word, Word. WORD!! straße) été;", "7%, word*** straße."]
+    assert encoded(enc, texts) == library_ids(texts)
+    assert len(enc.chunks) == 4 + len([",", ".", "!!", ")", ";", "%,", "***"])
+
+
+def test_frequent_chunks_outlast_others(monkeypatch):
+    """A full cache lets chunks go that were met once; ids stay right, and what is kept stays bounded."""
+    monkeypatch.setattr(binary, "_CHUNKS_MAX", 200)
+    enc = binary.ChunkEncoder(vocabulary("word_bpe_49k.json"))
+    seen = []
+    library = enc._together
+    monkeypatch.setattr(enc, "_together", lambda t, words: seen.extend(words) or library(t, words))
+    rnd = random.Random(2)
+    for _ in range(20):
+        rare = ["".join(rnd.choice("abcdeé") for _ in range(9)) for _ in range(50)]
+        texts = ["often " + " ".join(rare[:25]), " ".join(rare[25:]) + " often."]
+        assert encoded(enc, texts) == library_ids(texts)
+        assert len(enc.chunks) <= 200
+    assert seen.count("often") == 1
+
+
+def test_long_tails_and_many_words():
+    enc = binary.ChunkEncoder(vocabulary("word_bpe_49k.json"))
+    texts = ["x" + "#" * k + " é" + "." * k + " ×" + "," * k + " 9" + "!" * k + "a." for k in range(40)]
+    texts += [" ".join(f"{a}{b}{c}" for a in "abcdefghij" for b in "klmnoß" for c in "pqrstuÀ日"), "ÿ÷. ÷÷ ªx. º."]
+    assert encoded(enc, texts) == library_ids(texts)
+
+
+def test_workers_keep_little_beside_the_ids():
+    """A kept chunk costs tens of bytes, where Python's dicts and strings took some 200."""
+    enc = binary.ChunkEncoder(vocabulary("word_bpe_49k.json"))
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(8)) for _ in range(5000))]
+    encoded(enc, texts)
+    c = enc.chunks
+    assert len(c) == len(set(texts[0].split()))
+    assert sum(x.nbytes for x in (c.keys, c.begin, c.length, c.again, c.pool)) < 40 * len(c)
+
+
 def brute(rows):
     """(doc_id, n, crc) in order of doc_id (null first), and the starts."""
     out = []
