@@ -36,7 +36,7 @@ LOWER[65:91] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18          # bytes that words are looked for in at a time
 _TAIL = 16                # most bytes that are cut off a word's end
 
 
@@ -176,7 +176,7 @@ def find_words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray = NOT_SPA
     """(hashes, offsets of the texts, first byte, length) of every word, its bytes by ``fold`` (A-Z lowered).
 
     Equal words have equal hashes, different words different ones but for a chance
-    of about 2**-64 a pair. Bytes are worked on in blocks of about a megabyte that
+    of about 2**-64 a pair. Bytes are worked on in blocks of about 256 kB that
     end between words, so memory does not follow the longest text. Up to ``_TAIL``
     bytes of the table ``tail`` at a word's end are a word of their own if an ASCII
     letter or digit or a Latin-1 letter stands before them.

@@ -1,5 +1,6 @@
 import importlib
 import inspect
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -198,3 +199,23 @@ def test_the_writer_keeps_its_encoder_from_task_to_task(monkeypatch):
     held = list(common._kept.values())
     assert len(held) == 1 and held[0].chunks
     assert list(write([batch])) == first and common._kept and list(common._kept.values())[0] is held[0]
+
+
+def test_words_are_found_in_small_blocks(monkeypatch):
+    """Temporary arrays of a worker follow the block, of which the words found do not depend."""
+    texts = ["One, two. " * 50_000, "", "x" * 700_000 + " é" * 9, "Ünï..., y " * 40_000]
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])]
+    for tail in (None, binary._MARKS):
+        found = common.find_words(data, offs, tail=tail)
+        for size in (1 << 12, 1 << 20):
+            with monkeypatch.context() as m:
+                m.setattr(common, "_BLOCK", size)
+                assert all((a == b).all() for a, b in zip(common.find_words(data, offs, tail=tail), found))
+    monkeypatch.setattr(common, "_powers", {})
+    words = data[:offs[1]]
+    tracemalloc.start()
+    common.find_words(words, np.array([0, len(words)]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20e6
