@@ -7,11 +7,14 @@ Tiles. Two sets of sizes a and b with a Jaccard similarity of t or more differ i
 at most D = (1 - t) / (1 + t) * (a + b) elements. Sizes fall into bands
 (growing by ``GROWTH``); in band i with largest D_i the elements are hashed into
 D_i + 1 + e_i parts, so at least e_i + 1 parts of the two sets are equal. A tile
-is the set of classes that agree on one part's whole content. A part of fewer
-than two elements makes no tile; that loses nothing, because a set with more
-than e_i such parts also makes tiles of them, and a pair whose equal parts are
-all small consists of two such sets. A set makes tiles in its own band and, if
-a partner 1/t times as large would be in the next band, there too.
+is the set of classes that agree on one part's whole content. Parts of fewer
+than two elements say little and are in most sets (an empty part is in every
+set that has none there), so each set leaves out its first e_i of them, in one
+order for all sets: empty ones first, then by the key of the tile. That loses
+nothing: of e_i + 1 equal parts the last in that order, behind which parts of two
+elements and more come, is left out by neither set, as e_i others stand before
+it. A set makes tiles in its own band and, if a partner 1/t times as large would
+be in the next band, there too.
 
 Within tiles, each class is paired with the smallest class of the tile; the pairs
 that hold make components; so do the nearest neighbours of each class in a part
@@ -132,13 +135,18 @@ def tile_keys(x: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray,
         np.add.at(content, slot, mix64(e ^ _SALT))
         count = np.bincount(slot, minlength=total)
         of = np.repeat(np.arange(len(pick)), parts)
-        small = count < 2
-        loose = np.bincount(of, weights=small, minlength=len(pick)) > bands.spare[band[pick]]
-        use = ~small | loose[of]
         place = np.arange(total) - start[of]
         k = mix64(content + np.minimum(count, 2).astype(np.uint64) * _SALT)
         k = mix64(k ^ mix64((band[pick][of].astype(np.uint64) << np.uint64(40))
                             + place.astype(np.uint64)))
+        use = count >= 2
+        few = np.bincount(of[~use], minlength=len(pick))
+        spare = bands.spare[band[pick]]
+        loose = np.flatnonzero(~use & (few > spare)[of])     # all small parts of the other sets are left out
+        loose = loose[np.lexsort((k[loose], count[loose], of[loose]))]
+        few = few * (few > spare)
+        rank = np.arange(len(loose)) - (np.cumsum(few) - few)[of[loose]]
+        use[loose[rank >= spare[of[loose]]]] = True
         keys.append(k[use])
         sets.append(pick[of[use]])
     if not keys:

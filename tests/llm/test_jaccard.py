@@ -168,3 +168,52 @@ def test_shared_tiles_whatever_the_batches():
                    for i in range(0, 300, step)]
         got = [t for b in jaccard._shared(iter(batches)) for t in zip(*(c.to_pylist() for c in b.columns))]
         assert sorted(got) == want
+
+
+def test_unrelated_sets_share_next_to_no_tile():
+    """Sets of random elements have small parts, some of them empty; those bring them together no more."""
+    rng = np.random.default_rng(15)
+    bands = jaccard.Bands(80)
+    sets = [np.unique(rng.integers(0, 1 << 64, int(n), dtype=np.uint64)) for n in rng.integers(600, 2400, 400)]
+    at = np.cumsum([0, *map(len, sets)])
+    key, _ = jaccard.tile_keys(np.concatenate(sets), at, bands)
+    m = np.unique(key, return_counts=True)[1]
+    assert (m * (m - 1) // 2).sum() < 400
+
+
+def test_tiles_by_themselves_or_among_others():
+    """A set makes the same tiles whatever sets come with it."""
+    rng = np.random.default_rng(16)
+    for percent in (80, 85):
+        bands = jaccard.Bands(percent)
+        sets = [np.unique(rng.integers(0, 1 << 64, int(n), dtype=np.uint64)) for n in rng.integers(0, 500, 60)]
+        key, own = jaccard.tile_keys(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), bands)
+        for i, x in enumerate(sets):
+            alone, _ = jaccard.tile_keys(x, np.array([0, len(x)]), bands)
+            assert sorted(alone.tolist()) == sorted(key[own == i].tolist())
+
+
+def test_linked_sets_with_only_small_parts_equal():
+    """Pairs at the threshold share a tile when every part that both have alike is empty or of one element."""
+    rng = np.random.default_rng(17)
+    for percent in (80, 85):
+        bands = jaccard.Bands(percent)
+        met = 0
+        for n in rng.integers(30, 900, 150).tolist():
+            a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            band = int(bands.of(np.array([len(a)]))[0])
+            parts = int(bands.parts[band])
+            slot = ((a >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            count = np.bincount(slot, minlength=parts)
+            # take one element out of as many of the fuller parts as the threshold allows
+            most = len(a) * (100 - percent) // 100
+            full = np.argsort(-count)[:most]
+            gone = [int(np.flatnonzero(slot == p)[0]) for p in full if count[p]]
+            b = np.delete(a, gone)
+            if 100 * len(b) < percent * len(a) or not gone:
+                continue
+            at = np.array([0, len(a), len(a) + len(b)])
+            key, own = jaccard.tile_keys(np.concatenate([a, b]), at, bands)
+            assert set(key[own == 0]) & set(key[own == 1])
+            met += 1
+        assert met > 100
